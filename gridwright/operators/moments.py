@@ -132,14 +132,15 @@ def _wall(df: DataFrame, name: str, zone: str) -> Column:
 
 def moved(value: Column, kind: T.DataType, shift: int, zone: str) -> Column:
     """Add micros to the wall clock; an instant keeps its zone and is placed again."""
-    step = F.make_dt_interval(secs=F.lit(shift // 1_000_000).cast("decimal(18,6)")
-                              + F.lit(shift % 1_000_000).cast("decimal(18,6)") / 1_000_000)
+    step = F.lit(shift).cast("bigint")
     if is_wall(kind):
-        return value + step
+        at = F.unix_micros(value.cast("timestamp")) + step
+        return F.timestamp_micros(at).cast("timestamp_ntz")
     zone = zones.canonical_zone(zone)
     if zones.fixed_offset_micros(zone) is not None:
-        return F.timestamp_micros(F.unix_micros(value) + F.lit(shift).cast("bigint"))
-    return zones.localize_lenient(zones.wall_clock(value, zone) + step, zone)
+        return F.timestamp_micros(F.unix_micros(value) + step)
+    at = zones.wall_micros(value, zone) + step
+    return zones.localize_lenient(F.timestamp_micros(at), zone)
 
 
 def derive_intervals(
