@@ -1,6 +1,6 @@
 """Registered queries with their checking SQL."""
 
-from gridwright.catalog import averaging  # noqa: F401
+from gridwright.catalog import averaging, cells, gaps, moments, sources, splitjoin  # noqa: F401
 from gridwright.catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]

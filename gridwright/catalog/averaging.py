@@ -82,6 +82,20 @@ def averaged(source, cfg):
 # Threshold 23 of 24 hours, so that some days are refused.
 NEAR_FULL = 0.95
 
+register(
+    "flagship_daily_mean",
+    averaged(
+        lambda spark, folder: hourly(spark, folder).groupBy("ts").agg(
+            F.sum("reading").alias("reading")
+        ),
+        config(day(), keys=()),
+    ),
+    period_sql(
+        (HOURLY_SQL + ", total AS (SELECT ts, sum(reading) AS reading FROM hourly GROUP BY 1)",
+         "total"),
+        "date_trunc('day', ts)", "INTERVAL 1 DAY", key="",
+    ),
+)
 register(
     "average_day_completeness",
     averaged(hourly, config(day(), threshold=NEAR_FULL)),
@@ -203,12 +217,23 @@ WHERE s.ps BETWEEN (SELECT min(ps) FROM a) AND (SELECT max(ps) FROM a)""",
 # Zones with daylight saving: 23- and 25-hour days.
 def zone_day_sql(zone, threshold):
     wall = f"date_trunc('day', ts AT TIME ZONE 'UTC' AT TIME ZONE '{zone}')"
-    back = f"AT TIME ZONE '{zone}' AT TIME ZONE 'UTC'"
+
+
+    def place(d):
+        # A repeated midnight takes its earliest reading.
+        x = f"(({d}) AT TIME ZONE '{zone}')"
+        tries = " ".join(
+            f"WHEN ({x} - INTERVAL {m} MINUTE) AT TIME ZONE '{zone}' = ({d}) "
+            f"THEN ({x} - INTERVAL {m} MINUTE) AT TIME ZONE 'UTC'"
+            for m in (60, 30)
+        )
+        return f"CASE {tries} ELSE {x} AT TIME ZONE 'UTC' END"
+
     return f"""WITH {YEARS_SQL},
 p AS (SELECT {wall} AS d, reading FROM years),
 c AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM p),
 a AS (SELECT d, count(*) AS n, CAST(sum(reading) AS DOUBLE) / count(*) AS v FROM p GROUP BY 1),
-b AS (SELECT d, d {back} AS ps, (d + INTERVAL 1 DAY) {back} AS pe FROM c)
+b AS (SELECT d, {place('d')} AS ps, {place('d + INTERVAL 1 DAY')} AS pe FROM c)
 SELECT b.ps AS "Period_Start", b.pe AS "Period_End",
        CASE WHEN coalesce(n, 0) / ((epoch(pe) - epoch(ps)) / 3600) >= {threshold} THEN v END AS reading
 FROM b LEFT JOIN a USING (d)"""

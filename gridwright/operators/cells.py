@@ -213,7 +213,7 @@ def missingness(df: DataFrame) -> DataFrame:
         F.when(F.col("rows") > 0, F.col("r.missing_count") / F.col("rows"))
         .otherwise(F.lit(0.0))
         .alias("missing_fraction"),
-        ~((F.col("rows") > 0) & (F.col("r.missing_count") == F.col("rows"))).alias("suggested"),
+        (~((F.col("rows") > 0) & (F.col("r.missing_count") == F.col("rows")))).alias("suggested"),
     )
 
 
