@@ -202,7 +202,7 @@ def infer_types(
     unique = distinct_counts(source, names, facts)
     f = facts.join(unique, "column", "left")
     n = F.col("n")
-    share = lambda c: F.col(c) / n
+    share = lambda c: F.try_divide(F.col(c), n)
     limit = F.least(F.lit(CATEGORY_LIMIT), F.greatest(F.lit(2), F.bround(n * 0.2, 0)))
     boolean = F.col("bools") == n
     integer = share("ints") >= NUMBER_SHARE

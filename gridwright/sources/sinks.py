@@ -91,7 +91,8 @@ def write_delimited(
         df = df.orderBy(*cols(order))
     text = apply_missing(df, policy, custom, masks=masks)
     writer = text.write.mode("overwrite" if overwrite else "errorifexists")
-    options = {"header": "true", "sep": delimiter, "escape": '"', "emptyValue": '""'}
+    options = {"header": "true", "sep": delimiter, "escape": '"', "emptyValue": '""',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     if compression:
         options["compression"] = compression
     writer.options(**options).csv(path)
@@ -140,5 +141,8 @@ def write_periods(
     )
     writer = rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*by)
     if fmt == "csv":
-        writer = writer.option("header", "true").option("escape", '"')
+        writer = writer.options(
+            header="true", escape='"', ignoreLeadingWhiteSpace="false",
+            ignoreTrailingWhiteSpace="false",
+        )
     writer.format(fmt).save(path)
