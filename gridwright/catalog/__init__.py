@@ -1,6 +1,14 @@
 """Registered queries with their checking SQL."""
 
-from gridwright.catalog import averaging, cells, gaps, moments, sources, splitjoin  # noqa: F401
+from gridwright.catalog import (  # noqa: F401
+    averaging,
+    cells,
+    gaps,
+    moments,
+    plans,
+    sources,
+    splitjoin,
+)
 from gridwright.catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -370,6 +370,15 @@ def _first_stage(df: DataFrame, config: AveragingConfig) -> StageResult:
             grouped.alias("g").join(medians.alias("m"), _same_keys(keys, "g", "m"), "left")
             .select("g.*", f"m._v{i}")
         )
+    return finish_first_stage(grouped, config)
+
+
+def finish_first_stage(grouped: DataFrame, config: AveragingConfig) -> StageResult:
+    """Stage 1 from grouped rows ``keys, _slot, _n{i}, _v{i}, _phase_lo, _phase_hi``: empty
+    periods, expected counts, completeness."""
+    stage = config.stages[0]
+    keys = list(config.keys)
+    step = micros(config.interval)
     frame = fill_periods(grouped, stage.period, config.zone, keys, config.max_periods)
     elapsed = F.unix_micros(col("_end")) - F.unix_micros(col("_start"))
     start_phase = F.pmod(F.unix_micros(col("_start")), big(step))

@@ -1,29 +1,32 @@
 """Gap analysis and reconstruction on a confirmed interval grid.
 
 Instants are compared as BIGINT micros, stepped in elapsed time and anchored at each series'
-first instant. Missing slots come from pairs of neighbouring instants, so observed rows are
-never shuffled to find or fill gaps: only (keys, timestamp) travels.
+first instant. One pass folds a series into *blocks*: per (keys, phase, block of 4,096 slots)
+the set of occupied slots. Phase is the remainder by the interval, so off-grid instants stay
+apart without knowing the grid first, and copies of an instant collapse before the shuffle.
+Everything else (grid, missing slots, spans, checks, report) is worked out from block rows;
+observed rows are never shuffled to find or fill gaps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from gridwright.errors import DataViolation
 from gridwright.config import Derivation, GapBehavior, GapConfig, GapField, micros
 from gridwright.functions import zones
 from gridwright.functions.names import col, cols, dtype, is_instant, is_wall, require
 from gridwright.functions.periods import big, explode_range, floor_div
-from gridwright.operators.averaging import require_clean
 from gridwright.operators.diagnostics import Diagnostics, watch
 from gridwright.operators.ordering import (
     CHUNK_ROWS,
     int_chunk,
     join_members,
     successive_pairs,
-    time_chunk,
+    with_single_row,
 )
 
 # Names of the common sampling intervals, in seconds.
@@ -96,19 +99,56 @@ def suggest_interval(
     ).where(F.col("total_steps").isNotNull())
 
 
-def _series(instants: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
-    """Per series: first and last instant, grid end, and last observed on-grid instant."""
-    phases = instants.groupBy(*cols(keys), F.pmod("__t", big(step)).alias("__phase")).agg(
-        F.min("__t").alias("__a"), F.max("__t").alias("__z")
+BLOCK_SLOTS = 4096
+
+
+def _blocks(df: DataFrame, config: GapConfig) -> DataFrame:
+    """``keys, __phase, __block, __rows, __head, __tail, __size, __inner`` in one pass, with
+    per-series facts ``__first, __last, __end`` and the next block's head ``__next``.
+
+    ``__inner`` lists the gaps inside the block as (a, z) instants. Rows without a timestamp
+    form a block of null phase.
+    """
+    keys, step = list(config.keys), micros(config.interval)
+    width = big(step * BLOCK_SLOTS)
+    rows = df.select(*cols(keys), _micros(df, config.timestamp).alias("__t")).select(
+        *cols(keys), "__t", F.pmod("__t", big(step)).alias("__phase"),
+        floor_div(col("__t"), step * BLOCK_SLOTS).alias("__block"),
     )
-    per_key = phases.groupBy(*cols(keys)).agg(
-        F.min("__a").alias("__first"),
-        F.max("__z").alias("__last"),
-        F.min(F.struct("__a", "__z"))["__z"].alias("__tail"),
+    slot = F.call_function("div", col("__t") - col("__phase") - col("__block") * width, big(step))
+    blocks = rows.groupBy(*cols(keys), "__phase", "__block").agg(
+        F.count("*").alias("__rows"), F.sort_array(F.collect_set(slot)).alias("__slots")
+    )
+    origin = col("__block") * width + col("__phase")
+
+    def instant(place: Column) -> Column:
+        return origin + place * big(step)
+
+    n = F.size("__slots")
+    # Neighbours as two shifted slices; a block without slots has none.
+    size = F.greatest(n - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice("__slots", F.lit(1), size), F.slice("__slots", F.lit(2), size),
+        lambda a, z: F.struct(instant(a).alias("a"), instant(z).alias("z")),
+    )
+    blocks = blocks.select(
+        *cols(keys), "__phase", "__block", "__rows",
+        instant(F.try_element_at("__slots", F.lit(1))).alias("__head"),
+        instant(F.try_element_at("__slots", F.lit(-1))).alias("__tail"),
+        n.cast("bigint").alias("__size"),
+        F.filter(pairs, lambda p: p["z"] - p["a"] > step).alias("__inner"),
+    )
+    # Block rows are one per 4,096 slots of a series: windows over a whole series stay small.
+    series = Window.partitionBy(*cols(keys))
+    along = Window.partitionBy(*cols(keys), col("__phase")).orderBy("__block")
+    first, last = F.min("__head").over(series), F.max("__tail").over(series)
+    blocks = blocks.select(
+        "*", first.alias("__first"), last.alias("__last"), F.lead("__head").over(along).alias("__next")
     )
     slots = floor_div(col("__last") - col("__first"), step)
-    return per_key.select("*", (col("__first") + slots * big(step)).alias("__end")).where(
-        col("__first").isNotNull()
+    on_grid = F.coalesce(col("__phase") == F.pmod("__first", big(step)), F.lit(False))
+    return blocks.select(
+        "*", (col("__first") + slots * big(step)).alias("__end"), on_grid.alias("__on")
     )
 
 
@@ -120,11 +160,12 @@ def _on_keys(keys: Sequence[str], left: str, right: str) -> Column:
 
 
 def _with_series(rows: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach per-series facts. Without keys the facts are a single row, so broadcasting them
-    is bounded; with keys Spark picks the strategy from the measured size."""
+    """Attach per-series facts. A keyless table has one row of facts, read as a scalar
+    subquery; keyed facts are joined and Spark picks the strategy from the measured size."""
     facts = [c for c in series.columns if c not in keys]
-    right = series if keys else F.broadcast(series)
-    return rows.alias("r").join(right.alias("s"), _on_keys(keys, "r", "s")).select(
+    if not keys:
+        return with_single_row(rows, series.select(*cols(facts)))
+    return rows.alias("r").join(series.alias("s"), _on_keys(keys, "r", "s")).select(
         "r.*", *[F.col(f"s.`{c}`") for c in facts]
     )
 
@@ -132,17 +173,11 @@ def _with_series(rows: DataFrame, series: DataFrame, keys: Sequence[str]) -> Dat
 def expected_grid(df: DataFrame, config: GapConfig) -> DataFrame:
     """Every slot from each series' first to its last instant: ``keys, timestamp``."""
     keys, step = list(config.keys), micros(config.interval)
-    series = _series(_instants(df, keys, config.timestamp), keys, step)
-    count = floor_div(col("__end") - col("__first"), step)
-    limited = F.when(
-        count >= config.max_expected_rows,
-        F.raise_error(
-            F.lit(f"a series would have more than {config.max_expected_rows:,} expected rows")
-        ).cast("bigint"),
-    ).otherwise(count)
-    ranges = series.select(
-        *cols(keys), col("__first"), big(0).alias("__zero"), limited.alias("__count")
-    )
+    series = _blocks(df, config).groupBy(*cols(keys)).agg(
+        F.max("__first").alias("__first"), F.max("__end").alias("__end")
+    ).where(col("__first").isNotNull())
+    count = _limited(floor_div(col("__end") - col("__first"), step), config)
+    ranges = series.select(*cols(keys), "__first", big(0).alias("__zero"), count.alias("__count"))
     grid = explode_range(ranges, "__zero", "__count", "__i", keep=[*keys, "__first"])
     at = col("__first") + col("__i") * big(step)
     return grid.select(
@@ -150,32 +185,35 @@ def expected_grid(df: DataFrame, config: GapConfig) -> DataFrame:
     )
 
 
+def _limited(slots: Column, config: GapConfig) -> Column:
+    """The number of grid steps, refused when the series would exceed the row limit."""
+    message = f"a series would have more than {config.max_expected_rows:,} expected rows"
+    return F.when(
+        slots >= config.max_expected_rows, F.raise_error(F.lit(message)).cast("bigint")
+    ).otherwise(slots)
+
+
 def _spans(df: DataFrame, config: GapConfig, *, trailing: bool) -> DataFrame:
     """``keys, __prev, __next`` (micros) around each run of missing grid slots.
 
-    Neighbours are looked up among instants of one phase (remainder by the interval), which
-    keeps off-grid instants apart without knowing the grid first. ``trailing`` adds the run
-    after the last on-grid instant, which is missing but belongs to no interior span.
+    ``trailing`` adds the run after the last on-grid instant, which is missing but belongs to
+    no interior span.
     """
     keys, step = list(config.keys), micros(config.interval)
-    instants = _instants(df, keys, config.timestamp)
-    phased = instants.select("*", F.pmod("__t", big(step)).alias("__phase"))
-    pairs = successive_pairs(
-        phased, [*keys, "__phase"], ["__t"], time_chunk(col("__t"), step), ["__t"]
+    blocks = _blocks(df, config).where("__on")
+    between = F.struct(col("__tail").alias("a"), col("__next").alias("z"))
+    none = F.array().cast("array<struct<a:bigint,z:bigint>>")
+    runs = F.concat(
+        col("__inner"), F.when(col("__next") - col("__tail") > step, F.array(between)).otherwise(none)
     )
-    wide = pairs.select(
-        *cols(keys), "__phase", F.col("prev.__t").alias("__prev"), F.col("next.__t").alias("__next")
-    ).where(col("__next") - col("__prev") > step)
-    series = _series(instants, keys, step)
-    spans = _with_series(wide, series, keys).where(
-        col("__phase") == F.pmod("__first", big(step))
-    ).select(*cols(keys), "__prev", "__next")
-    if not trailing:
-        return spans
-    tails = series.where(col("__tail") < col("__end")).select(
-        *cols(keys), col("__tail").alias("__prev"), (col("__end") + big(step)).alias("__next")
+    if trailing:
+        guarded = _limited(floor_div(col("__end") - col("__first"), step), config)
+        after = F.struct(col("__tail").alias("a"), (col("__end") + big(step)).alias("z"))
+        open_end = col("__next").isNull() & (col("__tail") < col("__end")) & (guarded >= 0)
+        runs = F.concat(runs, F.when(open_end, F.array(after)).otherwise(none))
+    return blocks.select(*cols(keys), F.explode(runs).alias("__s")).select(
+        *cols(keys), F.col("__s.a").alias("__prev"), F.col("__s.z").alias("__next")
     )
-    return spans.unionByName(tails)
 
 
 def gap_spans(df: DataFrame, config: GapConfig) -> DataFrame:
@@ -261,22 +299,37 @@ def off_grid_rows(df: DataFrame, config: GapConfig, order: str = "_ord") -> Data
 
 
 def gap_violations(df: DataFrame, config: GapConfig, order: str = "_ord") -> DataFrame:
-    """``kind, n_rows`` per reason why the series cannot be reconstructed (empty if none)."""
+    """``kind, n`` per reason why the series cannot be reconstructed (empty if none): rows
+    without a timestamp, surplus copies, off-grid rows and, where it matters, disorder.
+
+    The first three come from one narrow pass.
+    """
     keys = list(config.keys)
-    ts = config.timestamp
-    parts = [
-        invalid_timestamps(df, ts, keys[0] if keys else ts).select(F.lit("invalid").alias("kind")),
-        duplicate_groups(df, ts, keys).select(F.lit("duplicate").alias("kind")),
-        off_grid_rows(df, config, ts).select(F.lit("off_grid").alias("kind")),
-    ]
+    blocks = _blocks(df, config)
+    lost = col("__phase").isNull()
+    facts = blocks.agg(
+        F.sum(F.when(lost, col("__rows"))).alias("invalid"),
+        F.sum(F.when(~lost, col("__rows") - col("__size"))).alias("duplicate"),
+        F.sum(F.when(~lost & ~col("__on"), col("__rows"))).alias("off_grid"),
+    )
+    kinds = ("invalid", "duplicate", "off_grid")
+    listed = F.explode(
+        F.array(*[F.struct(F.lit(k).alias("kind"), col(k).alias("n")) for k in kinds])
+    )
+    found = facts.select(listed.alias("v")).select("v.kind", "v.n")
     if order in df.columns and not config.allow_reorder:
-        parts.append(
-            chronological_breaks(df, ts, keys, order).select(F.lit("disorder").alias("kind"))
+        late = chronological_breaks(df, config.timestamp, keys, order)
+        found = found.unionByName(
+            late.agg(F.count("*").alias("n")).select(F.lit("disorder").alias("kind"), "n")
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return found.where("n > 0")
+
+
+def require_reconstructable(df: DataFrame, config: GapConfig, order: str = "_ord") -> None:
+    """Run the checks and raise with a count per kind."""
+    found = gap_violations(df, config, order).collect()  # at most one row per kind
+    if found:
+        raise DataViolation("; ".join(f"{r['kind']}: {r['n']}" for r in found))
 
 
 def stable_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -344,27 +397,28 @@ def generate_gap_rows(
     strict: bool = True,
     order: str = "_ord",
     notes: Diagnostics | None = None,
+    basis: DataFrame | None = None,
 ) -> DataFrame:
     """Observed rows plus one generated row per missing slot; measurements stay null.
 
     ``strict`` first runs the violation checks and raises. The result is not sorted; sinks
-    sort when order matters.
+    sort when order matters. ``basis`` is the same data without observed counts: the narrow
+    look-ups read it, so counting never widens them.
     """
+    basis = df if basis is None else basis
     require(df, config.timestamp, *config.measurements, *[f.column for f in config.fields])
     require(df, *[c for c in (config.index_column, config.flag_column) if c], *config.keys)
     if strict:
-        require_clean(gap_violations(df, config, order))
+        require_reconstructable(basis, config, order)
     keys, step = list(config.keys), micros(config.interval)
     kind = dtype(df, config.timestamp)
-    missing = missing_timestamps(df, config)
+    missing = missing_timestamps(basis, config)
     missing = missing.select("*", _micros(missing, config.timestamp).alias("__t"))
     carried = [f.column for f in config.fields if f.behavior is GapBehavior.CARRY_STABLE]
     if carried:
-        stable = stable_values(df, carried, keys)
-        right = stable if keys else F.broadcast(stable)
-        missing = missing.alias("r").join(right.alias("s"), _on_keys(keys, "r", "s")).select(
-            "r.*", *[F.col(f"s.`{c}`").alias(f"__s_{c}") for c in carried]
-        )
+        stable = stable_values(basis, carried, keys)
+        renamed = stable.select(*cols(keys), *[col(c).alias(f"__s_{c}") for c in carried])
+        missing = _with_series(missing, renamed, keys)
     rules = {f.column: f for f in config.fields}
     values = []
     for n in df.columns:
@@ -391,8 +445,8 @@ def generate_gap_rows(
         )
     result = result.drop("__generated")
     if config.index_column is not None:
-        first = df.where(col(config.timestamp).isNotNull()).groupBy(*cols(keys)).agg(
-            F.min(_micros(df, config.timestamp)).alias("__first")
+        first = basis.where(col(config.timestamp).isNotNull()).groupBy(*cols(keys)).agg(
+            F.min(_micros(basis, config.timestamp)).alias("__first")
         )
         result = _with_series(result, first, keys)
         place = floor_div(_micros(result, config.timestamp) - col("__first"), step)
@@ -409,10 +463,10 @@ def generate_gap_rows(
 def gap_report(df: DataFrame, config: GapConfig) -> DataFrame:
     """``keys, original_rows, generated_rows`` without building the generated rows."""
     step, keys = micros(config.interval), list(config.keys)
-    counts = df.groupBy(*cols(keys)).agg(F.count("*").alias("original_rows"))
-    added = _spans(df, config, trailing=True).groupBy(*cols(keys)).agg(
-        F.sum(floor_div(col("__next") - col("__prev"), step) - 1).alias("generated_rows")
-    )
-    return counts.alias("l").join(added.alias("r"), _on_keys(keys, "l", "r"), "left").select(
-        "l.*", F.coalesce(F.col("r.generated_rows"), F.lit(0)).cast("bigint").alias("generated_rows")
+    # Slots of the grid minus the occupied ones.
+    wanted = F.max(floor_div(col("__end") - col("__first"), step) + 1)
+    occupied = F.sum(F.when(col("__on"), col("__size")))
+    return _blocks(df, config).groupBy(*cols(keys)).agg(
+        F.sum("__rows").cast("bigint").alias("original_rows"),
+        F.coalesce(wanted - occupied, F.lit(0)).cast("bigint").alias("generated_rows"),
     )

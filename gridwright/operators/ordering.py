@@ -27,11 +27,6 @@ def int_chunk(order: Column, width: int = CHUNK_ROWS) -> Column:
     return floor_div(order.cast("bigint"), width)
 
 
-def time_chunk(micros: Column, interval: int, slots: int = 1 << 16) -> Column:
-    """Chunk of on-grid instants (BIGINT micros): at most ``slots`` distinct ones each."""
-    return floor_div(micros, interval * slots)
-
-
 def successive_pairs(
     df: DataFrame,
     keys: Sequence[str],
@@ -49,7 +44,7 @@ def successive_pairs(
         F.struct(*cols(order)).alias("__o"),
         F.struct(*cols(carry)).alias("__c"),
         chunk.alias("__chunk"),
-    )
+    ).repartition(*cols(keys), F.col("__chunk"))  # one exchange, shared by both branches
     inside = Window.partitionBy(*cols(keys), col("__chunk")).orderBy("__o")
     near = rows.select(
         *cols(keys), F.lag("__c").over(inside).alias("prev"), col("__c").alias("next")
@@ -121,3 +116,16 @@ def join_members(
         replicated(groups, buckets), [*on, "__salt"], "inner"
     )
     return joined.drop("__salt")
+
+
+def with_single_row(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Append the columns of a one-row frame to every row; no rows when it is empty.
+
+    The facts are a scalar subquery: worked out once and shipped as a literal.
+    """
+    names = facts.columns
+    value = facts.select(F.struct(*cols(names)).alias("__facts")).scalar()
+    joined = rows.select("*", value.alias("__facts")).where(F.col("__facts").isNotNull())
+    return joined.select(
+        *cols(rows.columns), *[F.col(f"__facts.`{n}`").alias(n) for n in names]
+    )
