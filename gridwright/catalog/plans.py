@@ -22,6 +22,7 @@ from gridwright.config import (
     day,
 )
 from gridwright.operators import cells, columns, moments
+from gridwright.operators.averaging import average
 from gridwright.operators.diagnostics import Diagnostics
 from gridwright.plans.recipe import run_recipe
 from gridwright.plans.split import publish_split_join, run_split_join
@@ -200,6 +201,35 @@ def recipe_incremental(spark, folder):
     return found.withColumn("reading", F.round("reading", 6))
 
 
+@query(
+    "clean_convert_average_daily",
+    f"""WITH {DIRTY_SQL},
+c AS (SELECT date_trunc('day', ts) AS ps, CASE WHEN regexp_matches(trim(reading), '^[0-9.]+$')
+        THEN CAST(trim(reading) AS DECIMAL(18,2)) END AS pm FROM dirty),
+r AS (SELECT unnest(generate_series(min(ps), max(ps), INTERVAL 1 DAY)) AS ps FROM c),
+a AS (SELECT ps, count(*) AS n, count(pm) AS valid, CAST(sum(pm) AS DOUBLE) / count(pm) AS pm,
+             CAST(sum(pm * 1000) AS DOUBLE) / count(pm) AS no2_ppb FROM c GROUP BY 1)
+SELECT ps AS "Period_Start", valid, round(pm, 6) AS pm, round(no2_ppb, 6) AS no2_ppb FROM r LEFT JOIN a USING (ps)""",
+)
+def baseline_job(spark, folder):
+    """Raw text rows: markers to null, ppm to ppb, daily means. Raw events are irregular, so
+    the input interval is one microsecond and completeness is reported, not enforced."""
+    df = dirty(spark, folder).select(F.col("ts").cast("timestamp").alias("ts"), "reading")
+    df = cells.normalize_nulls(df, ["N/A", "-999", ""], ["reading"])
+    df = cells.resolve_invalid_numbers(df, ["reading"], typed=True)
+    df = cells.convert_concentration(df, "reading", "ppm_to_ppb", output="no2_ppb")
+    cfg = AveragingConfig(
+        "ts", timedelta(microseconds=1), "UTC",
+        (FieldRule("reading", output_name="pm"), FieldRule("no2_ppb")),
+        (Stage(day(), Completeness(1e-12)),),
+    )
+    stage = average(df, cfg).stages[0]
+    return stage.frame.select(
+        F.col("_start").alias("Period_Start"), F.col("_n0").alias("valid"),
+        F.round("pm", 6).alias("pm"), F.round("no2_ppb", 6).alias("no2_ppb"),
+    )
+
+
 @query(
     "audited_steps",
     f"""WITH {DIRTY_SQL}

@@ -24,8 +24,14 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE))
 
 
+# A finite decimal number. Possessive quantifiers keep long non-numbers from backtracking.
+NUMBER = r"^[+-]?(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?$"
+
+
 def _plain_number(text: Column) -> Column:
-    return F.translate(strip(text), "_", "")
+    """Stripped text without the underscores that may group digits."""
+    bare = strip(text)
+    return F.when(text.contains("_"), F.translate(bare, "_", "")).otherwise(bare)
 
 
 def to_decimal(value: Column, kind: T.DataType, target: str = DECIMAL) -> Column:
@@ -41,13 +47,11 @@ def to_decimal(value: Column, kind: T.DataType, target: str = DECIMAL) -> Column
 
 
 def to_double(value: Column, kind: T.DataType) -> Column:
-    """Finite DOUBLE of a text or numeric column, null where it is not a finite number."""
+    """DOUBLE of a text or numeric column, null where it is not a finite number."""
     if is_text(kind):
+        # The shape check comes first: Spark also reads NaN, Infinity and Java's 1.5f.
         plain = _plain_number(value)
-        # Spark also reads NaN, Infinity and Java's 1.5f / 1.5d spellings; all of those hold
-        # a letter other than an exponent.
-        number = F.when(~plain.rlike("[^0-9eE+.-]"), plain.try_cast("double"))
-        return F.when(F.abs(number) < float("inf"), number)
+        return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
     if is_float(kind):
         number = value.cast("double")
         return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
@@ -59,7 +63,7 @@ def to_double(value: Column, kind: T.DataType) -> Column:
 def is_number(value: Column, kind: T.DataType) -> Column:
     """True where a non-null cell holds a finite number."""
     if is_text(kind):
-        return to_double(value, kind).isNotNull()
+        return _plain_number(value).rlike(NUMBER)
     if is_float(kind):
         return ~F.isnan(value) & (F.abs(value) < float("inf"))
     return F.lit(isinstance(kind, T.NumericType))

@@ -16,6 +16,7 @@ from gridwright.functions.names import col, cols
 from gridwright.functions.zones import (
     anchor_micros,
     canonical_zone,
+    fixed_offset_micros,
     iso_text,
     wall_micros,
     with_boundary,
@@ -178,6 +179,13 @@ def with_bounds(
             F.timestamp_micros(origin + at * step).alias(start),
             F.timestamp_micros(origin + (at + 1) * step).alias(end),
         )
+    elif fixed_offset_micros(zone) is not None:
+        back = day_shift * MICROS_PER_DAY - fixed_offset_micros(zone)
+        df = df.select(
+            "*",
+            F.timestamp_micros(slot_wall(spec, at) + big(back)).alias(start),
+            F.timestamp_micros(slot_wall(spec, at + 1) + big(back)).alias(end),
+        )
     else:
         shift = big(day_shift * MICROS_PER_DAY)
         df = df.select(

@@ -355,15 +355,17 @@ def _first_stage(df: DataFrame, config: AveragingConfig) -> StageResult:
         else:
             aggregates.append(statistic(col(f"_x{i}"), f.statistic, weight).alias(f"_v{i}"))
     phase = F.pmod(F.unix_micros(ts), big(step))
-    rows = df.where(ts.isNotNull()).select(
+    rows = df.select(
         *cols(keys), slot_of(stage.period, ts, config.zone).alias("_slot"), phase.alias("_phase"),
         *values,
     )
+    # Rows without a timestamp group under a null slot. They are dropped by an aggregate of
+    # theirs: a filter on the slot would be pushed to the rows and work every timestamp out twice.
     grouped = rows.groupBy(*cols(keys), "_slot").agg(
         *aggregates,
         F.min("_phase").alias("_phase_lo"),
         F.max("_phase").alias("_phase_hi"),
-    )
+    ).where(col("_phase_lo").isNotNull())
     for i in selected:
         medians = exact_median(rows, [*keys, "_slot"], f"_x{i}", f"_v{i}")
         grouped = (
@@ -493,7 +495,9 @@ def series_violations(
     rows = df.select(*named, ts.alias("ts"), *([col(order)] if order in df.columns else []))
     invalid = rows.where(col("ts").isNull()).groupBy(*named).agg(
         F.count("*").alias("n_rows")
-    ).select(F.lit("invalid").alias("kind"), *named, F.lit(None).cast("timestamp").alias("ts"), "n_rows")
+    ).where("n_rows > 0").select(
+        F.lit("invalid").alias("kind"), *named, F.lit(None).cast("timestamp").alias("ts"), "n_rows"
+    )
     valid = rows.where(col("ts").isNotNull())
     found = invalid.unionByName(
         valid.groupBy(*named, "ts").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select(

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from gridwright.config import InvalidPolicy
 from gridwright.functions import numeric
-from gridwright.functions.names import col, cols, dtype, is_float, is_text, put, require
-from gridwright.operators.diagnostics import Diagnostics, watch
+from gridwright.functions.names import col, dtype, is_float, is_text, require
+from gridwright.operators.diagnostics import Diagnostics, watch, write_result
 
 ROW_MODES = (
     "all_measurements_missing",
@@ -228,8 +228,9 @@ def round_column(
 ) -> DataFrame:
     """Half-up rounding to a DECIMAL column."""
     number = numeric.to_decimal(col(source), dtype(df, source))
-    return write_numeric(
-        df, source, output, numeric.round_half_up(number, decimals), policy, notes
+    return write_result(
+        df, source, output, numeric.round_half_up(number, decimals), numeric.DECIMAL, policy,
+        "invalid_numeric_values", notes,
     )
 
 
@@ -245,28 +246,7 @@ def convert_concentration(
     if conversion not in numeric.CONCENTRATION:
         raise ValueError(f"unknown conversion {conversion!r}")
     number = numeric.to_decimal(col(source), dtype(df, source), numeric.CONCENTRATION_INPUT)
-    return write_numeric(
-        df, source, output, numeric.concentration(number, conversion), policy, notes
+    return write_result(
+        df, source, output, numeric.concentration(number, conversion), numeric.DECIMAL, policy,
+        "invalid_numeric_values", notes,
     )
-
-
-def write_numeric(
-    df: DataFrame,
-    source: str,
-    output: str | None,
-    result: Column,
-    policy: InvalidPolicy,
-    notes: Diagnostics | None,
-) -> DataFrame:
-    """Write a numeric result under a policy. PRESERVE keeps the source text of failed cells
-    in ``<output>_source``."""
-    raw = col(source)
-    failed = raw.isNotNull() & result.isNull()
-    df = watch(notes, df, "invalid_numeric_values", F.count_if(failed))
-    if policy is InvalidPolicy.STOP:
-        message = F.concat(F.lit(f"invalid number in {source}: "), raw.cast("string"))
-        result = F.when(failed, F.raise_error(message).cast(numeric.DECIMAL)).otherwise(result)
-    name = output or source
-    if policy is InvalidPolicy.PRESERVE:
-        df = put(df, f"{name}_source", F.when(failed, raw.cast("string")))
-    return put(df, name, result, replaces=source)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gridwright.config import InvalidPolicy
+from gridwright.functions.names import col, put
 
 
 class Diagnostics:
@@ -39,11 +40,48 @@ def settle(
     """Apply STOP to cells whose result is null although the source is not.
 
     NULL and PRESERVE leave the result as is; PRESERVE keeps the source text in a companion
-    column, because a Spark column holds one type.
+    column, because a Spark column holds one type. The result is evaluated once.
     """
     if policy is not InvalidPolicy.STOP:
         return result
-    failed = raw.isNotNull() & result.isNull()
-    return F.when(
-        failed, F.raise_error(F.concat(F.lit(message + ": "), raw.cast("string"))).cast(kind)
-    ).otherwise(result)
+    error = F.raise_error(F.concat(F.lit(message + ": "), raw.cast("string"))).cast(kind)
+    return F.coalesce(result, F.when(raw.isNotNull(), error))
+
+
+def write_result(
+    df: DataFrame,
+    source: str,
+    output: str | None,
+    result: Column,
+    kind: str,
+    policy: InvalidPolicy,
+    code: str,
+    notes: Diagnostics | None,
+) -> DataFrame:
+    """Write a computed column under a policy.
+
+    With counting or PRESERVE the result becomes a column of its own first, so that it is
+    worked out once however often it is looked at.
+    """
+    raw, name = col(source), output or source
+    if notes is None and policy is not InvalidPolicy.PRESERVE:
+        message = f"{code} in {source}"
+        return put(df, name, settle(raw, result, policy, message, kind), replaces=source)
+    names = df.columns
+    df = df.select("*", result.alias("__result"))
+    failed = raw.isNotNull() & col("__result").isNull()
+    df = watch(notes, df, code, F.count_if(failed))
+    value = settle(raw, col("__result"), policy, f"{code} in {source}", kind)
+    extra = (
+        [F.when(failed, raw.cast("string")).alias(f"{name}_source")]
+        if policy is InvalidPolicy.PRESERVE
+        else []
+    )
+    if extra and f"{name}_source" in names:
+        raise ValueError(f"column {name + '_source'!r} already exists")
+    if name != source and name in names:
+        raise ValueError(f"column {name!r} already exists")
+    kept = [value.alias(n) if n == name else col(n) for n in names]
+    if name not in names:
+        kept.append(value.alias(name))
+    return df.select(*kept, *extra)

@@ -10,20 +10,7 @@ from pyspark.sql import types as T
 from gridwright.config import MICROS_PER_DAY, EndMode, InvalidPolicy, TimestampRole, micros
 from gridwright.functions import temporal, zones
 from gridwright.functions.names import col, dtype, is_instant, is_wall, put, require
-from gridwright.operators.diagnostics import Diagnostics, settle, watch
-
-
-def _write(
-    df: DataFrame, source: str, output: str | None, result: Column, kind: str,
-    policy: InvalidPolicy, code: str, notes: Diagnostics | None,
-) -> DataFrame:
-    raw, name = col(source), output or source
-    failed = raw.isNotNull() & result.isNull()
-    df = watch(notes, df, code, F.count_if(failed))
-    if policy is InvalidPolicy.PRESERVE:
-        df = put(df, f"{name}_source", F.when(failed, raw.cast("string")))
-    settled = settle(raw, result, policy, f"{code} in {source}", kind)
-    return put(df, name, settled, replaces=source)
+from gridwright.operators.diagnostics import Diagnostics, watch, write_result
 
 
 def parse_datetime(
@@ -38,7 +25,7 @@ def parse_datetime(
     """Read a column by one named profile or mask; nulls pass."""
     p = temporal.profile(profile)
     value = temporal.parse(col(source), dtype(df, source), p)
-    return _write(
+    return write_result(
         df, source, output, value, p.spark_type, policy, "invalid_temporal_values", notes
     )
 
@@ -57,7 +44,9 @@ def format_datetime(
     profile applied to zone-less values fails by policy."""
     zone = zones.canonical_zone(zone) if isinstance(zone, str) else zone
     value = temporal.format_value(col(source), dtype(df, source), profile, zone)
-    return _write(df, source, output, value, "string", policy, "invalid_temporal_values", notes)
+    return write_result(
+        df, source, output, value, "string", policy, "invalid_temporal_values", notes
+    )
 
 
 def interpretations(df: DataFrame, source: str, order: str = "_ord") -> DataFrame:

@@ -78,8 +78,7 @@ def prepare(df: DataFrame, plan: AveragePlan, notes: Diagnostics | None = None)
     value = col(ts)
     if is_wall(kind):
         value = zones.localize_lenient(value, zones.canonical_zone(plan.source_zone))
-    present = F.when(col(ts).isNull(), missing.cast("timestamp")).otherwise(value)
-    df = put(df, ts, present, replaces=ts)
+    df = put(df, ts, F.coalesce(value, missing.cast("timestamp")), replaces=ts)
     names = {f.column for f in config.fields}
     names |= {f.duration_column for f in config.fields if f.duration_column}
     read = to_decimal if plan.exact else to_double
