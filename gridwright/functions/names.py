@@ -16,8 +16,9 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def cols(names: Iterable[str]) -> list[Column]:
-    return [col(n) for n in names]
+def cols(names: Iterable[str]) -> list[str]:
+    """Quoted names, accepted wherever Spark takes columns (cheaper to build than Columns)."""
+    return [quoted(n) for n in names]
 
 
 def dtype(df: DataFrame, name: str) -> T.DataType:
@@ -38,7 +39,7 @@ def put(
     """Replace ``replaces`` in place when it has this name, else append; never overwrite
     any other existing column."""
     if name == replaces:
-        return df.select(*[value.alias(n) if n == name else col(n) for n in df.columns])
+        return df.select(*[value.alias(n) if n == name else quoted(n) for n in df.columns])
     if name in df.columns:
         raise ValueError(f"column {name!r} already exists")
     if not name.strip():
@@ -46,7 +47,7 @@ def put(
     where = len(df.columns) if position is None else position
     if not 0 <= where <= len(df.columns):
         raise ValueError(f"position {where} lies outside the table")
-    out = cols(df.columns)
+    out: list[str | Column] = [*cols(df.columns)]
     out.insert(where, value.alias(name))
     return df.select(*out)
 

@@ -11,7 +11,8 @@ from gridwright.functions.names import col, put
 class Diagnostics:
     """Collects named counts through ``DataFrame.observe``: no extra pass over the data.
 
-    Counts are available after the first action on the observed frame.
+    Counts belong to the first action on the observed frame. A global sort runs its input
+    twice (once to sample), which would count twice: the sinks stage their rows before sorting.
     """
 
     def __init__(self) -> None:

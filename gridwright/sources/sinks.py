@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from gridwright.config import MissingOutput
 from gridwright.functions.names import col, cols, dtype
 from gridwright.functions.numeric import DECIMAL, NumberMask
+from gridwright.session import materialize
 
 # Text written for a missing cell.
 SENTINELS = {MissingOutput.NA: "N/A", MissingOutput.MINUS_999: "-999"}
@@ -85,10 +86,11 @@ def write_delimited(
     """Write a folder of delimited files with a header each.
 
     With ``order`` the rows are range partitioned and sorted, so files follow each other in
-    order without passing one task.
+    order without passing one task. They are staged first: sampling the ranges would otherwise
+    work the whole plan out a second time.
     """
     if order:
-        df = df.orderBy(*cols(order))
+        df = materialize(df, "sorted").orderBy(*cols(order))
     text = apply_missing(df, policy, custom, masks=masks)
     writer = text.write.mode("overwrite" if overwrite else "errorifexists")
     options = {"header": "true", "sep": delimiter, "escape": '"', "emptyValue": '""',
@@ -134,9 +136,10 @@ def write_periods(
     """One folder per output (``by`` columns), rows ascending inside each.
 
     Range partitioning on (by, order) balances files whatever the size of one output: a
-    period holding a third of the rows becomes many files in order, not one task.
+    period holding a third of the rows becomes many files in order, not one task. Rows are
+    staged first, see ``write_delimited``.
     """
-    rows = df.repartitionByRange(*cols(by), *cols(order)).sortWithinPartitions(
+    rows = materialize(df, "periods").repartitionByRange(*cols(by), *cols(order)).sortWithinPartitions(
         *cols(by), *cols(order)
     )
     writer = rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*by)

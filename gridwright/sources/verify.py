@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridwright.functions.names import col, cols
+from gridwright.functions.names import col
 from gridwright.operators.diagnostics import Diagnostics
 
 CHECKS = "check string, passed boolean, warning boolean, detail string"
@@ -103,8 +103,8 @@ def status(checks: Sequence[tuple]) -> str:
 
 def differing_rows(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows of either side missing from the other; run only after a digest mismatch."""
-    left = actual.select(*[c.cast("string").alias(n) for n, c in zip(actual.columns, cols(actual.columns))])
-    right = expected.select(*[c.cast("string").alias(n) for n, c in zip(expected.columns, cols(expected.columns))])
+    left = actual.select(*[col(n).cast("string").alias(n) for n in actual.columns])
+    right = expected.select(*[col(n).cast("string").alias(n) for n in expected.columns])
     return left.exceptAll(right).select(F.lit("unexpected").alias("side"), "*").unionByName(
         right.exceptAll(left).select(F.lit("missing").alias("side"), "*")
     )
