@@ -40,7 +40,8 @@ def to_decimal(value: Column, kind: T.DataType, target: str = DECIMAL) -> Column
     Booleans and temporal values are never numeric.
     """
     if is_text(kind):
-        return _plain_number(value).try_cast(target)
+        # Nearly every cell reads as it stands; only the rest is stripped and tried again.
+        return F.coalesce(value.try_cast(target), _plain_number(value).try_cast(target))
     if isinstance(kind, T.NumericType):
         return value.try_cast(target)
     return F.lit(None).cast(target)
@@ -51,7 +52,9 @@ def to_double(value: Column, kind: T.DataType) -> Column:
     if is_text(kind):
         # The shape check comes first: Spark also reads NaN, Infinity and Java's 1.5f.
         plain = _plain_number(value)
-        return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
+        return F.when(value.rlike(NUMBER), value.try_cast("double")).when(
+            plain.rlike(NUMBER), plain.try_cast("double")
+        )
     if is_float(kind):
         number = value.cast("double")
         return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
@@ -63,7 +66,7 @@ def to_double(value: Column, kind: T.DataType) -> Column:
 def is_number(value: Column, kind: T.DataType) -> Column:
     """True where a non-null cell holds a finite number."""
     if is_text(kind):
-        return _plain_number(value).rlike(NUMBER)
+        return value.rlike(NUMBER) | _plain_number(value).rlike(NUMBER)
     if is_float(kind):
         return ~F.isnan(value) & (F.abs(value) < float("inf"))
     return F.lit(isinstance(kind, T.NumericType))

@@ -124,6 +124,18 @@ PROFILES = {
     )
 }
 
+# Of these profiles, the spellings that Spark's cast to a timestamp reads the
+# same way (several times faster than a pattern).
+PLAIN_ISO = {
+    "iso_t_second": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}",
+    "iso_t_minute": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}",
+    "iso_utc": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z",
+    "iso_minute": r"\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}",
+    "iso_second": r"\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}",
+    "iso_millisecond": r"\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}",
+    "iso_offset": r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(?:Z|[+-]\d{2}:\d{2})",
+}
+
 _MONTHS = (
     "January February March April May June July August September October November December"
 ).split()
@@ -240,7 +252,10 @@ def parse_text(text: Column, which: str | Profile) -> Column:
     """Read text by one profile; null where it does not match."""
     p = profile(which)
     value = strip(text)
-    source = F.regexp_replace(value, r"\s+", " ") if r"\s+" in p.shape else value
+    source = value
+    if r"\s+" in p.shape:
+        odd = value.rlike(r"\s{2}|[^\S ]")
+        source = F.when(odd, F.regexp_replace(value, r"\s+", " ")).otherwise(value)
     moment = F.coalesce(*[F.try_to_timestamp(source, F.lit(x)) for x in p.patterns])
     if p.two_digit_year:  # 69-99 belong to the previous century
         moment = F.when(F.year(moment) >= 2069, moment - F.expr("interval 100 years")).otherwise(
@@ -252,7 +267,15 @@ def parse_text(text: Column, which: str | Profile) -> Column:
         result = F.pmod(F.unix_micros(moment), F.lit(DAY).cast("bigint"))
     else:
         result = moment if p.aware else moment.cast("timestamp_ntz")
-    return F.when(value.rlike(f"^(?:{p.shape})$"), result)
+    slow = value.rlike(f"^(?:{p.shape})$")
+    if p.name in PLAIN_ISO:
+        fast = text.rlike(f"^{PLAIN_ISO[p.name]}$")
+        return F.when(fast, text.try_cast(p.spark_type)).when(slow, result)
+    if p.name == "iso_date":
+        return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date")).when(
+            slow, result
+        )
+    return F.when(slow, result)
 
 
 def parse_offset_zone(text: Column, which: str | Profile) -> Column:
@@ -341,13 +364,17 @@ def interpretations(text: Column) -> Column:
             )
         )
     present = F.filter(F.array(*readings), lambda r: r["value"].isNotNull())
-    return F.filter(
+    # Bound once: the list is looked at again for every element of itself.
+    return zones.let(
         present,
-        lambda r: ~F.exists(
-            present,
-            lambda o: (o["rank"] < r["rank"])
-            & (o["kind"] == r["kind"])
-            & (o["value"] == r["value"]),
+        lambda found: F.filter(
+            found,
+            lambda r: ~F.exists(
+                found,
+                lambda o: (o["rank"] < r["rank"])
+                & (o["kind"] == r["kind"])
+                & (o["value"] == r["value"]),
+            ),
         ),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,11 +34,17 @@ def marker_match(
     """True where a cell equals a marker of its own type: text never matches a number."""
     if is_text(kind):
         words = [m for m in markers if isinstance(m, str)]
-        text = numeric.strip(value) if strip_text else value
-        words = [w.strip() if strip_text else w for w in words]
-        if not case_sensitive:
-            text, words = F.lower(text), [w.lower() for w in words]
-        hit = text.isin(sorted(set(words))) if words else F.lit(False)
+        words = sorted({w.strip() if strip_text else w for w in words})
+        if not words:
+            hit = F.lit(False)
+        elif case_sensitive and not strip_text:
+            hit = value.isin(words)
+        else:
+            # One anchored pattern gives up at the first character of an ordinary cell.
+            edge = f"[{numeric.SPACE}]*" if strip_text else ""
+            flags = "" if case_sensitive else "(?iu)"
+            listed = "|".join(re.escape(w) for w in words)
+            hit = value.rlike(f"{flags}^{edge}(?:{listed}){edge}\\z")
     elif isinstance(kind, (T.NumericType, T.BooleanType)):
         numbers = [m for m in markers if isinstance(m, (int, float)) and not isinstance(m, str)]
         real = sorted({float(m) for m in numbers if not math.isnan(m)})

@@ -87,7 +87,8 @@ def read_moment(text: Column) -> Column:
         )
         for shape, pattern in MOMENTS
     ]
-    return F.coalesce(*readings)
+    # One cheap look spares plain words and numbers the whole list.
+    return F.when(text.rlike("^[0-9]{1,4}[-/:]|^[0-9]{8}(T|$)"), F.coalesce(*readings))
 
 
 def missing_markers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
