@@ -11,6 +11,8 @@ from gridwright.llm.common import ship_code
 
 #: Query name -> module with ``query(spark, folder)`` and perhaps ``SQL``.
 MODULES = {
+    "op4_suffix_dedup": "suffix_levels",
+    "op6_near_copies": "near_copies",
     "op10_substring_dedup": "substring_words",
 }
 
