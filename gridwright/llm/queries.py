@@ -13,6 +13,7 @@ from gridwright.llm.common import ship_code
 MODULES = {
     "op4_suffix_dedup": "suffix_levels",
     "op6_near_copies": "near_copies",
+    "op9_piece_bpe": "piece_bpe",
     "op10_substring_dedup": "substring_words",
 }
 
