@@ -11,7 +11,9 @@ from gridwright.llm.common import ship_code
 
 #: Query name -> module with ``query(spark, folder)`` and perhaps ``SQL``.
 MODULES = {
+    "op1_secrets": "secrets",
     "op2_jpeg_media": "jpeg_store",
+    "op3_line_labels": "line_labels",
     "op4_suffix_dedup": "suffix_levels",
     "op6_near_copies": "near_copies",
     "op9_piece_bpe": "piece_bpe",
