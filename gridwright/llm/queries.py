@@ -16,6 +16,8 @@ MODULES = {
     "op3_line_labels": "line_labels",
     "op4_suffix_dedup": "suffix_levels",
     "op6_near_copies": "near_copies",
+    "op5_url_filter": "url_filter",
+    "op8_tool_calls": "tool_calls",
     "op7_packing": "packing",
     "op9_piece_bpe": "piece_bpe",
     "op10_substring_dedup": "substring_words",
