@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -87,17 +88,21 @@ def longs(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+@lru_cache(maxsize=8)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only a local session may leave that setting out; a temporary folder is then set once.
+    Only a local session may leave that setting out; one temporary folder then takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

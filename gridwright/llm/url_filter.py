@@ -69,20 +69,24 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
                      F.lit(v).alias("verdict")))
         for h, p, v in rules
     ]
-    return F.array_max(F.array_compact(F.array(*fits)))
+    none = F.lit(None).cast("struct<n int, rule string, verdict string>")
+    return F.array_max(F.array_compact(F.array(none, *fits)))
 
 
 def grams(host: Column, path: Column) -> Column:
     """Buckets of the character n-grams of ``^host`` and ``path$``."""
     text = F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$"))
 
-    def of(size: int) -> Column:
-        last = F.greatest(F.char_length(text) - size + 1, F.lit(1))
+    def of(t: Column, size: int) -> Column:
+        last = F.greatest(F.char_length(t) - size + 1, F.lit(1))
         return F.transform(
             F.sequence(F.lit(1), last),
-            lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(size))), F.lit(BUCKETS)))
+            lambda i: F.pmod(F.xxhash64(F.substring(t, i, F.lit(size))), F.lit(BUCKETS)))
 
-    return F.concat(*[of(n) for n in SIZES])
+    # The text is the variable of an outer transform, so that it is worked out once per row and
+    # not once per n-gram.
+    each = F.transform(F.array(text), lambda t: F.concat(*[of(t, n) for n in SIZES]))
+    return F.element_at(each, 1)
 
 
 def trained(labelled: DataFrame) -> tuple[list[float], float]:
@@ -90,15 +94,16 @@ def trained(labelled: DataFrame) -> tuple[list[float], float]:
     host, path = split_url()
     rows = labelled.where("unwanted in (0, 1)").orderBy(F.xxhash64("url"), "url").limit(
         MOST_LABELLED).select(
-        F.col("unwanted").cast("double").alias("label"), grams(host, path).alias("grams"))
+        F.col("unwanted").cast("double").alias("label"), grams(host, path).alias("grams")
+    ).coalesce(1).cache()  # keeps the n-grams from being worked out once per bucket
     counts = F.transform(
         F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
         lambda b: F.size(F.filter("grams", lambda g: g == b)).cast("double"))
-    rows = rows.select("label", array_to_vector(counts).alias("features")).coalesce(1).cache()
     labels = {r.label for r in rows.select("label").distinct().collect()}
     if len(labels) < 2:
         return [0.0] * BUCKETS, -1.0
-    model = LogisticRegression(maxIter=40, regParam=0.02, standardization=False).fit(rows)
+    vectors = rows.select("label", array_to_vector(counts).alias("features"))
+    model = LogisticRegression(maxIter=40, regParam=0.02, standardization=False).fit(vectors)
     rows.unpersist()
     return [float(x) for x in model.coefficients], float(model.intercept)
 
