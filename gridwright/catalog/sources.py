@@ -82,11 +82,12 @@ SELECT "column", CASE WHEN bools THEN 'Boolean' WHEN ints >= 0.95 THEN 'Integer'
   CAST(CASE WHEN bools THEN 1.0 WHEN ints >= 0.95 THEN ints WHEN nums >= 0.95 THEN nums
    WHEN moments >= 0.8 THEN moments WHEN k <= 20 AND n >= 5 THEN 0.8 ELSE 0.9 END AS DOUBLE) AS confidence,
   coalesce(slashes, false) AND moments >= 0.8 AS ambiguous_regional,
-  CASE WHEN k > 1000 THEN 1000 ELSE k END AS unique_count, n FROM f
-UNION ALL SELECT 'void', 'Empty', 1.0, false, 1000, 0""",
+  k AS unique_count, n FROM f
+UNION ALL SELECT "column", 'Empty', 1.0, false, 0, 0 FROM (SELECT DISTINCT "column" FROM long)
+WHERE "column" NOT IN (SELECT "column" FROM f)""",
 )
 def types(spark, folder):
-    return profile.infer_types(texts(spark, folder), NAMES, sample_limit=None)
+    return profile.infer_types(texts(spark, folder), NAMES)
 
 
 @query(
@@ -110,7 +111,7 @@ FROM n ORDER BY n DESC, seen LIMIT 1""",
 )
 def interval(spark, folder):
     return profile.likely_interval(
-        table(spark, folder, "orders"), "o_orderdate", order="o_orderkey", sample_limit=None
+        table(spark, folder, "orders"), "o_orderdate", order="o_orderkey"
     )
 
 

@@ -29,8 +29,10 @@ from gridwright.functions.names import col, cols, dtype, is_float, require
 from gridwright.functions.periods import (
     ANCHORED,
     CLOCKED,
+    SLOTS_PER_BLOCK,
     big,
     explode_range,
+    floor_div,
     slot_of,
     slot_wall,
     step_micros,
@@ -47,11 +49,6 @@ from gridwright.operators.ordering import int_chunk, successive_pairs
 ADDITIVE = (Statistic.SUM, Statistic.RAINFALL_ACCUMULATION)
 MEANS = (Statistic.ARITHMETIC_MEAN, Statistic.RAIN_RATE_MEAN)
 
-# Above this many values per group an exact median is found by rank selection instead of
-# holding the group's values in one aggregation buffer.
-MEDIAN_BUFFER = 1 << 20
-
-
 def _fail(message: str, kind: str) -> Column:
     return F.raise_error(F.lit(message)).cast(kind)
 
@@ -230,24 +227,41 @@ def _may_vanish(spec: PeriodSpec, zone: str) -> bool:
 
 
 def fill_periods(
-    grouped: DataFrame, spec: PeriodSpec, zone: str, keys: Sequence[str], max_periods: int
+    grouped: DataFrame, spec: PeriodSpec, zone: str, keys: Sequence[str],
+    max_periods: int | None = None,
 ) -> DataFrame:
     """Add the unpopulated periods between each key's first and last populated one.
 
     Works on grouped rows only (one per key and period): each row is repeated up to the next
-    populated slot, so the source is scanned once and nothing is joined back.
+    populated slot, so the source is scanned once and nothing is joined back. Slots are cut into
+    chunks; the next slot comes from a window over the chunk, and for the last row of a chunk
+    from a window over the first and last rows of all chunks of the key. A long gap is cut into
+    blocks, so no array grows with it.
     """
-    per_key = Window.partitionBy(*cols(keys))
-    following = F.lead("_slot").over(per_key.orderBy("_slot"))
-    span = F.max("_slot").over(per_key) - F.min("_slot").over(per_key)
-    last = F.coalesce(following - 1, col("_slot"))
-    guarded = F.when(
-        span >= max_periods, _fail(f"the range exceeds the {max_periods:,}-period limit", "bigint")
-    ).otherwise(last)
     measures = [c for c in grouped.columns if c not in keys and c != "_slot"]
-    rows = grouped.select("*", guarded.alias("__last")).select(
-        "*", F.explode(F.sequence(col("_slot"), col("__last"))).alias("__at")
+    rows = grouped.withColumn("__chunk", floor_div(col("_slot"), SLOTS_PER_BLOCK))
+    inside = Window.partitionBy(*cols(keys), col("__chunk")).orderBy("_slot")
+    rows = rows.select(
+        "*", F.lead("_slot").over(inside).alias("__near"),
+        F.lag("_slot").over(inside).isNull().alias("__opens"),
     )
+    closes = col("__near").isNull()
+    edge = col("__opens") | closes
+    rows = rows.withColumn("__place", F.when(~edge, col("__chunk")))
+    edges = Window.partitionBy(*cols(keys), col("__place"))
+    following = F.when(closes, F.lead("_slot").over(edges.orderBy("_slot"))).otherwise(col("__near"))
+    last = F.coalesce(following - 1, col("_slot"))
+    if max_periods is not None:
+        span = F.max("_slot").over(edges) - F.min("_slot").over(edges)
+        limit = _fail(f"the range exceeds the {max_periods:,}-period limit", "bigint")
+        last = F.when(edge & (span >= max_periods), limit).otherwise(last)
+    part = F.sequence(big(0), floor_div(col("__last") - col("_slot"), SLOTS_PER_BLOCK))
+    rows = rows.select(*cols(keys), "_slot", *cols(measures), last.alias("__last")).select(
+        "*", F.explode(part).alias("__part")
+    )
+    low = col("_slot") + col("__part") * SLOTS_PER_BLOCK
+    high = F.least(col("__last"), low + SLOTS_PER_BLOCK - 1)
+    rows = rows.select("*", F.explode(F.sequence(low, high)).alias("__at"))
     here = col("__at") == col("_slot")
     filled = rows.select(
         *cols(keys), col("__at").alias("_slot"), *[F.when(here, col(m)).alias(m) for m in measures]
@@ -278,60 +292,39 @@ def _same_keys(keys: Sequence[str], left: str, right: str, slot: bool = True) ->
     return pairs
 
 
-def _needs_selection(rule: FieldRule, config: AveragingConfig, stage: Stage) -> bool:
-    if rule.statistic is not Statistic.MEDIAN:
-        return False
-    return micros(stage.period.longest) // micros(config.interval) > MEDIAN_BUFFER
+# Share of the values on either side of the middle that the bounds of a median leave in.
+MEDIAN_MARGIN, MEDIAN_ACCURACY = 0.002, 10_000
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, output: str) -> DataFrame:
-    """Exact group medians by rank selection, for groups too large for one buffer.
+    """Exact group medians by rank selection, one way for groups of all sizes.
 
-    Equal values are counted before the shuffle. A first pass counts values per coarse bin
-    (at most 65,536 per group) and finds the bins holding the two middle ranks; only those
-    bins are ranked value by value.
+    A mergeable quantile summary of fixed size bounds the middle of each group by rank, whatever
+    the values are. Values below the bounds are only counted. The few between them (about 0.4 %
+    of a large group, equal values counted once) are ranked one by one.
     """
-    edge = df.where(col(value).isNotNull()).groupBy(*cols(keys)).agg(
-        F.min(col(value).cast("double")).alias("__min"),
-        F.max(col(value).cast("double")).alias("__max"),
-        F.count("*").alias("__n"),
+    number = col(value).cast("double")
+    rows = df.where(col(value).isNotNull()).select(*cols(keys), number.alias("__v"))
+    middle = F.array(F.lit(0.5 - MEDIAN_MARGIN), F.lit(0.5 + MEDIAN_MARGIN))
+    bounds = rows.groupBy(*cols(keys)).agg(
+        F.percentile_approx("__v", middle, F.lit(MEDIAN_ACCURACY)).alias("__m"),
+        F.count(F.lit(1)).alias("__n"),
+    ).select(
+        *[col(k).alias(f"__e{i}") for i, k in enumerate(keys)],
+        F.col("__m")[0].alias("__lo"), F.col("__m")[1].alias("__hi"), "__n",
     )
-    counted = df.where(col(value).isNotNull()).groupBy(
-        *cols(keys), col(value).cast("double").alias("__v")
-    ).agg(F.count("*").alias("__c"))
-    renamed = edge.select(*[col(k).alias(f"__e{i}") for i, k in enumerate(keys)], "__min", "__max", "__n")
     same = [col(k).eqNullSafe(col(f"__e{i}")) for i, k in enumerate(keys)] or F.lit(True)
-    # Halve before subtracting so the spread of extreme doubles stays finite.
-    spread = col("__max") / 2 - col("__min") / 2
-    place = (col("__v") / 2 - col("__min") / 2) / spread
-    binned = counted.join(renamed, same).select(
-        *cols(keys), "__v", "__c", "__n",
-        F.when(spread > 0, F.floor(place * 65_535)).otherwise(F.lit(0)).cast("bigint").alias("__bin"),
-    )
-    per_bin = binned.groupBy(*cols(keys), "__bin").agg(
-        F.sum("__c").alias("__bc"), F.max("__n").alias("__n")
-    )
-    run = Window.partitionBy(*cols(keys)).orderBy("__bin")
+    counted = rows.groupBy(*cols(keys), "__v").agg(F.count(F.lit(1)).alias("__c"))
+    below = col("__v") < col("__lo")
+    near = counted.join(bounds, same).where(col("__v") <= col("__hi")).groupBy(
+        *cols(keys), "__n", F.when(~below, col("__v")).alias("__v")
+    ).agg(F.sum("__c").alias("__c"))  # all values below the bounds become one row
+    run = Window.partitionBy(*cols(keys)).orderBy(F.asc_nulls_first("__v"))
+    ranked = near.select("*", (F.sum("__c").over(run) - col("__c")).alias("__at"))
     low, high = F.expr("(__n - 1) div 2"), F.expr("__n div 2")
-    ranked = per_bin.select(
-        *cols(keys), "__bin", "__n", (F.sum("__bc").over(run) - col("__bc")).alias("__before"), "__bc"
-    ).where((col("__before") + col("__bc") > low) & (col("__before") <= high))
-    bins = ranked.select(
-        *[col(k).alias(f"__b{i}") for i, k in enumerate(keys)], col("__bin").alias("__bb"), "__before"
-    )
-    same_bin = [col(k).eqNullSafe(col(f"__b{i}")) for i, k in enumerate(keys)]
-    inside = Window.partitionBy(*cols(keys), col("__bin")).orderBy("__v")
-    picked = binned.join(bins, [*same_bin, col("__bin") == col("__bb")]).select(
-        *cols(keys), "__v", "__c", "__n",
-        (col("__before") + F.sum("__c").over(inside) - col("__c")).alias("__at"),
-    )
-    holds_low = (col("__at") <= low) & (low < col("__at") + col("__c"))
-    holds_high = (col("__at") <= high) & (high < col("__at") + col("__c"))
-    return picked.groupBy(*cols(keys)).agg(
-        ((F.max(F.when(holds_low, col("__v"))) + F.max(F.when(holds_high, col("__v")))) / 2).alias(
-            output
-        )
-    )
+    holds = [(col("__at") <= r) & (r < col("__at") + col("__c")) for r in (low, high)]
+    found = [F.max(F.when(h, col("__v"))) for h in holds]
+    return ranked.groupBy(*cols(keys)).agg(((found[0] + found[1]) / 2).alias(output))
 
 
 def _first_stage(df: DataFrame, config: AveragingConfig) -> StageResult:
@@ -350,7 +343,7 @@ def _first_stage(df: DataFrame, config: AveragingConfig) -> StageResult:
             weight = col(f"_w{i}")
         values.append(value.alias(f"_x{i}"))
         aggregates.append(F.count(col(f"_x{i}")).alias(f"_n{i}"))
-        if _needs_selection(f, config, stage):
+        if f.statistic is Statistic.MEDIAN:
             selected.append(i)
         else:
             aggregates.append(statistic(col(f"_x{i}"), f.statistic, weight).alias(f"_v{i}"))
@@ -366,13 +359,19 @@ def _first_stage(df: DataFrame, config: AveragingConfig) -> StageResult:
         F.min("_phase").alias("_phase_lo"),
         F.max("_phase").alias("_phase_hi"),
     ).where(col("_phase_lo").isNotNull())
-    for i in selected:
+    return finish_first_stage(_with_medians(grouped, rows, keys, selected), config)
+
+
+def _with_medians(
+    grouped: DataFrame, rows: DataFrame, keys: Sequence[str], fields: Sequence[int]
+) -> DataFrame:
+    for i in fields:
         medians = exact_median(rows, [*keys, "_slot"], f"_x{i}", f"_v{i}")
         grouped = (
             grouped.alias("g").join(medians.alias("m"), _same_keys(keys, "g", "m"), "left")
             .select("g.*", f"m._v{i}")
         )
-    return finish_first_stage(grouped, config)
+    return grouped
 
 
 def finish_first_stage(grouped: DataFrame, config: AveragingConfig) -> StageResult:
@@ -448,15 +447,16 @@ def _next_stage(previous: StageResult, stage: Stage) -> StageResult:
         weight.alias("_w"),
         *[col(f.output).alias(f"_x{i}") for i, f in enumerate(config.fields)],
     )
-    aggregates = []
+    aggregates, selected = [], []
     for i, f in enumerate(config.fields):
         value = col(f"_x{i}")
         w = F.when(value.isNotNull(), col("_w"))
-        aggregates += [
-            F.count(value).alias(f"_n{i}"),
-            statistic(value, f.statistic, w).alias(f"_v{i}"),
-        ]
-    grouped = rows.groupBy(*cols(keys), "_slot").agg(*aggregates)
+        aggregates.append(F.count(value).alias(f"_n{i}"))
+        if f.statistic is Statistic.MEDIAN:
+            selected.append(i)
+        else:
+            aggregates.append(statistic(value, f.statistic, w).alias(f"_v{i}"))
+    grouped = _with_medians(rows.groupBy(*cols(keys), "_slot").agg(*aggregates), rows, keys, selected)
     # The calendar of the previous stage has no holes, so every target period is populated.
     frame = with_bounds(grouped, stage.period, config.zone)
     frame = with_tiling(frame, previous.stage.period, config.zone)

@@ -101,6 +101,9 @@ def suggest_interval(
 
 BLOCK_SLOTS = 4096
 
+# Blocks of a series that one task looks at together.
+CHUNK_BLOCKS = 4096
+
 
 def _blocks(df: DataFrame, config: GapConfig) -> DataFrame:
     """``keys, __phase, __block, __rows, __head, __tail, __size, __inner`` in one pass, with
@@ -138,14 +141,34 @@ def _blocks(df: DataFrame, config: GapConfig) -> DataFrame:
         n.cast("bigint").alias("__size"),
         F.filter(pairs, lambda p: p["z"] - p["a"] > step).alias("__inner"),
     )
-    # Block rows are one per 4,096 slots of a series: windows over a whole series stay small.
-    series = Window.partitionBy(*cols(keys))
-    along = Window.partitionBy(*cols(keys), col("__phase")).orderBy("__block")
-    first, last = F.min("__head").over(series), F.max("__tail").over(series)
+    # A series is cut into chunks of blocks. Neighbours inside a chunk come from a window over the
+    # chunk; only the first and last block of each chunk, which also bound the series, meet in a
+    # window over the series.
+    blocks = blocks.withColumn("__chunk", floor_div(col("__block"), CHUNK_BLOCKS))
+    chunk = Window.partitionBy(*cols(keys), col("__phase"), col("__chunk"))
+    inside = chunk.orderBy("__block")
+    blocks = blocks.select(
+        "*", F.lead("__head").over(inside).alias("__near"),
+        F.lag("__block").over(inside).isNull().alias("__opens"),
+        F.lead("__block").over(inside).isNull().alias("__closes"),
+    )
+    edge = col("__opens") | col("__closes")
+    place = F.when(~edge, F.struct("__phase", "__chunk"))
+    series = Window.partitionBy(*cols(keys), col("__place"))
+    ahead = F.lead(F.struct("__phase", "__head")).over(series.orderBy("__phase", "__block"))
+    blocks = blocks.withColumn("__place", place).select(
+        "*", F.when(edge, F.min("__head").over(series)).alias("__edge_first"),
+        F.when(edge, F.max("__tail").over(series)).alias("__edge_last"), ahead.alias("__ahead"),
+    )
+    following = F.when(
+        col("__closes"), F.when(F.col("__ahead.__phase") == col("__phase"), F.col("__ahead.__head"))
+    ).otherwise(col("__near"))
     blocks = blocks.select(
-        "*", first.alias("__first"), last.alias("__last"), F.lead("__head").over(along).alias("__next")
+        *cols(keys), "__phase", "__block", "__rows", "__head", "__tail", "__size", "__inner",
+        F.max("__edge_first").over(chunk).alias("__first"),
+        F.max("__edge_last").over(chunk).alias("__last"), following.alias("__next"),
     )
-    slots = floor_div(col("__last") - col("__first"), step)
+    slots = _limited(floor_div(col("__last") - col("__first"), step), config)
     on_grid = F.coalesce(col("__phase") == F.pmod("__first", big(step)), F.lit(False))
     return blocks.select(
         "*", (col("__first") + slots * big(step)).alias("__end"), on_grid.alias("__on")
@@ -176,7 +199,7 @@ def expected_grid(df: DataFrame, config: GapConfig) -> DataFrame:
     series = _blocks(df, config).groupBy(*cols(keys)).agg(
         F.max("__first").alias("__first"), F.max("__end").alias("__end")
     ).where(col("__first").isNotNull())
-    count = _limited(floor_div(col("__end") - col("__first"), step), config)
+    count = floor_div(col("__end") - col("__first"), step)
     ranges = series.select(*cols(keys), "__first", big(0).alias("__zero"), count.alias("__count"))
     grid = explode_range(ranges, "__zero", "__count", "__i", keep=[*keys, "__first"])
     at = col("__first") + col("__i") * big(step)
@@ -186,7 +209,9 @@ def expected_grid(df: DataFrame, config: GapConfig) -> DataFrame:
 
 
 def _limited(slots: Column, config: GapConfig) -> Column:
-    """The number of grid steps, refused when the series would exceed the row limit."""
+    """The number of grid steps, refused when a limit was asked for and the series exceeds it."""
+    if config.max_expected_rows is None:
+        return slots
     message = f"a series would have more than {config.max_expected_rows:,} expected rows"
     return F.when(
         slots >= config.max_expected_rows, F.raise_error(F.lit(message)).cast("bigint")
@@ -207,9 +232,8 @@ def _spans(df: DataFrame, config: GapConfig, *, trailing: bool) -> DataFrame:
         col("__inner"), F.when(col("__next") - col("__tail") > step, F.array(between)).otherwise(none)
     )
     if trailing:
-        guarded = _limited(floor_div(col("__end") - col("__first"), step), config)
         after = F.struct(col("__tail").alias("a"), (col("__end") + big(step)).alias("z"))
-        open_end = col("__next").isNull() & (col("__tail") < col("__end")) & (guarded >= 0)
+        open_end = col("__next").isNull() & (col("__tail") < col("__end"))
         runs = F.concat(runs, F.when(open_end, F.array(after)).otherwise(none))
     return blocks.select(*cols(keys), F.explode(runs).alias("__s")).select(
         *cols(keys), F.col("__s.a").alias("__prev"), F.col("__s.z").alias("__next")

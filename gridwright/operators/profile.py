@@ -23,7 +23,6 @@ FALSE_WORDS = ("false", "no", "n")
 NUMBER_SHARE = 0.95
 MOMENT_SHARE = 0.8
 CATEGORY_LIMIT = 20
-SAMPLE_LIMIT = 1000
 
 # Names of common intervals, in seconds.
 INTERVAL_NAMES = {
@@ -166,7 +165,6 @@ def _type_facts(names: Sequence[str], value) -> list[Column]:
                 F.count_if(v.rlike("[:T]")).alias("timed"),
                 F.count_if(slash).alias("slashes"),
                 F.count_if(slash & (day <= 12) & (month <= 12)).alias("open_slashes"),
-                F.approx_count_distinct(v).alias("approx"),
             ).alias(f"f{i}")
         )
     return facts
@@ -179,12 +177,12 @@ def infer_types(
     columns: Sequence[str] | None = None,
     *,
     order: str = "_ord",
-    sample_limit: int | None = SAMPLE_LIMIT,
+    sample_limit: int | None = None,
 ) -> DataFrame:
     """``column, inferred_type, confidence, ambiguous_regional, unique_count, n``.
 
-    Types are judged on the first ``sample_limit`` usable values of each column in source
-    order, or on all of them with ``sample_limit=None``.
+    Types are judged on all usable values; only when asked, on the first ``sample_limit`` of each
+    column in source order.
     """
     names = [n for n in (columns or df.columns) if n != order]
     require(df, *names)
@@ -200,7 +198,7 @@ def infer_types(
     facts = source.agg(*_type_facts(names, col)).select(
         F.explode(F.array(*[F.col(f"f{i}") for i in range(len(names))])).alias("f")
     ).select("f.*")
-    unique = distinct_counts(source, names, facts)
+    unique = distinct_counts(source, names)
     f = facts.join(unique, "column", "left")
     n = F.col("n")
     share = lambda c: F.try_divide(F.col(c), n)
@@ -232,30 +230,21 @@ def infer_types(
         kind.alias("inferred_type"),
         confidence.cast("double").alias("confidence"),
         F.coalesce(ambiguous, F.lit(False)).alias("ambiguous_regional"),
-        F.least(F.coalesce("unique_count", F.lit(SAMPLE_LIMIT)), F.lit(SAMPLE_LIMIT))
-        .cast("bigint").alias("unique_count"),
+        F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"),
         "n",
     )
 
 
-def distinct_counts(source: DataFrame, names: Sequence[str], facts: DataFrame) -> DataFrame:
-    """``column, unique_count`` of the columns that can have at most 1,000 distinct values.
-
-    The approximate counts (about 2 % error) only decide which columns are worth counting
-    exactly; those have few distinct values, so partial aggregation keeps the shuffle small.
-    """
-    approx = {r["column"]: r["approx"] for r in facts.select("column", "approx").collect()}
-    few = [n for n in names if approx.get(n, 0) <= 2 * SAMPLE_LIMIT]
-    cells = F.filter(
-        F.array(
-            *[F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("v")) for n in few]
-        ) if few else F.array().cast("array<struct<column:string,v:string>>"),
-        lambda c: c["v"].isNotNull(),
+def distinct_counts(source: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``column, unique_count``: exact counts of distinct values, equal cells of a task counted
+    once before the shuffle; a column without values has no row."""
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("v")) for n in names]
     )
     return (
-        source.select(F.explode(cells).alias("c")).groupBy("c.column", "c.v").agg(
-            F.count("*").alias("k")
-        ).groupBy("column").agg(F.count("*").alias("unique_count"))
+        source.select(F.explode(cells).alias("c")).where("c.v is not null")
+        .groupBy("c.column", "c.v").agg(F.count("*").alias("k"))
+        .groupBy("column").agg(F.count("*").alias("unique_count"))
     )
 
 
@@ -319,7 +308,7 @@ def likely_interval(
     timestamp: str,
     *,
     order: str = "_ord",
-    sample_limit: int | None = SAMPLE_LIMIT,
+    sample_limit: int | None = None,
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """Most frequent positive step between consecutive readings in source order.
@@ -412,7 +401,7 @@ def preview_slices(
 
 def column_profile(
     df: DataFrame, columns: Sequence[str] | None = None, *, order: str = "_ord",
-    sample_limit: int | None = SAMPLE_LIMIT,
+    sample_limit: int | None = None,
 ) -> DataFrame:
     """Everything known about each column in one frame (one row per column)."""
     names = [n for n in (columns or df.columns) if n != order]

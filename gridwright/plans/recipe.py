@@ -286,7 +286,7 @@ def _average(raw: dict, source: dict, columns: list[dict], output: dict) -> Aver
         a["timestamp_column"], timedelta(seconds=a["input_interval_seconds"]),
         a["reporting_timezone"], tuple(fields), tuple(stages), tuple(raw.get("keys", ())),
         Approach(a.get("approach", "direct")), bool(a.get("allow_reorder", False)),
-        int(a.get("max_periods", 1_000_000)),
+        a.get("max_periods"),
     )
     return AveragePlan(
         config, zone, stamp.get("input_profile"), tuple(source.get("missing_markers", ())),

@@ -44,8 +44,6 @@ def read_sources(
         raise ValueError("every source needs a path")
     if len(set(paths)) != len(paths):
         raise ValueError("the same input cannot be added twice")
-    if len(paths) > splitjoin.MAX_SOURCES:
-        raise ValueError(f"select at most {splitjoin.MAX_SOURCES} sources")
     return [
         splitjoin.prepare_source(read_delimited(spark, s.path, options), s, i, keys=spec.keys)
         for i, s in enumerate(sources)
