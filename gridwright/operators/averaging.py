@@ -327,7 +327,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, output: str) ->
     return ranked.groupBy(*cols(keys)).agg(((found[0] + found[1]) / 2).alias(output))
 
 
-def _first_stage(df: DataFrame, config: AveragingConfig) -> StageResult:
+def _first_stage(df: DataFrame, config: AveragingConfig, strict: bool) -> StageResult:
     stage = config.stages[0]
     keys = list(config.keys)
     step = micros(config.interval)
@@ -348,17 +348,26 @@ def _first_stage(df: DataFrame, config: AveragingConfig) -> StageResult:
         else:
             aggregates.append(statistic(col(f"_x{i}"), f.statistic, weight).alias(f"_v{i}"))
     phase = F.pmod(F.unix_micros(ts), big(step))
+    at = F.unix_micros(ts)
     rows = df.select(
         *cols(keys), slot_of(stage.period, ts, config.zone).alias("_slot"), phase.alias("_phase"),
-        *values,
+        *([at.alias("_at")] if strict else []), *values,
     )
-    # Rows without a timestamp group under a null slot. They are dropped by an aggregate of
-    # theirs: a filter on the slot would be pushed to the rows and work every timestamp out twice.
-    grouped = rows.groupBy(*cols(keys), "_slot").agg(
-        *aggregates,
-        F.min("_phase").alias("_phase_lo"),
-        F.max("_phase").alias("_phase_hi"),
-    ).where(col("_phase_lo").isNotNull())
+    facts = [F.min("_phase").alias("_phase_lo"), F.max("_phase").alias("_phase_hi")]
+    if strict:
+        facts += [F.count(F.lit(1)).alias("_rows"), F.count_distinct("_at").alias("_instants")]
+    # Rows without a timestamp group under a null slot. They are met by an aggregate of theirs: a
+    # filter on the slot would be pushed to the rows and work every timestamp out twice.
+    grouped = rows.groupBy(*cols(keys), "_slot").agg(*aggregates, *facts)
+    if strict:
+        clean = (
+            F.when(col("_phase_lo").isNull(), _fail("a timestamp is missing", "boolean"))
+            .when(col("_rows") != col("_instants"), _fail("an instant is repeated", "boolean"))
+            .otherwise(True)
+        )
+        grouped = grouped.where(clean).drop("_rows", "_instants")
+    else:
+        grouped = grouped.where(col("_phase_lo").isNotNull())
     return finish_first_stage(_with_medians(grouped, rows, keys, selected), config)
 
 
@@ -467,19 +476,22 @@ def _next_stage(previous: StageResult, stage: Stage) -> StageResult:
     return StageResult(previous.index + 1, stage, config, _accept(frame, config, stage))
 
 
-def average(df: DataFrame, config: AveragingConfig, *, strict: bool = False) -> AveragingResult:
+def average(df: DataFrame, config: AveragingConfig, *, strict: bool = True) -> AveragingResult:
     """Average a keyed series whose timestamp is an instant (TIMESTAMP).
 
-    ``strict`` first runs one job over (keys, timestamp) that raises on missing or repeated
-    timestamps and, unless reordering is allowed, on disorder along ``_ord``.
+    Missing and repeated timestamps are refused by the first stage's own aggregate, when the
+    result is worked out. Disorder along an ``_ord`` column, unless reordering is allowed, is
+    refused by a job over (keys, timestamp) before that. ``strict=False`` leaves these checks out
+    for data that is known to be clean: rows without a timestamp are then left out and repeated
+    instants count as often as they come.
     """
     require(df, config.timestamp, *config.keys, *[f.column for f in config.fields])
     require(df, *[f.duration_column for f in config.fields if f.duration_column])
     if not isinstance(dtype(df, config.timestamp), T.TimestampType):
         raise ValueError("averaging needs an instant; give wall-clock timestamps a zone first")
-    if strict:
-        require_clean(series_violations(df, config, grid=False))
-    stages = [_first_stage(df, config)]
+    if strict and "_ord" in df.columns and not config.allow_reorder:
+        require_clean(disorder(df, config))
+    stages = [_first_stage(df, config, strict)]
     for stage in config.stages[1:]:
         stages.append(_next_stage(stages[-1], stage))
     return AveragingResult(stages)
@@ -505,18 +517,23 @@ def series_violations(
         )
     )
     if order in df.columns and not config.allow_reorder:
-        pairs = successive_pairs(valid, keys, [order], int_chunk(col(order)), ["ts"])
-        found = found.unionByName(
-            pairs.where(F.col("next.ts") < F.col("prev.ts")).select(
-                F.lit("disorder").alias("kind"), *named, F.col("next.ts").alias("ts"),
-                F.lit(1).cast("bigint").alias("n_rows"),
-            )
-        )
+        found = found.unionByName(disorder(df, config, order=order))
     if grid:
         found = found.unionByName(off_grid_rows(df, config))
     return found
 
 
+def disorder(df: DataFrame, config: AveragingConfig, *, order: str = "_ord") -> DataFrame:
+    """Rows earlier than the row before them in source order, as violations."""
+    named, ts = cols(config.keys), col(config.timestamp)
+    rows = df.where(ts.isNotNull()).select(*named, ts.alias("ts"), col(order))
+    pairs = successive_pairs(rows, list(config.keys), [order], int_chunk(col(order)), ["ts"])
+    return pairs.where(F.col("next.ts") < F.col("prev.ts")).select(
+        F.lit("disorder").alias("kind"), *named, F.col("next.ts").alias("ts"),
+        F.lit(1).cast("bigint").alias("n_rows"),
+    )
+
+
 def off_grid_rows(df: DataFrame, config: AveragingConfig) -> DataFrame:
     """Instants not a whole number of intervals after their period's start."""
     keys = list(config.keys)

@@ -88,6 +88,6 @@ def prepare(df: DataFrame, plan: AveragePlan, notes: Diagnostics | None = None)
 
 
 def run_average(
-    df: DataFrame, plan: AveragePlan, *, strict: bool = False, notes: Diagnostics | None = None
+    df: DataFrame, plan: AveragePlan, *, strict: bool = True, notes: Diagnostics | None = None
 ) -> AveragingResult:
     return average(prepare(df, plan, notes), plan.config, strict=strict)

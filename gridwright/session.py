@@ -44,11 +44,13 @@ def use_engine_settings(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the cluster's shared folder.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. A local temporary folder
-    is used only when that is unset, which is the case in single-machine tests.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local session may leave
+    that unset; it then gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{base.rstrip('/')}/gridwright-{label}-{uuid.uuid4().hex}"
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,6 @@ from pyspark.sql import types as T
 from gridwright.config import MissingOutput
 from gridwright.functions.names import col, cols, dtype
 from gridwright.functions.numeric import DECIMAL, NumberMask
-from gridwright.session import materialize
 
 # Text written for a missing cell.
 SENTINELS = {MissingOutput.NA: "N/A", MissingOutput.MINUS_999: "-999"}
@@ -86,11 +87,17 @@ def write_delimited(
     """Write a folder of delimited files with a header each.
 
     With ``order`` the rows are range partitioned and sorted, so files follow each other in
-    order without passing one task. They are staged first: sampling the ranges would otherwise
-    work the whole plan out a second time.
+    order without passing one task. They are staged beside the target first, and the copy goes
+    afterwards: sampling the ranges would otherwise work the whole plan out a second time.
     """
     if order:
-        df = materialize(df, "sorted").orderBy(*cols(order))
+        with staged(df, path) as rows:
+            write_delimited(
+                rows.repartitionByRange(*cols(order)).sortWithinPartitions(*cols(order)), path,
+                policy=policy, custom=custom, masks=masks, delimiter=delimiter,
+                overwrite=overwrite, compression=compression,
+            )
+        return
     text = apply_missing(df, policy, custom, masks=masks)
     writer = text.write.mode("overwrite" if overwrite else "errorifexists")
     options = {"header": "true", "sep": delimiter, "escape": '"', "emptyValue": '""',
@@ -101,7 +108,8 @@ def write_delimited(
 
 
 def publish(df_writer, staging: str, target: str, spark, *, overwrite: bool = False) -> None:
-    """All-or-nothing output: ``df_writer(staging)`` writes, then one rename publishes it.
+    """All-or-nothing output: ``df_writer(staging)`` writes, then one rename publishes it. An old
+    output is moved aside before that and comes back if the rename fails.
 
     Uses the cluster's own file-system client, so it works on any path Spark can write.
     """
@@ -113,11 +121,17 @@ def publish(df_writer, staging: str, target: str, spark, *, overwrite: bool = Fa
         raise FileExistsError(target)
     try:
         df_writer(staging)
-        if fs.exists(goal):
-            fs.delete(goal, True)
         fs.mkdirs(goal.getParent())
+        old = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}__old_{uuid.uuid4().hex}")
+        had = fs.exists(goal)
+        if had and not fs.rename(goal, old):
+            raise OSError(f"could not move the old output of {target} aside")
         if not fs.rename(source, goal):
+            if had:
+                fs.rename(old, goal)
             raise OSError(f"could not publish {target}")
+        if had:
+            fs.delete(old, True)
     except Exception:
         if fs.exists(source):
             fs.delete(source, True)
@@ -139,13 +153,26 @@ def write_periods(
     period holding a third of the rows becomes many files in order, not one task. Rows are
     staged first, see ``write_delimited``.
     """
-    rows = materialize(df, "periods").repartitionByRange(*cols(by), *cols(order)).sortWithinPartitions(
-        *cols(by), *cols(order)
-    )
-    writer = rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*by)
-    if fmt == "csv":
-        writer = writer.options(
-            header="true", escape='"', ignoreLeadingWhiteSpace="false",
-            ignoreTrailingWhiteSpace="false",
-        )
-    writer.format(fmt).save(path)
+    place = [*cols(by), *cols(order)]
+    with staged(df, path) as rows:
+        rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
+        writer = rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*by)
+        if fmt == "csv":
+            writer = writer.options(
+                header="true", escape='"', ignoreLeadingWhiteSpace="false",
+                ignoreTrailingWhiteSpace="false",
+            )
+        writer.format(fmt).save(path)
+
+
+@contextmanager
+def staged(df: DataFrame, target: str) -> Iterator[DataFrame]:
+    """A copy of ``df`` beside ``target``, on the same file system, that is deleted at the end."""
+    spark = df.sparkSession
+    path = f"{target.rstrip('/')}__rows_{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

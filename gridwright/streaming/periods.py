@@ -7,19 +7,22 @@ results are appended per micro-batch; the newest version of each window wins, wh
 retries harmless. Calendar periods, completeness and later stages are then an ordinary batch
 aggregation over the small partial table.
 
-An exact median cannot be merged and stays batch-only.
+An exact median cannot be merged and stays batch-only. Of several readings of one instant the
+first that arrives counts; the batch operator refuses them, a stream cannot wait for them.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridwright.config import AveragingConfig, FieldRule, Statistic, micros
+from gridwright.config import MICROS_PER_DAY, AveragingConfig, FieldRule, Statistic, micros
 from gridwright.functions.names import col, cols, dtype, require
-from gridwright.functions.periods import big, slot_of
+from gridwright.functions.periods import ANCHORED, CLOCKED, big, slot_of, step_micros
+from gridwright.functions.zones import anchor_micros, canonical_zone, fixed_offset_micros
 from gridwright.operators.averaging import (
     ADDITIVE,
     MEANS,
@@ -30,26 +33,51 @@ from gridwright.operators.averaging import (
     finite,
 )
 
-PARTS = ("n", "total", "low", "high", "square", "energy", "weight")
+PARTS = ("n", "total", "low", "high", "spread", "energy", "weight")
 
 
 def _parts(i: int, value: Column, weight: Column) -> list[Column]:
     energy = F.pow(F.lit(10.0), value / 10.0)
     made = (
-        F.count(value), F.sum(value), F.min(value), F.max(value), F.sum(value * value),
-        F.sum(energy * weight), F.sum(F.when(value.isNotNull(), weight)),
+        F.count(value), F.sum(value), F.min(value), F.max(value),
+        F.var_pop(value) * F.count(value), F.sum(energy * weight), F.sum(F.when(value.isNotNull(), weight)),
     )
     return [c.alias(f"_{name}{i}") for name, c in zip(PARTS, made)]
 
 
+def check_base(config: AveragingConfig, base: timedelta) -> None:
+    """Refuse base windows that hold a broken interval or straddle a period's edge."""
+    length, step = micros(base), micros(config.interval)
+    if length <= 0 or length % step:
+        raise ValueError("base windows must be a whole number of input intervals")
+    spec, zone = config.stages[0].period, canonical_zone(config.zone)
+    if spec.kind in ANCHORED:
+        places = [step_micros(spec), anchor_micros(spec.anchor, zone)]
+    else:
+        whole = step_micros(spec) if spec.kind in CLOCKED else MICROS_PER_DAY
+        places = [whole, *(spec.day_start_micros - o for o in zone_offsets(zone))]
+    if any(p % length for p in places):
+        raise ValueError("base windows must divide every edge of the first stage's periods")
+
+
+def zone_offsets(zone: str) -> set[int]:
+    """All UTC offsets (micros) that a zone has had or will have between 1970 and 2100."""
+    fixed = fixed_offset_micros(zone)
+    if fixed is not None:
+        return {fixed}
+    rules = ZoneInfo(zone)
+    start = datetime(1970, 1, 1, tzinfo=UTC)
+    days = (start + timedelta(days=d) for d in range(130 * 366))
+    return {micros(d.astimezone(rules).utcoffset()) for d in days}
+
+
 def partial_windows(
     stream: DataFrame, config: AveragingConfig, *, base: timedelta, delay: str
 ) -> DataFrame:
     """Streaming partial results per (keys, base window); repeated instants count once."""
     if any(f.statistic is Statistic.MEDIAN for f in config.fields):
         raise ValueError("an exact median cannot be merged; use the batch operator")
-    if base < config.interval:
-        raise ValueError("base windows must not be shorter than the input interval")
+    check_base(config, base)
     keys = list(config.keys)
     require(stream, config.timestamp, *keys, *[f.column for f in config.fields])
     step = big(micros(config.interval))
@@ -100,6 +128,38 @@ def latest_partials(spark: SparkSession, path: str, keys: tuple[str, ...]) -> Da
     return df.groupBy(*cols(keys), "_at").agg(best).select(*cols(keys), "_at", "p.*")
 
 
+def compact_partials(
+    spark: SparkSession, path: str, target: str, keys: tuple[str, ...]
+) -> DataFrame:
+    """Keep the newest version of each window only, in a folder of its own; batch numbers stay, so
+    later batches of the stream can be written there as well."""
+    df = spark.read.parquet(path)
+    newest = F.max("batch_id").over(Window.partitionBy(*cols(keys), col("_at")))
+    df.withColumn("__newest", newest).where("batch_id = __newest").drop("__newest").write.mode(
+        "overwrite").partitionBy("batch_id").parquet(target)
+    return latest_partials(spark, target, keys)
+
+
+def _merged_spread(i: int) -> Column:
+    """Sum of squared distances from the common mean, merged window by window: differences of
+    means keep their digits where squares of large values would lose them."""
+    part = F.struct(
+        col(f"_n{i}").cast("double").alias("n"), (col(f"_total{i}") / col(f"_n{i}")).alias("mean"),
+        col(f"_spread{i}").alias("spread"),
+    )
+    parts = F.sort_array(F.collect_list(F.when(col(f"_n{i}") > 0, part)))
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("n", "mean", "spread")])
+
+    def merge(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"),
+            (a["spread"] + b["spread"] + apart * apart * a["n"] * b["n"] / n).alias("spread"),
+        )
+
+    return F.aggregate(parts, zero, merge)["spread"]
+
+
 def _merged(i: int, rule: FieldRule) -> Column:
     n = F.sum(f"_n{i}")
     total = F.sum(f"_total{i}")
@@ -115,10 +175,12 @@ def _merged(i: int, rule: FieldRule) -> Column:
     elif which in MEANS:
         value = total / n
     elif which is Statistic.STANDARD_DEVIATION:
-        mean = total / n
-        value = F.sqrt(F.greatest(F.sum(f"_square{i}") / n - mean * mean, F.lit(0.0)))
+        value = F.sqrt(_merged_spread(i) / n)
     else:
-        value = F.lit(10.0) * F.log10(F.sum(f"_energy{i}") / F.sum(f"_weight{i}"))
+        energy = F.sum(f"_energy{i}")
+        too_much = F.raise_error(F.lit("an energy average overflows")).cast("double")
+        energy = F.when(energy == float("inf"), too_much).otherwise(energy)
+        value = F.lit(10.0) * F.log10(energy / F.sum(f"_weight{i}"))
     return F.when(n > 0, value).alias(f"_v{i}")
 
 
