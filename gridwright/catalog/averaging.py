@@ -17,12 +17,10 @@ from gridwright.catalog.base import (
     years,
 )
 from gridwright.config import (
-    Approach,
+    AnchoredDays, AnchoredYear, MonthPeriod, QuarterPeriod, SeasonPeriod, WeekPeriod, YearPeriod,
     AveragingConfig,
     Completeness,
     FieldRule,
-    PeriodKind,
-    PeriodSpec,
     Season,
     Stage,
     Statistic,
@@ -46,7 +44,7 @@ DAY = timedelta(days=1)
 def config(period, *, field="reading", stat=Statistic.ARITHMETIC_MEAN, threshold=0.75,
            keys=("event_type",), zone="UTC", interval=HOUR, duration=None):
     return AveragingConfig(
-        "ts", interval, zone, (FieldRule(field, stat, duration_column=duration),),
+        "ts", interval, zone, (FieldRule(field, stat, weight_column=duration),),
         (Stage(period, Completeness(threshold)),), keys=keys,
     )
 
@@ -127,21 +125,21 @@ register(
 )
 register(
     "average_week_from_sunday",
-    averaged(hourly, config(PeriodSpec(PeriodKind.WEEK, week_start=6))),
+    averaged(hourly, config(WeekPeriod(first_weekday=6))),
     period_sql(
         HOURLY, "date_trunc('week', ts + INTERVAL 1 DAY) - INTERVAL 1 DAY", "INTERVAL 7 DAY"
     ),
 )
 register(
     "average_month",
-    averaged(days, config(PeriodSpec(PeriodKind.CALENDAR_MONTH), keys=(), interval=DAY)),
+    averaged(days, config(MonthPeriod(), keys=(), interval=DAY)),
     period_sql(DAYS, "date_trunc('month', ts)", "INTERVAL 1 MONTH", key="", seconds=86400),
 )
 register(
     "average_quarter_from_february",
     averaged(
         days,
-        config(PeriodSpec(PeriodKind.QUARTER, quarter_start_month=2), keys=(), interval=DAY),
+        config(QuarterPeriod(first_month=2), keys=(), interval=DAY),
     ),
     period_sql(
         DAYS, "date_trunc('quarter', ts - INTERVAL 1 MONTH) + INTERVAL 1 MONTH",
@@ -151,7 +149,7 @@ register(
 register(
     "average_year_from_april",
     averaged(
-        days, config(PeriodSpec(PeriodKind.CALENDAR_YEAR, year_start_month=4), keys=(), interval=DAY)
+        days, config(YearPeriod(first_month=4), keys=(), interval=DAY)
     ),
     period_sql(
         DAYS, "date_trunc('year', ts - INTERVAL 3 MONTH) + INTERVAL 3 MONTH", "INTERVAL 1 YEAR",
@@ -163,8 +161,7 @@ register(
     averaged(
         days,
         config(
-            PeriodSpec(
-                PeriodKind.FIXED_DAYS, duration=timedelta(days=30), anchor=datetime(1996, 2, 10)
+            AnchoredDays(length=timedelta(days=30), anchor=datetime(1996, 2, 10)
             ),
             keys=(), interval=DAY,
         ),
@@ -179,7 +176,7 @@ register(
     averaged(
         days,
         config(
-            PeriodSpec(PeriodKind.FIXED_YEAR, anchor=datetime(1996, 3, 1)), keys=(), interval=DAY
+            AnchoredYear(anchor=datetime(1996, 3, 1)), keys=(), interval=DAY
         ),
     ),
     period_sql(
@@ -192,7 +189,7 @@ SEASONS = (
     Season("Northeast Monsoon", 12), Season("First Inter-monsoon", 3),
     Season("Southwest Monsoon", 5, 15), Season("Second Inter-monsoon", 10),
 )
-SEASON_SPEC = PeriodSpec(PeriodKind.SEASON, seasons=SEASONS)
+SEASON_SPEC = SeasonPeriod(seasons=SEASONS)
 SEASON_SQL = """edges AS (
   SELECT make_date(y, m, d) + INTERVAL 0 HOUR AS ps,
          name || ' ' || y AS label
@@ -360,13 +357,13 @@ def calendar(spark, folder):
 LABELS = {
     "day": (day(), "strftime(ts, '%Y-%m-%d')"),
     "week": (
-        PeriodSpec(PeriodKind.WEEK, week_start=2),
+        WeekPeriod(first_weekday=2),
         "'Week ' || strftime(date_trunc('week', ts - INTERVAL 2 DAY) + INTERVAL 2 DAY, '%Y-%m-%d')",
     ),
-    "month": (PeriodSpec(PeriodKind.CALENDAR_MONTH), "strftime(ts, '%Y-%m')"),
-    "quarter": (PeriodSpec(PeriodKind.QUARTER), "'Q' || quarter(ts) || ' ' || year(ts)"),
+    "month": (MonthPeriod(), "strftime(ts, '%Y-%m')"),
+    "quarter": (QuarterPeriod(), "'Q' || quarter(ts) || ' ' || year(ts)"),
     "year": (
-        PeriodSpec(PeriodKind.CALENDAR_YEAR, year_start_month=7, year_start_day=15),
+        YearPeriod(first_month=7, first_day=15),
         "'Year ' || CASE WHEN strftime(ts, '%m-%d') >= '07-15' THEN year(ts) ELSE year(ts) - 1 END"
         " || '-07-15'",
     ),
@@ -400,7 +397,7 @@ SELECT ps AS period_start, CAST(date_diff('day', ps, ps + INTERVAL 1 MONTH) AS B
 FROM m""",
 )
 def tiles(spark, folder):
-    month = PeriodSpec(PeriodKind.CALENDAR_MONTH)
+    month = MonthPeriod()
     slots = days(spark, folder).select(slot_of(month, F.col("ts"), "UTC").alias("_slot")).distinct()
     return with_tiling(with_bounds(slots, month, "UTC"), day(), "UTC").select(
         F.col("_start").alias("period_start"), F.col("_expected").alias("components")
@@ -447,7 +444,7 @@ dayly AS (SELECT event_type, date_trunc('day', ps) AS ps, count(v) AS n,
 EIGHT_HOUR = AveragingConfig(
     "ts", HOUR, "UTC", (FieldRule("reading", Statistic.ARITHMETIC_MEAN),),
     (Stage(clock(hours=8), Completeness(1.0)), Stage(day(), Completeness(0.75, True))),
-    keys=("event_type",), approach=Approach.INCREMENTAL,
+    keys=("event_type",),
 )
 
 
@@ -489,10 +486,9 @@ def leq_by_component(spark, folder):
     cfg = AveragingConfig(
         "ts", DAY, "UTC", (FieldRule("level", Statistic.ENERGY_AVERAGE_LEQ),),
         (
-            Stage(PeriodSpec(PeriodKind.CALENDAR_MONTH), Completeness(0.5)),
-            Stage(PeriodSpec(PeriodKind.CALENDAR_YEAR), Completeness(0.5)),
+            Stage(MonthPeriod(), Completeness(0.5)),
+            Stage(YearPeriod(), Completeness(0.5)),
         ),
-        approach=Approach.INCREMENTAL,
     )
     return average(df, cfg).table.withColumn("level", F.round("level", 6))
 

@@ -10,12 +10,11 @@ from gridwright.catalog.averaging import HOURLY_SQL, period_sql
 from gridwright.catalog.base import DIRTY_SQL, dirty, hourly, query, table
 from gridwright.catalog.splitjoin import PAIR_SQL, prepared
 from gridwright.config import (
+    WeekPeriod,
     Action,
     AveragingConfig,
     Completeness,
     FieldRule,
-    PeriodKind,
-    PeriodSpec,
     SplitJoinSpec,
     Stage,
     Statistic,
@@ -271,7 +270,7 @@ SELECT 'Joined_2files_Week ' || strftime(ps, '%Y-%m-%d') AS output,
  strftime(hi, '%Y-%m-%dT%H:%M:%S+00:00') AS last_timestamp FROM m""",
 )
 def split_join_manifest(spark, folder):
-    spec = SplitJoinSpec(Action.JOIN_FIELDS, period=PeriodSpec(PeriodKind.WEEK), regroup=True)
+    spec = SplitJoinSpec(Action.JOIN_FIELDS, period=WeekPeriod(), regroup=True)
     run = run_split_join(
         prepared(spark, folder, "click", "purchase"), ["click", "purchase"], spec
     )

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from gridwright.catalog.base import HOURLY_SQL, hourly, query, register, table
 from gridwright.config import (
+    DayPeriod, MonthPeriod, QuarterPeriod, SeasonPeriod, WeekPeriod, YearPeriod,
     Action,
     DuplicatePolicy,
     FieldGroup,
     MatchPolicy,
-    PeriodKind,
-    PeriodSpec,
     Season,
     SourceSpec,
     SplitJoinSpec,
@@ -154,25 +153,25 @@ register(
 WEEK_WED = "date_trunc('week', {w} - INTERVAL 2 DAY) + INTERVAL 2 DAY"
 SPLITS = {
     "day_from_six": (
-        PeriodSpec(PeriodKind.DAY, day_start=time(6, 30)), 1,
+        DayPeriod(day_start=time(6, 30)), 1,
         "date_trunc('day', {w} - INTERVAL 390 MINUTE) + INTERVAL 390 MINUTE", "INTERVAL 1 DAY",
         "strftime({w} - INTERVAL 390 MINUTE, '%Y-%m-%d')",
     ),
     "week": (
-        PeriodSpec(PeriodKind.WEEK, week_start=2), 1, WEEK_WED, "INTERVAL 7 DAY",
+        WeekPeriod(first_weekday=2), 1, WEEK_WED, "INTERVAL 7 DAY",
         "'Week ' || strftime(" + WEEK_WED + ", '%Y-%m-%d')",
     ),
     "month_from_15": (
-        PeriodSpec(PeriodKind.CALENDAR_MONTH), 15,
+        MonthPeriod(), 15,
         "date_trunc('month', {w} - INTERVAL 14 DAY) + INTERVAL 14 DAY", "INTERVAL 1 MONTH",
         "strftime({w} - INTERVAL 14 DAY, '%Y-%m')",
     ),
     "quarter": (
-        PeriodSpec(PeriodKind.QUARTER), 1, "date_trunc('quarter', {w})", "INTERVAL 3 MONTH",
+        QuarterPeriod(), 1, "date_trunc('quarter', {w})", "INTERVAL 3 MONTH",
         "'Q' || quarter({w}) || ' ' || year({w})",
     ),
     "year_from_july": (
-        PeriodSpec(PeriodKind.CALENDAR_YEAR, year_start_month=7), 1,
+        YearPeriod(first_month=7), 1,
         "date_trunc('year', {w} - INTERVAL 6 MONTH) + INTERVAL 6 MONTH", "INTERVAL 1 YEAR",
         "'Year ' || year({w} - INTERVAL 6 MONTH) || '-07-01'",
     ),
@@ -207,7 +206,7 @@ for name, (period, start_day, start, step, label) in SPLITS.items():
  {label.format(w=w)} AS period_label FROM orders""",
         )
 
-SEASONS = PeriodSpec(PeriodKind.SEASON, seasons=(Season("Wet", 5, 15), Season("Dry", 12)))
+SEASONS = SeasonPeriod(seasons=(Season("Wet", 5, 15), Season("Dry", 12)))
 
 
 @query(
@@ -232,7 +231,7 @@ SELECT strftime(ts, '%Y-%m') AS period_label, date_trunc('month', ts) AS period_
  min(ts) AS first_timestamp, max(ts) AS last_timestamp FROM s GROUP BY 1, 2, 3""",
 )
 def month_manifest(spark, folder):
-    spec = SplitJoinSpec(period=PeriodSpec(PeriodKind.CALENDAR_MONTH))
+    spec = SplitJoinSpec(period=MonthPeriod())
     labelled = splitjoin.split_labels(stamped(spark, folder), spec)
     return splitjoin.manifest(labelled, ["period_label", "period_start", "period_end"])
 
@@ -278,7 +277,7 @@ SELECT ts AS _ts, a AS "S1_reading", b AS "S2_reading", date_trunc('week', ts) A
  'Week ' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS period_label FROM j""",
 )
 def regroup(spark, folder):
-    spec = SplitJoinSpec(Action.JOIN_FIELDS, period=PeriodSpec(PeriodKind.WEEK), regroup=True)
+    spec = SplitJoinSpec(Action.JOIN_FIELDS, period=WeekPeriod(), regroup=True)
     joined = splitjoin.split_join(prepared(spark, folder, "click", "purchase"), spec)
     return joined.drop("S1_peak", "S2_peak")
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridwright.config import MICROS_PER_DAY, PeriodKind, PeriodSpec, micros
+from gridwright.config import MICROS_PER_DAY, PeriodKind, Period, micros
 from gridwright.functions.names import col, cols
 from gridwright.functions.zones import (
     anchor_micros,
@@ -35,12 +35,12 @@ def floor_div(value: Column, divisor: int) -> Column:
     return F.call_function("div", value - F.pmod(value, big(divisor)), big(divisor))
 
 
-def step_micros(spec: PeriodSpec) -> int:
+def step_micros(spec: Period) -> int:
     if spec.kind is PeriodKind.DAY:
         return MICROS_PER_DAY
     if spec.kind is PeriodKind.FIXED_YEAR:
         return 365 * MICROS_PER_DAY
-    return micros(spec.duration)
+    return micros(spec.length)
 
 
 def _date(days: Column) -> Column:
@@ -58,7 +58,7 @@ def _month_days(number: Column) -> Column:
     return F.unix_date(F.make_date(year, month, F.lit(1))).cast("bigint")
 
 
-def _season_days(spec: PeriodSpec, slot: Column) -> Column:
+def _season_days(spec: Period, slot: Column) -> Column:
     seasons = spec.ordered_seasons
     year = floor_div(slot, len(seasons)).cast("int")
     place = F.pmod(slot, big(len(seasons)))
@@ -69,7 +69,7 @@ def _season_days(spec: PeriodSpec, slot: Column) -> Column:
     return F.unix_date(value).cast("bigint")
 
 
-def slot_of(spec: PeriodSpec, instant: Column, zone: str) -> Column:
+def slot_of(spec: Period, instant: Column, zone: str) -> Column:
     """BIGINT slot of the period holding a TIMESTAMP."""
     zone = canonical_zone(zone)
     if spec.kind in ANCHORED:
@@ -78,7 +78,7 @@ def slot_of(spec: PeriodSpec, instant: Column, zone: str) -> Column:
     return slot_of_wall(spec, wall_micros(instant, zone))
 
 
-def slot_of_wall(spec: PeriodSpec, wall: Column) -> Column:
+def slot_of_wall(spec: Period, wall: Column) -> Column:
     """BIGINT slot of a wall clock given in micros (calendar and clock kinds)."""
     shifted = wall - big(spec.day_start_micros) if spec.day_start_micros else wall
     kind = spec.kind
@@ -86,15 +86,15 @@ def slot_of_wall(spec: PeriodSpec, wall: Column) -> Column:
         return floor_div(shifted, step_micros(spec))
     days = floor_div(shifted, MICROS_PER_DAY)
     if kind is PeriodKind.WEEK:
-        return floor_div(days + (3 - spec.week_start), 7)
+        return floor_div(days + (3 - spec.first_weekday), 7)
     reporting = _date(days)
     if kind is PeriodKind.CALENDAR_MONTH:
         return _month_number(reporting)
     if kind is PeriodKind.QUARTER:
-        return floor_div(_month_number(reporting) - (spec.quarter_start_month - 1), 3)
+        return floor_div(_month_number(reporting) - (spec.first_month - 1), 3)
     year = F.year(reporting)
     if kind is PeriodKind.CALENDAR_YEAR:
-        start = F.make_date(year, F.lit(spec.year_start_month), F.lit(spec.year_start_day))
+        start = F.make_date(year, F.lit(spec.first_month), F.lit(spec.first_day))
         return year.cast("bigint") - (reporting < start).cast("bigint")
     # Seasons: the shifted wall lies in the same season as the wall itself, because every
     # boundary carries the same day start.
@@ -105,31 +105,31 @@ def slot_of_wall(spec: PeriodSpec, wall: Column) -> Column:
     return year.cast("bigint") * len(spec.seasons) + started - 1
 
 
-def slot_days(spec: PeriodSpec, slot: Column) -> Column:
+def slot_days(spec: Period, slot: Column) -> Column:
     """Day number on which a calendar slot starts."""
     kind = spec.kind
     if kind is PeriodKind.WEEK:
-        return slot * 7 - (3 - spec.week_start)
+        return slot * 7 - (3 - spec.first_weekday)
     if kind is PeriodKind.CALENDAR_MONTH:
         return _month_days(slot)
     if kind is PeriodKind.QUARTER:
-        return _month_days(slot * 3 + (spec.quarter_start_month - 1))
+        return _month_days(slot * 3 + (spec.first_month - 1))
     if kind is PeriodKind.CALENDAR_YEAR:
         start = F.make_date(
-            slot.cast("int"), F.lit(spec.year_start_month), F.lit(spec.year_start_day)
+            slot.cast("int"), F.lit(spec.first_month), F.lit(spec.first_day)
         )
         return F.unix_date(start).cast("bigint")
     return _season_days(spec, slot)
 
 
-def slot_wall(spec: PeriodSpec, slot: Column) -> Column:
+def slot_wall(spec: Period, slot: Column) -> Column:
     """Wall-clock micros at which a calendar or clock slot starts."""
     if spec.kind in CLOCKED:
         return slot * big(step_micros(spec)) + big(spec.day_start_micros)
     return slot_days(spec, slot) * big(MICROS_PER_DAY) + big(spec.day_start_micros)
 
 
-def slot_label(spec: PeriodSpec, slot: Column, start: Column, end: Column, zone: str) -> Column:
+def slot_label(spec: Period, slot: Column, start: Column, end: Column, zone: str) -> Column:
     kind = spec.kind
     if kind in ANCHORED or kind is PeriodKind.FIXED_CLOCK:
         return F.concat(iso_text(start, zone), F.lit(" / "), iso_text(end, zone))
@@ -152,7 +152,7 @@ def slot_label(spec: PeriodSpec, slot: Column, start: Column, end: Column, zone:
 
 def with_bounds(
     df: DataFrame,
-    spec: PeriodSpec,
+    spec: Period,
     zone: str,
     *,
     slot: str = "_slot",

@@ -14,8 +14,9 @@ Three rules turn a wall clock into an instant and must stay separate:
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from datetime import UTC, datetime, timedelta, timezone, tzinfo
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,23 +32,23 @@ ZONE_ALIASES = {
     "UTC+5.5": "+05:30",
 }
 
-_OFFSET = re.compile(r"(?:UTC)?([+-])(\d{2}):(\d{2})")
+# An offset of less than a day; UTC may stand before it.
+_OFFSET = re.compile(r"(?:UTC)?([+-])([01]\d|2[0-3]):([0-5]\d)")
 
 
 def canonical_zone(name: str) -> str:
     """An IANA name or ``±HH:MM``; anything else raises."""
-    name = name.strip()
-    name = ZONE_ALIASES.get(name, name)
-    found = _OFFSET.fullmatch(name)
-    if found:
-        if int(found[2]) > 23 or int(found[3]) > 59:
-            raise ValueError(f"UTC offset {name!r} is out of range")
-        return f"{found[1]}{found[2]}:{found[3]}"
-    try:
-        ZoneInfo(name)
-    except (KeyError, ValueError, OSError) as error:
-        raise ValueError(f"unknown time zone {name!r}") from error
-    return name
+    wanted = ZONE_ALIASES.get(name.strip(), name.strip())
+    if offset := _OFFSET.fullmatch(wanted):
+        return wanted[offset.start(1) :]
+    if wanted not in _named_zones():
+        raise ValueError(f"unknown time zone {name!r}")
+    return wanted
+
+
+@lru_cache(maxsize=1)
+def _named_zones() -> frozenset[str]:
+    return frozenset(available_timezones())
 
 
 def fixed_offset_micros(zone: str) -> int | None:

@@ -18,8 +18,7 @@ from gridwright.config import (
     PERIOD_END,
     PERIOD_START,
     AveragingConfig,
-    FieldRule,
-    PeriodSpec,
+    Period,
     Stage,
     Statistic,
     micros,
@@ -199,7 +198,7 @@ class AveragingResult:
 
 def period_calendar(
     ranges: DataFrame,
-    spec: PeriodSpec,
+    spec: Period,
     zone: str,
     keys: Sequence[str],
     *,
@@ -221,13 +220,13 @@ def period_calendar(
     return periods.where(col("_end") > col("_start")) if _may_vanish(spec, zone) else periods
 
 
-def _may_vanish(spec: PeriodSpec, zone: str) -> bool:
+def _may_vanish(spec: Period, zone: str) -> bool:
     """Only clock-shaped periods of a zone with transitions can lose their whole length."""
     return spec.kind in CLOCKED and fixed_offset_micros(canonical_zone(zone)) is None
 
 
 def fill_periods(
-    grouped: DataFrame, spec: PeriodSpec, zone: str, keys: Sequence[str],
+    grouped: DataFrame, spec: Period, zone: str, keys: Sequence[str],
     max_periods: int | None = None,
 ) -> DataFrame:
     """Add the unpopulated periods between each key's first and last populated one.
@@ -336,10 +335,10 @@ def _first_stage(df: DataFrame, config: AveragingConfig, strict: bool) -> StageR
     for i, f in enumerate(config.fields):
         value = finite(col(f.column), dtype(df, f.column))
         weight = None
-        if f.duration_column is not None:
-            weight = duration_seconds(col(f.duration_column), dtype(df, f.duration_column))
+        if f.weight_column is not None:
+            weight = duration_seconds(col(f.weight_column), dtype(df, f.weight_column))
             values.append(F.when(value.isNotNull(), weight).alias(f"_w{i}"))
-            value = F.when(col(f.duration_column).isNotNull(), value)
+            value = F.when(col(f.weight_column).isNotNull(), value)
             weight = col(f"_w{i}")
         values.append(value.alias(f"_x{i}"))
         aggregates.append(F.count(col(f"_x{i}")).alias(f"_n{i}"))
@@ -414,7 +413,7 @@ def finish_first_stage(grouped: DataFrame, config: AveragingConfig) -> StageResu
     return StageResult(1, stage, config, _accept(frame, config, stage))
 
 
-def with_tiling(df: DataFrame, component: PeriodSpec, zone: str) -> DataFrame:
+def with_tiling(df: DataFrame, component: Period, zone: str) -> DataFrame:
     """Append ``_expected``: the number of component periods that exactly tile the period
     ``[_start, _end)``. Raises where components do not meet the period's edges."""
     low = slot_of(component, col("_start"), zone)
@@ -486,7 +485,7 @@ def average(df: DataFrame, config: AveragingConfig, *, strict: bool = True) -> A
     instants count as often as they come.
     """
     require(df, config.timestamp, *config.keys, *[f.column for f in config.fields])
-    require(df, *[f.duration_column for f in config.fields if f.duration_column])
+    require(df, *[f.weight_column for f in config.fields if f.weight_column])
     if not isinstance(dtype(df, config.timestamp), T.TimestampType):
         raise ValueError("averaging needs an instant; give wall-clock timestamps a zone first")
     if strict and "_ord" in df.columns and not config.allow_reorder:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridwright.config import AveragingConfig, InvalidPolicy, MissingOutput
+from gridwright.config import AveragingConfig, InvalidPolicy, MissingOutput, Statistic
 from gridwright.functions import zones
 from gridwright.functions.names import col, dtype, is_wall, put
 from gridwright.functions.numeric import to_decimal, to_double
@@ -28,37 +29,41 @@ class AveragePlan:
     exact: bool = False
 
 
-# Words of a column name that suggest a statistic, first match wins, and output suffixes.
-SUGGESTED = (
-    (("laeq", "lceq", "lzeq"), "energy_average_leq"),
-    (("rainrate",), "rain_rate_mean"),
-    (("rainfall", "rainamount"), "rainfall_accumulation"),
-)
-SUFFIXES = {
-    "arithmetic_mean": "Mean",
-    "minimum": "Min",
-    "maximum": "Max",
-    "sum": "Sum",
-    "median": "Median",
-    "standard_deviation": "Std Dev",
-    "count": "Count",
-    "energy_average_leq": "Energy Avg",
-    "rainfall_accumulation": "Sum",
-    "rain_rate_mean": "Mean",
+# Words in a column name, letters and digits only, and the statistic they suggest.
+SUGGESTED = {
+    "laeq": Statistic.ENERGY_AVERAGE_LEQ,
+    "lceq": Statistic.ENERGY_AVERAGE_LEQ,
+    "lzeq": Statistic.ENERGY_AVERAGE_LEQ,
+    "rainrate": Statistic.RAIN_RATE_MEAN,
+    "rainfall": Statistic.RAINFALL_ACCUMULATION,
+    "rainamount": Statistic.RAINFALL_ACCUMULATION,
 }
+# Output suffixes that are not the statistic's first word.
+SHORT = {
+    Statistic.ARITHMETIC_MEAN: "Mean",
+    Statistic.MINIMUM: "Min",
+    Statistic.MAXIMUM: "Max",
+    Statistic.STANDARD_DEVIATION: "Std Dev",
+    Statistic.ENERGY_AVERAGE_LEQ: "Energy Avg",
+    Statistic.RAINFALL_ACCUMULATION: "Sum",
+    Statistic.RAIN_RATE_MEAN: "Mean",
+}
+_WORD = re.compile("|".join(SUGGESTED))
 
 
 def suggest_statistic(column: str) -> str:
     """Advisory statistic by name; the caller confirms."""
-    plain = "".join(c for c in column.casefold() if c.isalnum())
-    for words, name in SUGGESTED:
-        if any(w in plain for w in words) or (name == "energy_average_leq" and plain == "leq"):
-            return name
-    return "arithmetic_mean"
+    letters = re.sub(r"[\W_]", "", column.casefold())
+    if letters == "leq":
+        return Statistic.ENERGY_AVERAGE_LEQ.value
+    hits = set(_WORD.findall(letters))
+    best = next((s for word, s in SUGGESTED.items() if word in hits), Statistic.ARITHMETIC_MEAN)
+    return best.value
 
 
 def suggest_output(column: str, statistic: str) -> str:
-    return f"{column} - {SUFFIXES[statistic]}"
+    which = Statistic(statistic)
+    return f"{column} - {SHORT.get(which, which.split('_')[0].capitalize())}"
 
 
 def prepare(df: DataFrame, plan: AveragePlan, notes: Diagnostics | None = None) -> DataFrame:
@@ -79,8 +84,7 @@ def prepare(df: DataFrame, plan: AveragePlan, notes: Diagnostics | None = None)
     if is_wall(kind):
         value = zones.localize_lenient(value, zones.canonical_zone(plan.source_zone))
     df = put(df, ts, F.coalesce(value, missing.cast("timestamp")), replaces=ts)
-    names = {f.column for f in config.fields}
-    names |= {f.duration_column for f in config.fields if f.duration_column}
+    names = {n for f in config.fields for n in f.inputs}
     read = to_decimal if plan.exact else to_double
     for n in sorted(names):
         df = put(df, n, read(col(n), dtype(df, n)), replaces=n)

@@ -13,7 +13,7 @@ from datetime import datetime, time, timedelta
 from pyspark.sql import DataFrame
 
 from gridwright.config import (
-    Approach,
+    PERIODS,
     AveragingConfig,
     Completeness,
     Derivation,
@@ -21,7 +21,7 @@ from gridwright.config import (
     GapBehavior,
     MissingOutput,
     PeriodKind,
-    PeriodSpec,
+    Period,
     Season,
     Stage,
     Statistic,
@@ -247,21 +247,41 @@ def _column(c: dict, stamp: dict, numeric: set[str], policies: dict) -> Reformat
     )
 
 
-def load_period(value: object) -> PeriodSpec:
+# Recipe key of a period -> (setting, reader); fixed values: the keys.
+PERIOD_KEYS = {
+    "day_start": ("day_start", time.fromisoformat),
+    "duration_seconds": ("length", lambda v: timedelta(seconds=v)),
+    "anchor": ("anchor", datetime.fromisoformat),
+    "week_start": ("first_weekday", int),
+    "quarter_start_month": ("first_month", int),
+    "year_start_month": ("first_month", int),
+    "year_start_day": ("first_day", int),
+    "seasons": ("seasons", lambda v: tuple(Season(**_section("season", s)) for s in v)),
+}
+# Period kinds that take a key in a recipe besides ``day_start``; other kinds refuse it.
+KIND_KEYS = {
+    PeriodKind.FIXED_CLOCK: {"duration_seconds"},
+    PeriodKind.FIXED_DAYS: {"duration_seconds", "anchor"},
+    PeriodKind.FIXED_YEAR: {"anchor"},
+    PeriodKind.WEEK: {"week_start"},
+    PeriodKind.QUARTER: {"quarter_start_month"},
+    PeriodKind.CALENDAR_YEAR: {"year_start_month", "year_start_day"},
+    PeriodKind.SEASON: {"seasons"},
+}
+NEEDED_KEYS = {"duration_seconds", "anchor", "seasons"}
+
+
+def load_period(value: object) -> Period:
     p = _section("period", value)
-    settings = {
-        k: p[k]
-        for k in ("week_start", "quarter_start_month", "year_start_month", "year_start_day")
-        if k in p
-    }
-    if "duration_seconds" in p:
-        settings["duration"] = timedelta(seconds=p["duration_seconds"])
-    if "day_start" in p:
-        settings["day_start"] = time.fromisoformat(p["day_start"])
-    if "anchor" in p:
-        settings["anchor"] = datetime.fromisoformat(p["anchor"])
-    seasons = tuple(Season(**_section("season", s)) for s in p.get("seasons", ()))
-    return PeriodSpec(PeriodKind(p["kind"]), seasons=seasons, **settings)
+    kind = PeriodKind(p.pop("kind"))
+    own = KIND_KEYS.get(kind, set())
+    given = {k: v for k, v in p.items() if v not in (None, [], ())}
+    if extra := set(given) - own - {"day_start"}:
+        raise ValueError(f"{kind} takes no {', '.join(sorted(extra))}")
+    if missing := (own & NEEDED_KEYS) - set(given):
+        raise ValueError(f"{kind} needs {', '.join(sorted(missing))}")
+    settings = {PERIOD_KEYS[k][0]: PERIOD_KEYS[k][1](v) for k, v in given.items()}
+    return PERIODS[kind](**settings)
 
 
 def _average(raw: dict, source: dict, columns: list[dict], output: dict) -> AveragePlan:
@@ -280,13 +300,15 @@ def _average(raw: dict, source: dict, columns: list[dict], output: dict) -> Aver
         s = _section("stage", item)
         rule = Completeness(**_section("completeness", s.get("completeness", {})))
         stages.append(Stage(load_period(s["period"]), rule, s.get("label")))
+    approach = a.get("approach", "direct")
+    if approach != ("direct" if len(stages) == 1 else "incremental"):
+        raise ValueError(f"{approach!r} does not go with {len(stages)} stages")
     stamp = _section("timestamp", raw["timestamp"]) if "timestamp" in raw else {}
     zone = str(stamp.get("source_timezone", "UTC")).removeprefix("fixed_iana:")
     config = AveragingConfig(
         a["timestamp_column"], timedelta(seconds=a["input_interval_seconds"]),
         a["reporting_timezone"], tuple(fields), tuple(stages), tuple(raw.get("keys", ())),
-        Approach(a.get("approach", "direct")), bool(a.get("allow_reorder", False)),
-        a.get("max_periods"),
+        bool(a.get("allow_reorder", False)), a.get("max_periods"),
     )
     return AveragePlan(
         config, zone, stamp.get("input_profile"), tuple(source.get("missing_markers", ())),

@@ -85,9 +85,9 @@ def partial_windows(
     for i, f in enumerate(config.fields):
         value = finite(col(f.column), dtype(stream, f.column)).cast("double")
         weight = F.lit(1.0)
-        if f.duration_column:
-            weight = duration_seconds(col(f.duration_column), dtype(stream, f.duration_column))
-            value = F.when(col(f.duration_column).isNotNull(), value)
+        if f.weight_column:
+            weight = duration_seconds(col(f.weight_column), dtype(stream, f.weight_column))
+            value = F.when(col(f.weight_column).isNotNull(), value)
         values += [value.alias(f"_x{i}"), weight.alias(f"_w{i}")]
     rows = (
         stream.select(*cols(keys), col(config.timestamp).alias("_ts"), *values)

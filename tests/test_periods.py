@@ -7,7 +7,10 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from gridwright.config import PeriodKind, PeriodSpec, Season, clock, day
+from gridwright.config import (
+    AnchoredDays, AnchoredYear, ClockPeriod, DayPeriod, MonthPeriod, QuarterPeriod, Season,
+    SeasonPeriod, WeekPeriod, YearPeriod, clock, day,
+)
 from gridwright.functions import zones
 from gridwright.functions.periods import slot_of, with_bounds
 from gridwright.operators.averaging import with_tiling
@@ -104,9 +107,7 @@ def u(*parts):
     return datetime(*parts, tzinfo=UTC)
 
 
-MONSOONS = PeriodSpec(
-    PeriodKind.SEASON,
-    seasons=(
+MONSOONS = SeasonPeriod(seasons=(
         Season("Northeast Monsoon", 12), Season("First Inter-monsoon", 3),
         Season("Southwest Monsoon", 6), Season("Second Inter-monsoon", 10),
     ),
@@ -115,16 +116,16 @@ MONSOONS = PeriodSpec(
 LITERAL = [
     (clock(hours=8), "UTC", u(2026, 1, 1, 9), u(2026, 1, 1, 8), u(2026, 1, 1, 16), None),
     (day(time(6)), "UTC", u(2026, 1, 1, 5), u(2025, 12, 31, 6), u(2026, 1, 1, 6), "2025-12-31"),
-    (PeriodSpec(PeriodKind.WEEK, day_start=time(6), week_start=6), "UTC", u(2026, 1, 4, 5),
+    (WeekPeriod(day_start=time(6), first_weekday=6), "UTC", u(2026, 1, 4, 5),
      u(2025, 12, 28, 6), u(2026, 1, 4, 6), "Week 2025-12-28"),
-    (PeriodSpec(PeriodKind.CALENDAR_MONTH), "UTC", u(2026, 2, 10), u(2026, 2, 1), u(2026, 3, 1), "2026-02"),
-    (PeriodSpec(PeriodKind.QUARTER, quarter_start_month=2), "UTC", u(2026, 1, 10),
+    (MonthPeriod(), "UTC", u(2026, 2, 10), u(2026, 2, 1), u(2026, 3, 1), "2026-02"),
+    (QuarterPeriod(first_month=2), "UTC", u(2026, 1, 10),
      u(2025, 11, 1), u(2026, 2, 1), "Q4 2025"),
-    (PeriodSpec(PeriodKind.CALENDAR_YEAR, year_start_month=4), "UTC", u(2026, 3, 31, 23),
+    (YearPeriod(first_month=4), "UTC", u(2026, 3, 31, 23),
      u(2025, 4, 1), u(2026, 4, 1), "Year 2025-04-01"),
-    (PeriodSpec(PeriodKind.FIXED_DAYS, duration=timedelta(days=30), anchor=datetime(2026, 1, 1)),
+    (AnchoredDays(length=timedelta(days=30), anchor=datetime(2026, 1, 1)),
      "UTC", u(2026, 2, 1), u(2026, 1, 31), u(2026, 3, 2), None),
-    (PeriodSpec(PeriodKind.FIXED_YEAR, anchor=datetime(2024, 1, 1)), "UTC", u(2025, 1, 1),
+    (AnchoredYear(anchor=datetime(2024, 1, 1)), "UTC", u(2025, 1, 1),
      u(2024, 12, 31), u(2025, 12, 31), None),
     (MONSOONS, "UTC", u(2026, 1, 15), u(2025, 12, 1), u(2026, 3, 1), "Northeast Monsoon 2025"),
     (day(), "America/New_York", u(2026, 3, 8, 12), u(2026, 3, 8, 5), u(2026, 3, 9, 4), "2026-03-08"),
@@ -158,7 +159,7 @@ def test_day_and_week_edges_match_zoneinfo(spark, zone, shift, seeds, weekday):
     instants = [datetime.fromtimestamp(s, UTC) for s in seeds]
     for spec, length in (
         (day(time(shift)), 1),
-        (PeriodSpec(PeriodKind.WEEK, day_start=time(shift), week_start=weekday), 7),
+        (WeekPeriod(day_start=time(shift), first_weekday=weekday), 7),
     ):
         found = bounds(spark, instants, spec, zone)
         for at in instants:
@@ -178,23 +179,26 @@ def test_tiling_skips_lost_clock_slots_and_refuses_misfits(spark):
     df = with_bounds(df, target, "America/New_York")
     counts = [r[0] for r in with_tiling(df, clock(hours=1), "America/New_York").orderBy("_slot").select("_expected").collect()]
     assert counts == [23, 24]
-    misfit = PeriodSpec(PeriodKind.FIXED_DAYS, duration=timedelta(days=5), anchor=datetime(2026, 1, 1))
+    misfit = AnchoredDays(length=timedelta(days=5), anchor=datetime(2026, 1, 1))
     with pytest.raises(Exception, match="tile"):
         with_tiling(df, misfit, "America/New_York").collect()
 
 
 def test_period_settings_are_checked():
-    for bad in (
-        {"kind": PeriodKind.FIXED_CLOCK},
-        {"kind": PeriodKind.FIXED_CLOCK, "duration": timedelta(hours=5)},
-        {"kind": PeriodKind.FIXED_CLOCK, "duration": timedelta(days=2)},
-        {"kind": PeriodKind.DAY, "duration": timedelta(days=1)},
-        {"kind": PeriodKind.FIXED_DAYS, "duration": timedelta(days=1)},
-        {"kind": PeriodKind.DAY, "anchor": datetime(2020, 1, 1)},
-        {"kind": PeriodKind.SEASON, "seasons": (Season("a", 1),)},
-        {"kind": PeriodKind.SEASON, "seasons": (Season("a", 1), Season("A", 2))},
-        {"kind": PeriodKind.CALENDAR_YEAR, "year_start_month": 2, "year_start_day": 29},
-        {"kind": PeriodKind.WEEK, "week_start": 7},
+    for kind, bad in (
+        (ClockPeriod, {"length": timedelta(hours=5)}),
+        (ClockPeriod, {"length": timedelta(days=2)}),
+        (ClockPeriod, {"length": timedelta(0)}),
+        (AnchoredDays, {"length": timedelta(days=-1)}),
+        (SeasonPeriod, {"seasons": (Season("a", 1),)}),
+        (SeasonPeriod, {"seasons": (Season("a", 1), Season("A", 2))}),
+        (SeasonPeriod, {"seasons": (Season("a", 1), Season("b", 1))}),
+        (YearPeriod, {"first_month": 2, "first_day": 29}),
+        (QuarterPeriod, {"first_month": 13}),
+        (WeekPeriod, {"first_weekday": 7}),
+        (DayPeriod, {"day_start": time(1, tzinfo=UTC)}),
     ):
         with pytest.raises(ValueError):
-            PeriodSpec(**bad)
+            kind(**bad)
+    with pytest.raises(ValueError, match="names must differ; season starts must differ"):
+        SeasonPeriod(seasons=(Season("a", 1), Season("A", 1)))

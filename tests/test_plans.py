@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.config import (
-    Approach, AveragingConfig, Completeness, FieldRule, PeriodKind, PeriodSpec, Season, Stage, Statistic, clock, day,
+    SeasonPeriod,
+    AveragingConfig, Completeness, FieldRule, Season, Stage, Statistic, clock, day,
 )
 from gridwright.catalog.plans import AVERAGE, REFORMAT
 from gridwright.operators import averaging, cells, columns, moments
@@ -138,7 +139,7 @@ def test_embedded_offsets_are_shown_again(spark):
 def test_readiness_messages():
     errors, warnings = readiness(ReformatPlan((ReformatColumn("a", " ", target_zone="UTC", derive_end=True),), fill_gaps=True))
     text_ = " ".join(errors)
-    for part in ("blank", "primary timestamp", "expected interval", "source time zone", "derived intervals"):
+    for part in ("no name", "need a timestamp", "need an interval", "source zone", "interval fields"):
         assert part in text_
     assert warnings
     assert readiness(ReformatPlan((ReformatColumn("a", "x", export=False),)))[0]
@@ -184,9 +185,12 @@ def test_recipe_needs_the_same_columns(spark):
 
 def test_period_descriptions():
     seasons = [{"name": "Wet", "month": 5, "day": 15}, {"name": "Dry", "month": 12}]
-    assert load_period({"kind": "season", "seasons": seasons}) == PeriodSpec(
-        PeriodKind.SEASON, seasons=(Season("Wet", 5, 15), Season("Dry", 12)))
-    assert load_period({"kind": "fixed_clock", "duration_seconds": 28800, "day_start": "06:00:00"}).duration == timedelta(hours=8)
+    assert load_period({"kind": "season", "seasons": seasons}) == SeasonPeriod(seasons=(Season("Wet", 5, 15), Season("Dry", 12)))
+    assert load_period({"kind": "fixed_clock", "duration_seconds": 28800, "day_start": "06:00:00"}).length == timedelta(hours=8)
+    for bad in ({"kind": "day", "anchor": "2026-01-01T00:00:00"}, {"kind": "fixed_days"},
+                {"kind": "week", "duration_seconds": 5}, {"kind": "season", "seasons": []}):
+        with pytest.raises(ValueError):
+            load_period(bad)
     anchored = load_period({"kind": "fixed_days", "duration_seconds": 86400, "anchor": "2026-01-01T00:00:00"})
     assert anchored.anchor == datetime(2026, 1, 1)
 
@@ -209,7 +213,7 @@ def test_stream_equals_batch_with_late_and_repeated_rows(spark, tmp_path):
         "ts", timedelta(minutes=15), "America/New_York",
         (FieldRule("v", Statistic.STANDARD_DEVIATION), FieldRule("w", Statistic.SUM)),
         (Stage(clock(hours=8), Completeness(0.1)), Stage(day(), Completeness(0.3))),
-        keys=("k",), approach=Approach.INCREMENTAL,
+        keys=("k",),
     )
     # Files in reverse time order, the first one repeated.
     for place, (lo, hi) in enumerate(((320, 480), (0, 160), (160, 320), (320, 400))):
@@ -231,6 +235,52 @@ def test_stream_equals_batch_with_late_and_repeated_rows(spark, tmp_path):
         periods.partial_windows(stream, median, base=timedelta(hours=1), delay="1 day")
 
 
+def test_repeated_instants_are_refused_through_a_recipe(spark):
+    twice = text(spark, ["Timestamp", "PM"], ("2026-01-01 00:00", "1"), ("2026-01-01 00:00", "9"))
+    recipe = {
+        "schema_version": 1, "recipe_name": "r", "mode": "average",
+        "source": {"file_type": "csv", "expected_columns": ["Timestamp", "PM"]},
+        "columns": [{"source_name": n, "output_name": n} for n in ("Timestamp", "PM")],
+        "timestamp": {"column": "Timestamp", "role": "start", "input_profile": "iso_minute"},
+        "aggregation": {
+            "timestamp_column": "Timestamp", "input_interval_seconds": 43200,
+            "reporting_timezone": "UTC", "fields": [{"column": "PM"}],
+            "stages": [{"period": {"kind": "day"}}]},
+        "output": {"formats": ["csv"]},
+    }
+    with pytest.raises(Exception, match="repeated"):
+        run_recipe(twice, recipe).table.collect()
+
+
+def test_base_windows_that_do_not_fit_are_refused():
+    def config(zone="UTC", period=day(), minutes=30):
+        return AveragingConfig("ts", timedelta(minutes=minutes), zone, (FieldRule("v"),), (Stage(period),))
+
+    for settings, base in (
+        (config("Asia/Colombo"), timedelta(hours=3)), (config("America/New_York"), timedelta(hours=2)),
+        (config(minutes=20), timedelta(minutes=30)), (config(), timedelta(hours=5)),
+        (config(period=clock(hours=8)), timedelta(hours=6)), (config(), timedelta(0)),
+    ):
+        with pytest.raises(ValueError, match="base windows"):
+            periods.check_base(settings, base)
+    periods.check_base(config("Asia/Colombo"), timedelta(minutes=30))
+    periods.check_base(config("America/New_York"), timedelta(hours=1))
+
+
+def test_streamed_deviation_of_large_values(spark, tmp_path):
+    start = datetime(2026, 1, 1, tzinfo=UTC)
+    df = spark.createDataFrame([(start + timedelta(hours=i), 1e9 + i) for i in range(24)], "ts timestamp, v double")
+    config = AveragingConfig(
+        "ts", timedelta(hours=1), "UTC", (FieldRule("v", Statistic.STANDARD_DEVIATION),), (Stage(day()),))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    parts = periods.partial_windows(stream, config, base=timedelta(hours=4), delay="1 day")
+    periods.start_partials(parts, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    whole = periods.compact_partials(spark, str(tmp_path / "out"), str(tmp_path / "kept"), ())
+    got = periods.average_partials(whole, config).table.first()["v"]
+    assert got == pytest.approx(averaging.average(df, config).table.first()["v"], rel=1e-9)
+
+
 def test_diagnostics_sum_over_steps(spark):
     notes = Diagnostics()
     df = text(spark, ["a", "b"], ("x", "1"), ("2", "y"))
