@@ -275,7 +275,9 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
                           pa.binary())],
                 ["node", "shingles"])
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
+    # The wanted ids grow with the input: the same sort-merge join at every size.
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(
+        wanted.hint("merge"), "node", "left_semi")
     sets = stored(arrow_map(texts, set_rows, "node long, shingles binary"), "sets")
     pairs = first.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     found = components(verified(pairs, sets, percent))
