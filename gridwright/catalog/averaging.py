@@ -7,6 +7,7 @@ from datetime import datetime, time, timedelta
 from pyspark.sql import functions as F
 
 from gridwright.catalog.base import (
+    table,
     DAYS_SQL,
     HOURLY_SQL,
     YEARS_SQL,
@@ -77,6 +78,32 @@ def averaged(source, cfg):
     return lambda spark, folder: average(source(spark, folder), cfg).table
 
 
+@query(
+    "average_millions_of_periods",
+    """WITH r AS (SELECT epoch(min(o_orderdate)) AS lo, epoch(max(o_orderdate)) AS hi, count(DISTINCT o_orderdate) AS n FROM orders)
+SELECT CAST((hi - lo) / 60 + 1 AS BIGINT) AS periods_evaluated, n AS values_accepted,
+ CAST((hi - lo) / 60 + 1 AS BIGINT) - n AS values_rejected FROM r""",
+)
+def minutes(spark, folder):
+    """One-minute periods over all order dates: more than three million."""
+    cfg = AveragingConfig(
+        "ts", timedelta(minutes=1), "UTC", (FieldRule("reading"),), (Stage(clock(minutes=1)),))
+    return average(days(spark, folder), cfg).report.select(
+        "periods_evaluated", "values_accepted", "values_rejected")
+
+
+@query(
+    "statistic_median_with_outlier",
+    """WITH v AS (SELECT o_orderpriority, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 1e300 ELSE o_totalprice END AS x FROM orders)
+SELECT o_orderpriority, median(x) AS m FROM v GROUP BY 1""",
+)
+def outlier(spark, folder):
+    o = table(spark, folder, "orders")
+    least = o.agg(F.min("o_orderkey")).scalar()
+    x = F.when(F.col("o_orderkey") == least, F.lit(1e300)).otherwise(F.col("o_totalprice"))
+    return exact_median(o.select("o_orderpriority", x.alias("x")), ["o_orderpriority"], "x", "m")
+
+
 # Threshold 23 of 24 hours, so that some days are refused.
 NEAR_FULL = 0.95
 

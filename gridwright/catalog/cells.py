@@ -175,6 +175,25 @@ def invalid_stop(spark, folder):
     return cells.resolve_invalid_numbers(df, ["who"], "stop")
 
 
+@query(
+    "invalid_numbers_stop",
+    f"""WITH {DIRTY_SQL} SELECT name AS column_name, CASE WHEN bad > 0 THEN 'refused' ELSE 'accepted' END AS outcome FROM (
+ SELECT 'reading' AS name, count(*) FILTER (WHERE trim(coalesce(reading, '')) <> '' AND ({number('reading')}) IS NULL) AS bad FROM dirty
+ UNION ALL SELECT 'user', count(*) FILTER (WHERE user_id IS NULL) FROM events)""",
+)
+def invalid_stop_on_dirty_data(spark, folder):
+    found = []
+    clean = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("user"))
+    for df, name in ((dirty(spark, folder), "reading"), (clean, "user")):
+        try:
+            cells.resolve_invalid_numbers(df, [name], "stop").select(name).write.format("noop").mode(
+                "overwrite").save()
+            found.append((name, "accepted"))
+        except Exception as error:  # the refusal is what is asked for
+            found.append((name, "refused" if name in str(error) else f"failed: {error}"))
+    return spark.createDataFrame(found, "column_name string, outcome string")
+
+
 # Null rows and missingness.
 THREE = f"""{DIRTY_SQL},
 n AS (SELECT event_id, {number('reading')} AS a, {number('level')} AS b, station AS c FROM dirty)"""

@@ -41,6 +41,20 @@ def grid(spark, folder):
     return gaps.expected_grid(hourly(spark, folder), HOURS)
 
 
+@query(
+    "gap_grid_of_millions",
+    """WITH r AS (SELECT epoch(min(o_orderdate)) AS lo, epoch(max(o_orderdate)) AS hi, count(DISTINCT o_orderdate) AS n FROM orders)
+SELECT CAST((hi - lo) / 60 + 1 AS BIGINT) AS expected, CAST((hi - lo) / 60 + 1 AS BIGINT) - n AS missing FROM r""",
+)
+def millions(spark, folder):
+    """A minute grid over all order dates: more than three million slots."""
+    o = table(spark, folder, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"))
+    minutes = GapConfig("ts", timedelta(minutes=1))
+    expected = gaps.expected_grid(o, minutes).agg(F.count(F.lit(1)).alias("expected"))
+    missing = gaps.missing_timestamps(o, minutes).agg(F.count(F.lit(1)).alias("missing"))
+    return expected.select("expected", missing.scalar().alias("missing"))
+
+
 @query(
     "gap_missing_timestamps",
     f"WITH {GRID_SQL} SELECT event_type, ts FROM grid ANTI JOIN hourly USING (event_type, ts)",

@@ -10,6 +10,7 @@ from gridwright.catalog.averaging import HOURLY_SQL, period_sql
 from gridwright.catalog.base import DIRTY_SQL, dirty, hourly, query, table
 from gridwright.catalog.splitjoin import PAIR_SQL, prepared
 from gridwright.config import (
+    MonthPeriod,
     WeekPeriod,
     Action,
     AveragingConfig,
@@ -272,7 +273,7 @@ SELECT 'Joined_2files_Week ' || strftime(ps, '%Y-%m-%d') AS output,
 def split_join_manifest(spark, folder):
     spec = SplitJoinSpec(Action.JOIN_FIELDS, period=WeekPeriod(), regroup=True)
     run = run_split_join(
-        prepared(spark, folder, "click", "purchase"), ["click", "purchase"], spec
+        prepared(spark, folder, "click"), ["click", "others"], spec
     )
     target = f"{shared_folder(spark, 'split-join')}/run"
     return publish_split_join(spark, run, spec, target)
@@ -300,6 +301,61 @@ def streamed(spark, folder):
     return found.withColumn("reading", F.round("reading", 6))
 
 
+def refused(frame, words):
+    """Whether working a frame out is refused with these words."""
+    try:
+        frame().write.format("noop").mode("overwrite").save()
+    except Exception as error:  # the refusal is what is asked for
+        return "refused" if words in str(error) else f"failed: {error}"
+    return "accepted"
+
+
+@query(
+    "averaging_refuses_repeated_instants",
+    """SELECT 'daily' AS series, CASE WHEN count(*) > count(DISTINCT l_shipdate) THEN 'refused' ELSE 'accepted' END AS outcome
+FROM lineitem UNION ALL SELECT 'distinct', 'accepted' FROM (SELECT DISTINCT l_shipdate FROM lineitem) HAVING count(*) > 0""",
+)
+def repeated(spark, folder):
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_quantity").cast("double").alias("q")
+    )
+    cfg = AveragingConfig(
+        "ts", timedelta(days=1), "UTC", (FieldRule("q"),), (Stage(MonthPeriod(), Completeness(0.1)),)
+    )
+    once = rows.groupBy("ts").agg(F.sum("q").alias("q"))
+    found = [
+        (name, refused(lambda df=df: average(df, cfg).table, "repeated"))
+        for name, df in (("daily", rows), ("distinct", once))
+    ]
+    return spark.createDataFrame(found, "series string, outcome string")
+
+
+@query(
+    "stream_deviation_in_colombo",
+    f"""WITH {HOURLY_SQL}, big AS (SELECT event_type, ts, 1000000000 + CAST(reading AS DOUBLE) AS reading FROM hourly),
+g AS (SELECT event_type, date_trunc('day', ts + INTERVAL 330 MINUTE) AS d, count(*) AS n, stddev_pop(reading) AS s FROM big GROUP BY 1, 2),
+k AS (SELECT event_type, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM g GROUP BY 1)
+SELECT k.event_type, d - INTERVAL 330 MINUTE AS "Period_Start", d + INTERVAL 1110 MINUTE AS "Period_End",
+ CASE WHEN n >= 12 THEN round(s, 3) END AS reading FROM k LEFT JOIN g USING (event_type, d)""",
+)
+def streamed_deviation(spark, folder):
+    """Deviations of values around 10^9 over days that start at half an hour."""
+    source, target = shared_folder(spark, "stream-in"), shared_folder(spark, "stream-out")
+    big = F.col("reading").cast("double") + 1e9
+    hourly(spark, folder).withColumn("reading", big).repartition(4).write.parquet(source)
+    schema = "event_type string, ts timestamp, reading double, peak double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    cfg = AveragingConfig(
+        "ts", timedelta(minutes=30), "Asia/Colombo",
+        (FieldRule("reading", Statistic.STANDARD_DEVIATION),),
+        (Stage(day(), Completeness(0.25)),), keys=("event_type",),
+    )
+    parts = periods.partial_windows(stream, cfg, base=timedelta(minutes=30), delay="60 days")
+    periods.start_partials(parts, target, shared_folder(spark, "stream-log")).awaitTermination()
+    found = periods.average_partials(periods.latest_partials(spark, target, cfg.keys), cfg).table
+    return found.withColumn("reading", F.round("reading", 3))
+
+
 @query(
     "processing_evidence",
     f"""WITH {REFORMATTED_SQL}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gridwright.catalog.base import DIRTY_SQL, dirty, query, table
 from gridwright.catalog.cells import number
 from gridwright.functions.numeric import NumberMask
-from gridwright.operators import profile, splitjoin
+from gridwright.operators import ordering, profile, splitjoin
 from gridwright.session import shared_folder
 from gridwright.sources import delimited, sinks, verify
 
@@ -204,18 +204,20 @@ def batch(spark, folder):
     base = fresh(spark, "batch")
     o = table(spark, folder, "orders")
     good = o.select("o_orderpriority", "o_orderkey", "o_totalprice")
-    for place, name in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM")):
+    names = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    for place, name in enumerate(names):
         part = good.where(F.col("o_orderpriority") == name).drop("o_orderpriority")
         if place == 2:
             part = part.select("o_totalprice", "o_orderkey")
         sinks.write_delimited(part, f"{base}/{place}")
-    return [f"{base}/{p}" for p in range(3)]
+    return [f"{base}/{p}" for p in range(len(names))]
 
 
 @query(
     "scan_batch_compatibility",
-    """SELECT * FROM (VALUES (0, true, NULL), (1, true, NULL),
- (2, false, 'ordered column names do not match the reference schema')) AS t(place, compatible, reason)""",
+    """SELECT CAST(CAST(left(o_orderpriority, 1) AS INTEGER) - 1 AS INTEGER) AS place, o_orderpriority <> '3-MEDIUM' AS compatible,
+ CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'ordered column names do not match the reference schema' END AS reason
+FROM (SELECT DISTINCT o_orderpriority FROM orders)""",
 )
 def compatibility(spark, folder):
     found = delimited.batch_compatibility(spark, batch(spark, folder))
@@ -265,10 +267,14 @@ for policy, shown, custom in (
  || coalesce(station, '') || ',"a ""quoted"", cell"' AS line FROM dirty""",
 )
 def lines(spark, folder):
+    """The lines that the writer leaves in its files, without headers."""
     df = dirty(spark, folder).select(
         "event_id", "reading", "station", F.lit('a "quoted", cell').alias("note")
     )
-    return df.select(sinks.delimited_line(df).alias("line"))
+    path = shared_folder(spark, "lines")
+    sinks.write_delimited(df, path)
+    written = spark.read.text(path).select(F.col("value").alias("line"))
+    return written.where(F.col("line") != ",".join(df.columns))
 
 
 @query(
@@ -286,8 +292,12 @@ def masks(spark, folder):
 
 @query(
     "sink_written_and_verified",
-    """SELECT * FROM (VALUES ('Column names and order', true), ('No duplicate Index column', true),
- ('Row count', true), ('Values and null representation', true), ('First and last timestamp', true)) AS t("check", passed)""",
+    """WITH e AS (SELECT count(*) AS n, count(ts) AS m FROM events)
+SELECT 'Column names and order' AS "check", true AS passed, 'expected 4 columns, found 4' AS detail FROM e
+UNION ALL SELECT 'No duplicate Index column', true, '' FROM e
+UNION ALL SELECT 'Row count', true, 'expected ' || n || ', found ' || n FROM e
+UNION ALL SELECT 'Values and null representation', true, '' FROM e
+UNION ALL SELECT 'First and last timestamp', m > 0, '' FROM e""",
 )
 def verified(spark, folder):
     df = table(spark, folder, "events").select(
@@ -298,7 +308,23 @@ def verified(spark, folder):
     sinks.write_delimited(df, path)
     actual = delimited.read_delimited(spark, path, ordinal=None, keep_empty_text=False)
     checks, _ = verify.verify_output(actual, sinks.apply_missing(df))
-    return checks.select("check", "passed")
+    counted = F.col("check").isin("Row count", "Column names and order")
+    return checks.select("check", "passed", F.when(counted, F.col("detail")).otherwise("").alias("detail"))
+
+
+@query(
+    "scan_row_ordinals",
+    """SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_ordinals, CAST(0 AS BIGINT) AS n_disordered FROM orders""",
+)
+def ordinals(spark, folder):
+    """Ordinals of a scan: one per row, ascending in the order of each partition's rows."""
+    o = ordering.with_ordinal(
+        table(spark, folder, "orders").select("o_orderkey").sortWithinPartitions("o_orderkey"))
+    by_part = Window.partitionBy(F.shiftright("_ord", 33)).orderBy("o_orderkey")
+    late = F.col("_ord") <= F.lag("_ord").over(by_part)
+    return o.select("_ord", late.alias("late")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_ord").alias("n_ordinals"),
+        F.count_if("late").alias("n_disordered"))
 
 
 @query(

@@ -21,21 +21,29 @@ from gridwright.functions import zones
 from gridwright.operators import splitjoin
 
 PAIR_SQL = f"""{HOURLY_SQL},
-c AS (SELECT ts, CAST(reading AS DOUBLE) AS reading, peak FROM hourly WHERE event_type = 'click'),
-p AS (SELECT ts, CAST(reading AS DOUBLE) AS reading, peak FROM hourly WHERE event_type = 'purchase'),
-v AS (SELECT ts, CAST(reading AS DOUBLE) AS reading, peak FROM hourly WHERE event_type = 'view')"""
+sides AS (SELECT event_type, ts, CAST(sum(reading) OVER (PARTITION BY event_type = 'click', ts) AS DOUBLE) AS both_r,
+ CAST(sum(reading) OVER (PARTITION BY event_type IN ('click', 'purchase'), event_type = 'click', ts) AS DOUBLE) AS reading,
+ max(peak) OVER (PARTITION BY event_type = 'click', ts) AS both_p,
+ max(peak) OVER (PARTITION BY event_type IN ('click', 'purchase'), event_type = 'click', ts) AS peak FROM hourly),
+c AS (SELECT DISTINCT ts, reading, peak FROM sides WHERE event_type = 'click'),
+p AS (SELECT DISTINCT ts, both_r AS reading, both_p AS peak FROM sides WHERE event_type <> 'click'),
+q AS (SELECT DISTINCT ts, reading, peak FROM sides WHERE event_type = 'purchase'),
+v AS (SELECT DISTINCT ts, reading, peak FROM sides WHERE event_type NOT IN ('click', 'purchase'))"""
 
 
 def prepared(spark, folder, *kinds):
-    """One prepared source per event type: hourly totals with the hour as row order."""
+    """One prepared source per named event type and one of all others, so that together they
+    hold the whole table: hourly totals with the hour as row order."""
     df = hourly(spark, folder)
+    rest = ~F.col("event_type").isin(*kinds)
     out = []
-    for number, kind in enumerate(kinds):
-        part = df.where(F.col("event_type") == kind).select(
-            "ts", F.col("reading").cast("double").alias("reading"), "peak",
-            F.unix_micros("ts").alias("_ord"),
-        )
-        out.append(splitjoin.prepare_source(part, SourceSpec(kind, "ts"), number))
+    for number, (name, own) in enumerate(
+        [*((k, F.col("event_type") == k) for k in kinds), ("others", rest)]
+    ):
+        part = df.where(own).groupBy("ts").agg(
+            F.sum("reading").cast("double").alias("reading"), F.max("peak").alias("peak")
+        ).withColumn("_ord", F.unix_micros("ts"))
+        out.append(splitjoin.prepare_source(part, SourceSpec(name, "ts"), number))
     return out
 
 
@@ -53,17 +61,17 @@ for match, source in MATCH_SQL.items():
  p.reading AS "S2_reading", p.peak AS "S2_peak" FROM {source}""",
     )
     def fields(spark, folder, match=match):
-        return splitjoin.join_fields(prepared(spark, folder, "click", "purchase"), match)
+        return splitjoin.join_fields(prepared(spark, folder, "click"), match)
 
 
 @query(
     "join_fields_three_sources",
     f"""WITH {PAIR_SQL} SELECT ts AS "Timestamp", c.reading AS "S1_reading", c.peak AS "S1_peak",
- p.reading AS "S2_reading", p.peak AS "S2_peak", v.reading AS "S3_reading", v.peak AS "S3_peak"
-FROM c FULL JOIN p USING (ts) FULL JOIN v USING (ts)""",
+ q.reading AS "S2_reading", q.peak AS "S2_peak", v.reading AS "S3_reading", v.peak AS "S3_peak"
+FROM c FULL JOIN q USING (ts) FULL JOIN v USING (ts)""",
 )
 def three(spark, folder):
-    return splitjoin.join_fields(prepared(spark, folder, "click", "purchase", "view"))
+    return splitjoin.join_fields(prepared(spark, folder, "click", "purchase"))
 
 
 @query(
@@ -278,7 +286,7 @@ SELECT ts AS _ts, a AS "S1_reading", b AS "S2_reading", date_trunc('week', ts) A
 )
 def regroup(spark, folder):
     spec = SplitJoinSpec(Action.JOIN_FIELDS, period=WeekPeriod(), regroup=True)
-    joined = splitjoin.split_join(prepared(spark, folder, "click", "purchase"), spec)
+    joined = splitjoin.split_join(prepared(spark, folder, "click"), spec)
     return joined.drop("S1_peak", "S2_peak")
 
 

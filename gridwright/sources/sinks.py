@@ -57,21 +57,6 @@ def apply_missing(
     return df.select(*out)
 
 
-def delimited_line(df: DataFrame, delimiter: str = ",") -> Column:
-    """One delimited line per row: null is empty, empty text is ``""``, quotes are doubled."""
-    special = "[\"\\r\\n" + ("\\" + delimiter) + "]"
-    parts = []
-    for n in df.columns:
-        text = as_text(col(n), dtype(df, n))
-        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-        parts.append(
-            F.when(text.isNull(), F.lit(""))
-            .when((text == "") | text.rlike(special), quoted)
-            .otherwise(text)
-        )
-    return F.concat_ws(delimiter, *parts)
-
-
 def write_delimited(
     df: DataFrame,
     path: str,
