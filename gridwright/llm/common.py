@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
