@@ -58,6 +58,17 @@ def index(spark, folder):
     return columns.add_index_column(o, order="o_orderkey", width=512)
 
 
+@query(
+    "column_index_sparse_key",
+    """SELECT o_orderkey * 1099511627689 AS place, row_number() OVER (ORDER BY o_orderkey) AS "Index" FROM orders""",
+)
+def sparse_index(spark, folder):
+    """An index along a key whose values are far apart."""
+    place = (F.col("o_orderkey") * F.lit(1099511627689)).alias("place")
+    o = table(spark, folder, "orders").select(place)
+    return columns.add_index_column(o, order="place", width=512)
+
+
 @query(
     "column_index_per_series",
     "SELECT event_id, event_type, 99 + row_number() OVER (PARTITION BY event_type ORDER BY event_id)"

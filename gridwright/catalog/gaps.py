@@ -33,7 +33,7 @@ SELECT event_type, CAST(s AS DOUBLE) AS interval_seconds, n AS matching_steps, C
        n / total AS confidence, CASE WHEN s = 3600 THEN '1 hour' ELSE 'Custom' END AS label FROM r WHERE r = 1""",
 )
 def suggestion(spark, folder):
-    return gaps.suggest_interval(hourly(spark, folder), "ts", ["event_type"], chunk=36_000_000_000)
+    return gaps.suggest_interval(hourly(spark, folder), "ts", ["event_type"])
 
 
 @query("gap_expected_grid", f"WITH {GRID_SQL} SELECT event_type, ts FROM grid")

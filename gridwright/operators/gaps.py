@@ -23,10 +23,10 @@ from gridwright.functions.periods import big, explode_range, floor_div
 from gridwright.operators.diagnostics import Diagnostics, watch
 from gridwright.operators.ordering import (
     CHUNK_ROWS,
-    int_chunk,
     join_members,
     successive_pairs,
     with_single_row,
+    with_chunk,
 )
 
 # Names of the common sampling intervals, in seconds.
@@ -59,28 +59,15 @@ def _instants(df: DataFrame, keys: Sequence[str], timestamp: str) -> DataFrame:
     )
 
 
-def measured_chunk(df: DataFrame, timestamp: str, rows: int = CHUNK_ROWS) -> int:
-    """Chunk width (micros) that holds about ``rows`` rows at the table's mean density."""
-    found = df.agg(
-        F.min(_micros(df, timestamp)).alias("lo"),
-        F.max(_micros(df, timestamp)).alias("hi"),
-        F.count(col(timestamp)).alias("n"),
-    ).first()
-    if not found["n"]:
-        return 1
-    return max(1, (found["hi"] - found["lo"] + 1) * rows // found["n"])
-
-
 def suggest_interval(
-    df: DataFrame, timestamp: str, keys: Sequence[str] = (), *, chunk: int | None = None
+    df: DataFrame, timestamp: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Most frequent step between distinct instants per series, ties to the smallest.
 
     Rows ``keys, interval_seconds, matching_steps, total_steps, confidence, label``.
     """
-    width = chunk or measured_chunk(df, timestamp)
-    rows = _instants(df, keys, timestamp)
-    pairs = successive_pairs(rows, keys, ["__t"], floor_div(col("__t"), width), ["__t"])
+    rows = with_chunk(_instants(df, keys, timestamp), "__t")
+    pairs = successive_pairs(rows, keys, ["__t"], col("__chunk"), ["__t"])
     steps = pairs.groupBy(
         *cols(keys), (F.col("next.__t") - F.col("prev.__t")).alias("__d")
     ).agg(F.count("*").alias("__n"))
@@ -292,10 +279,8 @@ def chronological_breaks(
     *, width: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Valid rows earlier than the previous valid row in source order."""
-    valid = df.where(col(timestamp).isNotNull())
-    pairs = successive_pairs(
-        valid, keys, [order], int_chunk(col(order), width), [order, timestamp]
-    )
+    valid = with_chunk(df.where(col(timestamp).isNotNull()), order, width)
+    pairs = successive_pairs(valid, keys, [order], col("__chunk"), [order, timestamp])
     late = pairs.where(F.col(f"next.`{timestamp}`") < F.col(f"prev.`{timestamp}`"))
     return late.select(
         *cols(keys),

@@ -1,8 +1,8 @@
 """Ordered work without one task per series.
 
-Consecutive-row logic is cut into bounded chunks of the order column. Pairs inside a chunk come
-from a window over (keys, chunk); pairs across chunks come from a summary holding one row per
-chunk. A key that owns a third of the data is therefore spread over many tasks.
+Consecutive-row logic is cut into chunks of about equal row counts along the order column, however
+sparse or clustered its values are. Pairs inside a chunk come from a window over (keys, chunk);
+pairs across chunks come from a summary holding one row per chunk. A key that owns a third of the data is therefore spread over many tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwright.functions.names import col, cols, require
-from gridwright.functions.periods import floor_div
 
 CHUNK_ROWS = 1 << 20
 
@@ -22,9 +21,31 @@ def with_ordinal(df: DataFrame, name: str = "_ord") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def int_chunk(order: Column, width: int = CHUNK_ROWS) -> Column:
-    """Chunk of a unique integer order column: at most ``width`` rows each."""
-    return floor_div(order.cast("bigint"), width)
+SEGMENTS = 16
+
+
+def with_chunk(
+    df: DataFrame, order: str, rows: int = CHUNK_ROWS, name: str = "__chunk"
+) -> DataFrame:
+    """Append a chunk number that never falls along the order column.
+
+    The rank of a value is estimated on a straight line inside each of 16 segments of equal row
+    counts, whose edges come from one mergeable quantile summary; chunks are ranges of about
+    ``rows`` estimated ranks.
+    """
+    place = col(order).cast("double")
+    shares = F.array(*[F.lit(i / SEGMENTS) for i in range(1, SEGMENTS)])
+    inner = F.percentile_approx(place, shares, F.lit(1000))
+    edges = F.concat(F.array(F.min(place)), inner, F.array(F.max(place)))
+    facts = df.agg(
+        F.struct(F.count(place).alias("n"), inner.alias("inner"), edges.alias("edges")).alias("f")
+    ).scalar()
+    passed = F.size(F.filter(F.col("__f.inner"), lambda edge: edge <= place))
+    placed = df.select("*", facts.alias("__f")).withColumn("__segment", passed)
+    low, high = (F.get(F.col("__f.edges"), col("__segment") + i) for i in (0, 1))
+    share = F.when(high > low, F.least((place - low) / (high - low), F.lit(1.0))).otherwise(0.0)
+    rank = (col("__segment") + share) * F.col("__f.n") / SEGMENTS
+    return placed.select(*cols(df.columns), F.floor(rank / rows).cast("bigint").alias(name))
 
 
 def successive_pairs(
@@ -69,13 +90,13 @@ def with_position(
     start: int = 1,
     width: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Append a contiguous 1, 2, 3 … position along a unique integer order column.
+    """Append a contiguous 1, 2, 3 … position along a unique number column.
 
     Chunk counts give each chunk its offset, so numbering needs one shuffle by (keys, chunk)
     and no global sort.
     """
     require(df, order, *keys)
-    rows = df.withColumn("__chunk", int_chunk(col(order), width))
+    rows = with_chunk(df, order, width)
     where = [*cols(keys), col("__chunk")]
     before = Window.partitionBy(*cols(keys)).orderBy("__chunk").rowsBetween(
         Window.unboundedPreceding, -1

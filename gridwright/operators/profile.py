@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 
 from gridwright.functions import numeric
 from gridwright.functions.names import col, cols, require
-from gridwright.operators.ordering import CHUNK_ROWS, int_chunk, successive_pairs
+from gridwright.operators.ordering import CHUNK_ROWS, successive_pairs, with_chunk
 
 # Texts that look like missing markers, boolean words, detection thresholds.
 MISSING_WORDS = ("na", "n/a", "null", "none", "nan", "-999", "-999.0")
@@ -321,7 +321,8 @@ def likely_interval(
     if sample_limit is not None:
         rows = rows.orderBy("_ord").limit(sample_limit)
     rows = rows.withColumn("__u", F.unix_micros(col("__t").cast("timestamp")))
-    pairs = successive_pairs(rows, keys, ["_ord"], int_chunk(col("_ord")), ["__u", "_ord"])
+    rows = with_chunk(rows, "_ord")
+    pairs = successive_pairs(rows, keys, ["_ord"], col("__chunk"), ["__u", "_ord"])
     step = F.col("next.__u") - F.col("prev.__u")
     steps = pairs.where(step > 0).groupBy(*cols(keys), step.alias("__d")).agg(
         F.count("*").alias("__n"), F.min("next._ord").alias("__seen")
@@ -364,7 +365,7 @@ def preview_slices(
     in order.
     """
     require(df, order)
-    chunked = df.withColumn("__chunk", int_chunk(col(order), width))
+    chunked = with_chunk(df, order, width)
     total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
     running = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = chunked.groupBy("__chunk").agg(F.count("*").alias("__n")).select(

@@ -133,5 +133,17 @@ def test_contiguous_index_over_many_chunks(spark):
 
 def test_successive_pairs_stitch_chunks(spark):
     df = spark.range(1, 1000).select("id").repartition(6)
-    pairs = ordering.successive_pairs(df, [], ["id"], ordering.int_chunk(F.col("id"), 10), ["id"])
+    df = ordering.with_chunk(df, "id", 10)
+    pairs = ordering.successive_pairs(df, [], ["id"], F.col("__chunk"), ["id"])
     assert {(r.prev.id, r.next.id) for r in pairs.collect()} == {(i, i + 1) for i in range(1, 999)}
+
+
+def test_chunks_of_sparse_and_clustered_keys_hold_similar_row_counts(spark):
+    sparse = spark.range(20_000).select((F.col("id") * 9_007_199_254_740 + 17).alias("o"))
+    clustered = spark.range(20_000).select(
+        F.when(F.col("id") < 15_000, F.col("id")).otherwise(F.col("id") * 10**12).alias("o"))
+    for df in (sparse, clustered):
+        sizes = [r["count"] for r in ordering.with_chunk(df, "o", 200).groupBy("__chunk").count().collect()]
+        assert max(sizes) <= 1000 and len(sizes) >= 50
+        placed = ordering.with_position(df, "o", "n", width=200).orderBy("o").collect()
+        assert [r.n for r in placed] == list(range(1, 20_001))
