@@ -10,8 +10,9 @@ bands of 4, a pair at 0.85 shares no bucket with probability 5e-11, at 0.8 with
 No bucket is expanded into all pairs. First every class is verified against one hub (the class
 with most copies of its buckets). Links give components. A bucket that still holds several
 components is compared in blocks: rows outside the bucket's largest component against all rows of
-other components, on full sets inside a task, of which only the links come out. Buckets with the
-same members are compared once. Sets are compared as sorted 64-bit shingle hashes.
+other components, first by their sketches (one byte a coordinate), then the few that are close by
+their full sets, inside a task of which only the links come out. Buckets with the same members are
+compared once. Sets are compared as sorted 64-bit shingle hashes.
 
 Defined results: a text without words has an empty set and no links; with fewer words than a
 shingle takes, the whole sequence is the one shingle; rows with a null id are left out of the
@@ -36,6 +37,8 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Shingles that one side of a block comparison holds on average.
 BLOCK_SHINGLES = 1 << 16
+#: Sketches that one side of a block comparison holds on average.
+BLOCK_ROWS = 2048
 _ROUNDS = R.mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
 _COLUMN = R.mix(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 
@@ -83,8 +86,9 @@ def sketches(hashes: np.ndarray, at: np.ndarray, t: int = COORDINATES) -> np.nda
 
 
 def described(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands): the set's size, its fingerprint and its buckets.
-    Rows whose set a smaller id of their batch has leave the bands out."""
+    """(doc_id, n_shingles, s1, s2, bands, sketch): the set's size, its fingerprint, its buckets
+    and one byte of each sketch value. Rows whose set a smaller id of their batch has leave the
+    bands and the sketch out."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         null = np.asarray(batch.column(0).is_null())
@@ -114,6 +118,9 @@ def described(docs: DataFrame, k: int) -> DataFrame:
                 (sketch * _COLUMN).reshape(len(pick), BANDS, ROWS).sum(axis=2, dtype=np.uint64)
             )
             place = np.concatenate(([0], np.cumsum(fresh * BANDS)))
+            narrow = (sketch & np.uint64(255)).astype(np.uint8)
+            short = np.full(last - first, None, object)
+            short[pick] = [row.tobytes() for row in narrow]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[first:last], mask=null[first:last]),
@@ -121,13 +128,14 @@ def described(docs: DataFrame, k: int) -> DataFrame:
                     pa.ListArray.from_arrays(
                         pa.array(place.astype(np.int32)), longs(bands.reshape(-1))
                     ),
+                    pa.array(short, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "s1", "s2", "bands"],
+                ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"],
             )
 
     return arrow_map(
         docs.select("doc_id", "text"), work,
-        "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>",
+        "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary",
     )
 
 
@@ -189,20 +197,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(two.select("a", "b", "x", "y"), work, "a long, b long")
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of one bucket. ``members``: bucket, node, component."""
-    of_part = members.groupBy("bucket", "component").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+def in_blocks(members: DataFrame, weight, per_block: int) -> DataFrame:
+    """Deal the members of buckets with several components into block pairs (i, j): rows outside
+    the bucket's main component (``outer``) meet all rows of the bucket. A block holds rows of
+    about ``per_block`` weight."""
+    of_part = members.groupBy("bucket", "component").agg(F.sum(weight).alias("weight"))
+    most = F.max(F.struct("weight", "component"))
     of_bucket = of_part.groupBy("bucket").agg(
-        F.max_by("component", "n").alias("main"), F.sum("shingles").alias("all_shingles"),
-        F.max(F.struct("n", "shingles"))["shingles"].alias("main_shingles"),
-        F.count(F.lit(1)).alias("parts"))
+        most["component"].alias("main"), most["weight"].alias("main_weight"),
+        F.sum("weight").alias("all_weight"), F.count(F.lit(1)).alias("parts"))
     many = of_bucket.where("parts > 1")
-    blocks = lambda c: F.ceil(c / F.lit(BLOCK_SHINGLES)).cast("int")
+    blocks = lambda c: F.greatest(
+        F.lit(1), F.ceil(c / F.lit(per_block)).cast("int"))
     placed = members.join(many, "bucket").select(
-        "bucket", "node", "component", "n_shingles", "main",
-        F.greatest(F.lit(1), blocks(F.col("all_shingles"))).alias("n_all"),
-        F.greatest(F.lit(1), blocks(F.col("all_shingles") - F.col("main_shingles"))).alias("n_out"),
+        "bucket", "node", "component", "main", blocks(F.col("all_weight")).alias("n_all"),
+        blocks(F.col("all_weight") - F.col("main_weight")).alias("n_out"),
     )
     h = F.xxhash64("node")
     own_all, own_out = F.pmod(h, "n_all").cast("int"), F.pmod(h, "n_out").cast("int")
@@ -214,7 +223,39 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "bucket", "node", "component",
         F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("i"),
         F.lit(True).alias("outer"), own_out.alias("j"))
-    dealt = as_any.unionByName(as_outer).join(sets, "node").select(
+    return as_any.unionByName(as_outer)
+
+
+def close_members(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The members whose sketch agrees with one of another component of their bucket in at least
+    as many coordinates as a pair at the threshold does, less six standard deviations: such a pair
+    is missed with a probability of about 1e-9."""
+    share = percent / 100
+    least = COORDINATES * share - 6 * (COORDINATES * share * (1 - share)) ** 0.5
+
+    def close(key, table):
+        outer = np.asarray(table.column("outer"))
+        part = np.asarray(table.column("component"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(
+            len(part), COORDINATES)
+        hit = np.zeros(len(part), bool)
+        inner = np.flatnonzero(~outer)
+        for i in np.flatnonzero(outer):
+            same = (sketch[inner] == sketch[i]).sum(axis=1)
+            near = inner[(same >= least) & (part[inner] != part[i])]
+            hit[near] = True
+            hit[i] = len(near) > 0
+        return table.select(["bucket", "node"]).filter(pa.array(hit))
+
+    dealt = in_blocks(members, F.lit(1), BLOCK_ROWS).join(sketches, "node").select(
+        "bucket", "i", "j", "outer", "node", "component", "sketch")
+    found = dealt.groupBy("bucket", "i", "j").applyInArrow(close, "bucket long, node long")
+    return members.join(found.distinct(), ["bucket", "node"], "left_semi")
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of one bucket. ``members``: bucket, node, component."""
+    dealt = in_blocks(members, F.col("n_shingles"), BLOCK_SHINGLES).join(sets, "node").select(
         "bucket", "i", "j", "outer", "node", "component", "shingles")
 
     def compare(key, table):
@@ -251,7 +292,8 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
         rows.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(
             F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
             F.count(F.lit(1)).alias("copies"),
-            F.max_by("bands", F.size("bands")).alias("bands")),
+            F.max_by("bands", F.size("bands")).alias("bands"),
+            F.max_by("sketch", F.size("bands")).alias("sketch")),
         "classes")
     banded = classes.select("node", "copies", "n_shingles", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(
@@ -284,7 +326,8 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
 
     members = buckets.join(found, "node", "left").select(
         "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    more = components(block_links(members, sets, percent))
+    near = stored(close_members(members, classes.select("node", "sketch"), percent), "near")
+    more = components(block_links(near, sets, percent))
     parts = wanted.join(found, "node", "left").select(
         "node", F.coalesce("component", "node").alias("part"))
     labels = parts.join(more.withColumnRenamed("node", "part"), "part", "left").select(
@@ -298,5 +341,20 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM t)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id WHERE r.m < e.b),
+m AS (SELECT doc_id, min(m) AS m FROM r GROUP BY 1)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.m, t.doc_id) AS component_id,
+ coalesce(m.m, t.doc_id) = t.doc_id AS kept FROM t LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
 def query(spark, folder: str) -> DataFrame:
     return linked(id_and_text(documents(spark, folder)))
