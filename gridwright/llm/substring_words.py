@@ -82,6 +82,22 @@ def remove_repeats(docs: DataFrame, size: int = 50, k: int = 25) -> DataFrame:
     return repeats.remove(docs, known, repeats.later_windows(windows), units)
 
 
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS k FROM s),
+f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY 1),
+r AS (SELECT DISTINCT doc_id, i FROM g JOIN f USING (k) WHERE first < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM r),
+b AS (SELECT doc_id, list(j) AS gone, count(*) AS n,
+ count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM c AS e WHERE e.doc_id = c.doc_id AND e.j = c.j - 1)) AS runs
+ FROM c GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, coalesce(runs, 0) AS n_spans,
+ sha256(array_to_string(CASE WHEN n IS NULL THEN w
+  ELSE list_filter(w, lambda x, j: NOT list_contains(gone, j)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN b USING (doc_id)"""
+
+
 def query(spark, folder: str) -> DataFrame:
     from gridwright.llm.common import documents
 

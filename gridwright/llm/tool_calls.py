@@ -135,6 +135,26 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+SQL = """
+WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+  row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS k FROM conversations WHERE role = 'user'),
+c AS (SELECT *, ['search', 'translate', 'summarise'][n % 3 + 1] AS tool,
+  row_number() OVER (PARTITION BY conv_id, turn % 2, turn // 2 - k ORDER BY turn) - 1 AS level FROM u),
+a AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, min_by(text, turn) AS result
+  FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+j AS (SELECT c.*, coalesce(a.n_results, 0) AS n_results, a.result FROM c LEFT JOIN a USING (conv_id, turn))
+SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, tool, level, n_results,
+ concat_ws('; ', CASE WHEN n % 11 = 0 AND tool <> 'translate' THEN 'limit: missing' END,
+  CASE WHEN n % 5 = 0 AND tool = 'summarise' THEN 'strict: missing' END,
+  CASE WHEN turn >= 2 AND level = 0 THEN 'after: unknown' END) AS errors,
+ '{"arguments":{' || CASE WHEN n % 11 <> 0 THEN '"limit":' || n || ',' ELSE '' END
+ || '"query":' || CAST(to_json(text) AS VARCHAR)
+ || CASE WHEN n % 5 = 0 THEN '' WHEN n % 2 = 0 THEN ',"strict":true' ELSE ',"strict":false' END
+ || '},"id":"call-' || conv_id || '-' || turn || '","name":"' || tool || '"'
+ || coalesce(',"result":' || CAST(to_json(result) AS VARCHAR), '') || '}' AS message
+FROM j"""
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     calls, results = from_turns(spark.read.parquet(f"{folder}/conversations.parquet"))
     return linked(calls, results)
