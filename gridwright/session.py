@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -41,17 +42,23 @@ def use_engine_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=8)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in the cluster's shared folder.
+    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local session may leave
-    that unset; it then gets a temporary folder.
+    Only a session whose executors are threads of the driver may leave that setting out; one
+    temporary folder then takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        base = _local_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/gridwright-{label}-{uuid.uuid4().hex}"
 
 
