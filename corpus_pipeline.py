@@ -1,14 +1,15 @@
 """A corpus pipeline of five text operators over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that ``run`` writes as Parquet to the
-shared folder and reads again for the next one. All but the last return the columns of documents;
-``n_chars`` follows the text. ORACLE_SQL is None: SQL cannot express the line model, sketching and
+shared folder and reads again for the next one. All but the last return the columns of documents,
+which travel in one struct so that their names cannot clash; ``n_chars`` follows the text. A null
+text is an empty one; rows with a null id are judged and packed but not compared with others. ORACLE_SQL is None: SQL cannot express the line model, sketching and
 packing, so tests compare the stages with brute force.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm import line_labels, near_copies, packing, secrets, substring_words
@@ -18,59 +19,59 @@ from gridwright.llm.common import ship_code, stored
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
-def _with_text(docs: DataFrame, text: DataFrame, column: str) -> DataFrame:
-    """The columns of ``docs`` with the text taken from a column of ``text``."""
-    new = F.col(column).cast("string")
-    values = {"text": new, "n_chars": F.char_length(new).cast("long")}
-    return text.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all columns as one struct."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), whole.alias("_row"))
 
 
-def _clean(docs: DataFrame) -> DataFrame:
-    """Ids as longs and null texts as empty ones, other columns as they are."""
-    return docs.withColumns({
-        "doc_id": F.col("doc_id").cast("long"),
-        "text": F.coalesce(F.col("text").cast("string"), F.lit("")),
-    })
+def _unpacked(docs: DataFrame, found: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` again, with another text if one is given."""
+    new = {}
+    if text is not None:
+        new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return found.select(*[
+        new.get(c, F.col(f"_row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are mostly boilerplate lines go."""
     ship_code(spark)
-    clean = _clean(docs)
-    field = line_labels.trained(clean, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return line_labels.judged(clean, field).where("kept").select(docs.columns)
+    rows = _packed(docs)
+    field = line_labels.trained(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _unpacked(docs, line_labels.judged(rows, field).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
     ship_code(spark)
-    found = near_copies.linked(
-        _clean(docs).select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = found.where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = _packed(docs)
+    found = near_copies.linked(rows.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    gone = found.where("not kept").select("doc_id").distinct()
+    return _unpacked(docs, rows.select("doc_id", "_row").join(gone, "doc_id", "left_anti"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document holds are cut out; what is left of
     such a document is joined by spaces, all others stay as they are."""
     ship_code(spark)
-    out = substring_words.remove_repeats(_clean(docs))
+    out = substring_words.remove_repeats(_packed(docs))
     text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
-    return _with_text(docs, out.withColumn("kept", text), "kept")
+    return _unpacked(docs, out, text)
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced by a mark."""
     ship_code(spark)
-    clean = _clean(docs)
-    out = secrets.scanned(clean).drop("text")
-    return _with_text(docs, out, "masked")
+    return _unpacked(docs, secrets.scanned(_packed(docs)), F.col("masked"))
 
 
 def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of what is left."""
     ship_code(spark)
-    return packing.packed(_clean(docs).select("doc_id", "text"))
+    return packing.packed(_packed(docs).select("doc_id", "text"))
 
 
 STAGES = [

@@ -31,6 +31,7 @@ from gridwright.llm.common import arrow_map, documents, id_and_text, text_passes
 
 FEATURES = 14
 CONTENT, BOILERPLATE = 0, 1
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _classes() -> dict[str, np.ndarray]:
@@ -265,7 +266,8 @@ def trained(
 
 def judged(docs: DataFrame, field: Field, least_share: float = 0.5) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    content_share and kept."""
+    content_share and kept; columns that have these names already are replaced."""
+    docs = docs.drop(*COUNTS, "base_failed", "content_share", "kept")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, last, raw, at in text_passes(batch):
@@ -287,9 +289,6 @@ def judged(docs: DataFrame, field: Field, least_share: float = 0.5) -> DataFrame
         "content_share double, kept boolean")
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
 def query(spark, folder: str) -> DataFrame:
     docs = id_and_text(documents(spark, folder))
     field = trained(docs, spark.read.parquet(f"{folder}/labels.parquet"))

@@ -170,8 +170,10 @@ def later_windows(windows: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, known: DataFrame, windows: DataFrame, units: Units) -> DataFrame:
-    """Documents without the passages: doc_id, n_units, n_removed, n_spans, kept (words joined by
-    one space, or the remaining bytes) and every other column of ``docs``."""
+    """Documents without the passages: n_units, n_removed, n_spans, kept (words joined by one space,
+    or the remaining bytes) and every column of ``docs`` but those that have such a name, ``whole``
+    or ``windows``."""
+    docs = docs.drop("n_units", "n_removed", "n_spans", "kept", "whole", "windows")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, at = text_bytes(batch.column(batch.schema.get_field_index("text")))

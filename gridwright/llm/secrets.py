@@ -102,7 +102,9 @@ def written(spans: list[Span]) -> str:
 
 def scanned(docs: DataFrame, ratio: float = 2.1, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with base_spans, spans (text as above), n_assign, n_access, n_hex, n_random and
-    masked: the text with every found span replaced by <secret>."""
+    masked: the text with every found span replaced by <secret>. Columns that have these names
+    already are replaced."""
+    docs = docs.drop("base_spans", "spans", "masked", *[f"n_{k}" for k in KINDS])
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary or default_vocabulary()).encode_ordinary

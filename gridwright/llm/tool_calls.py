@@ -84,7 +84,8 @@ def linked(calls: DataFrame, results: DataFrame, tools: Schemas = TOOLS) -> Data
     """One row per call: conv_id, turn, call_id, tool, level, n_results, errors, message.
 
     ``calls``: conv_id, turn, call_id, tool, arguments (JSON text), after; ``results``: conv_id,
-    turn, call_id, text."""
+    turn, call_id, text; other columns play no part."""
+    calls = calls.select("conv_id", "turn", "call_id", "tool", "arguments", "after")
     answer = results.groupBy("conv_id", "call_id").agg(
         F.count(F.lit(1)).alias("n_results"),
         F.min(F.struct("turn", "text")).alias("first"))

@@ -111,7 +111,8 @@ def trained(labelled: DataFrame) -> tuple[list[float], float]:
 def judged(
     pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
 ) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and score."""
+    """``pages`` with host, path, rule, verdict and score in place of columns of these names."""
+    pages = pages.drop("host", "path", "rule", "verdict", "score", "_rule")
     weights, intercept = trained(labelled)
     host, path = split_url()
     table = F.array(*[F.lit(w) for w in weights])

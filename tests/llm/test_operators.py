@@ -238,6 +238,16 @@ def test_piece_bpe(frame, docs):
     assert got(out, "doc_id", "n_tokens", "ids", "decoded", "library_agrees") == ordered(want)
 
 
+def test_clashing_columns_are_replaced(frame, corpus):
+    table = frame(corpus[:40]).transform(id_and_text)
+    names = ("kept", "whole", "windows", "n_units", "spans", "masked", "n_words", "content_share")
+    more = table.withColumns({n: F.lit("mine") for n in names})
+    assert got(substring_words.remove_repeats(more), "doc_id", "n_units") == got(
+        substring_words.remove_repeats(table), "doc_id", "n_units")
+    assert secrets.scanned(more).where("spans = 'mine' or masked = 'mine'").count() == 0
+    assert line_labels.judged(more, line_labels.Field()).where("n_words < 0").count() == 0
+
+
 def test_long_and_short_chunks_agree():
     coder = piece_bpe.agenda(piece_bpe.default_model())
     chunk = "\u2581international,communications\nthe"

@@ -12,7 +12,7 @@ from gridwright.llm.queries import QUERIES, SQL
 from tests.compare import compare, duck
 from tests.llm import plain
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "kept", "whole", "spans", "_row", "c0"]
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,8 @@ def folder(frame, spark, corpus, tmp_path_factory):
     docs.append((500, " ".join(f"u{i}" for i in range(80)) + " token=abcdef123456 end"))
     table = frame(docs).select(
         "doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"),
-        F.length("text").cast("long").alias("n_chars"))
+        F.length("text").cast("long").alias("n_chars"),
+        *[F.lit(i).alias(c) for i, c in enumerate(COLUMNS[5:])])
     table.write.parquet(f"{where}/documents.parquet")
     labels = [(i, 1, 0) for i in range(200, 230)] + [(310, 0, 0), (311, 0, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(
