@@ -324,7 +324,13 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     pairs = first.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     found = components(verified(pairs, sets, percent))
 
-    members = buckets.join(found, "node", "left").select(
+    # A bucket of two whose pair is verified has nothing left to compare.
+    hubs = first.withColumnRenamed("hub", "first_hub")
+    settled = buckets.join(hubs, "node", "left").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("first_hub") == F.col("hub")).alias("done"),
+    ).where("n = 2 and done = 1").select("bucket")
+    unsettled = buckets.join(settled, "bucket", "left_anti")
+    members = unsettled.join(found, "node", "left").select(
         "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     near = stored(close_members(members, classes.select("node", "sketch"), percent), "near")
     more = components(block_links(near, sets, percent))
