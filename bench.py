@@ -1,7 +1,13 @@
 """Time the headline queries on one folder of tables; prints one JSON line.
 
+``csv_daily_<rows>`` are the published baseline job from file to file: read a generated one-minute
+CSV (every 97th row N/A), null the markers, ppm to ppb, daily means with the 75 % rule, write CSV.
+Writing the source is not timed. They run in one session, so start-up is in none of them; the
+growth from size to size is what compares.
+
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (timed runs per query after one warm-up, the fastest counts; default 2).
+BENCH_RUNS (timed runs per query after one warm-up, the fastest counts; default 2),
+BENCH_CSV_ROWS (default 100000,1000000,5000000; empty for none).
 """
 
 from __future__ import annotations
@@ -9,12 +15,20 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
+from datetime import timedelta
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from gridwright.catalog import REGISTRY  # noqa: E402
+from gridwright.config import AveragingConfig, FieldRule, Stage, day  # noqa: E402
+from gridwright.operators.averaging import average  # noqa: E402
+from gridwright.plans.average import AveragePlan, prepare  # noqa: E402
 from gridwright.session import build_session  # noqa: E402
+from gridwright.sources import delimited, sinks  # noqa: E402
 
 HEADLINE = (
     "clean_convert_average_daily",  # the published baseline job's shape
@@ -44,6 +58,27 @@ HEADLINE = (
 )
 
 
+def write_minutes(spark, path: str, rows: int) -> None:
+    i = F.col("id")
+    reading = lambda text: F.when(i % 97 == 0, "N/A").otherwise(text)
+    spark.range(rows).select(
+        F.date_format(F.timestamp_seconds(1_704_067_200 + i * 60), "yyyy-MM-dd HH:mm").alias("Timestamp"),
+        reading(F.format_string("%.2f", 10 + (i % 400) / 10)).alias("PM2.5"),
+        reading(F.format_string("%.4f", 0.01 + (i % 50) / 10_000)).alias("NO2_ppm"),
+        F.lit("Station A").alias("Station"),
+    ).write.option("header", "true").csv(path)
+
+
+def csv_daily(spark, source: str, target: str) -> None:
+    config = AveragingConfig(
+        "Timestamp", timedelta(minutes=1), "UTC",
+        (FieldRule("PM2.5"), FieldRule("NO2_ppm", output_name="NO2_ppb")), (Stage(day()),))
+    df = delimited.read_delimited(spark, source, ordinal=None)
+    df = prepare(df, AveragePlan(config, markers=("N/A",)))
+    df = df.withColumn("NO2_ppm", F.col("NO2_ppm") * 1000)
+    sinks.write_delimited(average(df, config).table, target)
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -68,6 +103,15 @@ def main() -> None:
             if attempt and (best is None or spent < best):
                 best = spent
         times[name] = round(best if best is not None else spent, 4)
+    base = tempfile.mkdtemp(prefix="spark-")
+    for size in filter(None, os.environ.get("BENCH_CSV_ROWS", "100000,1000000,5000000").split(",")):
+        write_minutes(spark, f"{base}/{size}", int(size))
+        spent = []
+        for attempt in range(runs + 1):
+            start = time.perf_counter()
+            csv_daily(spark, f"{base}/{size}", f"{base}/{size}-out{attempt}")
+            spent.append(time.perf_counter() - start)
+        times[f"csv_daily_{size}"] = round(min(spent[1:] or spent), 4)
     rows = spark.read.parquet(f"{folder}/events.parquet").count()
     print(
         json.dumps(
