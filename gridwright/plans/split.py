@@ -13,6 +13,7 @@ from gridwright.functions import zones
 from gridwright.functions.names import col, cols
 from gridwright.operators import splitjoin
 from gridwright.sources import sinks
+from gridwright.sources.verify import content_digest
 from gridwright.sources.delimited import DelimitedOptions, read_delimited
 
 
@@ -75,36 +76,49 @@ def run_split_join(
         for edge in ("period_start", "period_end"):
             rows = rows.withColumn(edge, zones.iso_text(col(edge), zone))
         by += ["period_start", "period_end"]
-    listed = splitjoin.manifest(rows, by)
-    for edge in ("first_timestamp", "last_timestamp"):
-        listed = listed.withColumn(edge, zones.iso_text(col(edge), zone))
+    listed = list_outputs(rows, by, zone)
     text = zones.iso_text(col("_ts"), zone).alias("Timestamp")
     hidden = {"_ts", "period_label", "group"}
     shown = rows.select(text, col("_ts"), *[col(n) for n in rows.columns if n not in hidden])
     return SplitJoinRun(shown, by, listed)
 
 
+def list_outputs(rows: DataFrame, by: Sequence[str], zone: str) -> DataFrame:
+    """The manifest of output rows with ISO times in a zone."""
+    listed = splitjoin.manifest(rows, by)
+    for edge in ("first_timestamp", "last_timestamp"):
+        listed = listed.withColumn(edge, zones.iso_text(col(edge), zone))
+    return listed
+
+
 def publish_split_join(
     spark: SparkSession, run: SplitJoinRun, spec: SplitJoinSpec, target: str, *,
     fmt: str = "parquet", sources: Sequence[SourceSpec] = (), overwrite: bool = False,
 ) -> DataFrame:
-    """Write one folder per output into a staging path, check it against the manifest, then
-    rename it into place. Returns the manifest."""
+    """Write one folder per output into a staging path, compare what was written cell by cell
+    (by digests) with the rows it was written from, then rename it into place. The plan runs
+    once: everything else reads its staged rows. Returns the manifest."""
     empty_ok = spec.action in (Action.JOIN_TIME, Action.JOIN_FIELDS) and not spec.regroup
-    splitjoin.check_outputs(run.manifest, spec.max_outputs, allow_none=empty_ok)
+    zone = zones.canonical_zone(spec.zone)
     before = {s.path: snapshot(spark, s.path) for s in sources if s.path}
     order = [n for n in ("_ts", "_src", "_ord") if n in run.rows.columns]
     staging = f"{target.rstrip('/')}__pending"
 
     def write(path: str) -> None:
-        rows = run.rows.select("*", col("output").alias("result"))
-        sinks.write_periods(rows, f"{path}/data", ["result"], order, fmt="parquet")
-        run.manifest.coalesce(1).write.json(f"{path}/manifest")
-        back = spark.read.parquet(f"{path}/data").groupBy("output").agg(F.count("*").alias("n"))
-        listed = run.manifest.groupBy("output").agg(F.sum("rows").alias("m"))
-        wrong = back.join(listed, "output", "full").where(~col("n").eqNullSafe(col("m"))).limit(1)
-        if wrong.count():
-            raise DataViolation("an output failed reopen verification; nothing was published")
+        names = run.rows.columns
+        with sinks.staged(run.rows.select("*", col("output").alias("result")), path) as rows:
+            listed = list_outputs(rows, run.outputs, zone)
+            splitjoin.check_outputs(listed, spec.max_outputs, allow_none=empty_ok)
+            listed.coalesce(1).write.json(f"{path}/manifest")
+            sinks.write_periods(rows, f"{path}/data", ["result"], order, copy=False)
+            digests = [
+                df.groupBy("output").agg(F.struct(*content_digest(df, names)).alias(name))
+                for df, name in ((rows, "sent"), (spark.read.parquet(f"{path}/data"), "found"))
+            ]
+            wrong = digests[0].join(digests[1], "output", "full").where(
+                ~col("sent").eqNullSafe(col("found")))
+            if not wrong.isEmpty():
+                raise DataViolation("an output failed reopen verification; nothing was published")
         for source, was in before.items():
             if snapshot(spark, source) != was:
                 raise DataViolation(f"{source} changed during preparation")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -131,15 +131,16 @@ def write_periods(
     *,
     fmt: str = "parquet",
     overwrite: bool = False,
+    copy: bool = True,
 ) -> None:
     """One folder per output (``by`` columns), rows ascending inside each.
 
     Range partitioning on (by, order) balances files whatever the size of one output: a
     period holding a third of the rows becomes many files in order, not one task. Rows are
-    staged first, see ``write_delimited``.
+    staged first, see ``write_delimited``; ``copy=False`` is for rows that are staged already.
     """
     place = [*cols(by), *cols(order)]
-    with staged(df, path) as rows:
+    with staged(df, path) if copy else nullcontext(df) as rows:
         rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
         writer = rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*by)
         if fmt == "csv":
