@@ -9,8 +9,9 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, time, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridwright.config import (
     PERIODS,
@@ -20,19 +21,23 @@ from gridwright.config import (
     FieldRule,
     GapBehavior,
     MissingOutput,
-    PeriodKind,
     Period,
+    PeriodKind,
     Season,
     Stage,
     Statistic,
     TimestampRole,
 )
+from gridwright.errors import DataViolation
 from gridwright.functions.names import col
 from gridwright.operators.averaging import AveragingResult
 from gridwright.operators.cells import ROW_MODES
 from gridwright.operators.diagnostics import Diagnostics
 from gridwright.plans.average import AveragePlan, run_average
 from gridwright.plans.reformat import POLICY, ReformatColumn, ReformatPlan, ReformatResult, reformat
+from gridwright.sources import sinks
+from gridwright.sources.delimited import DelimitedOptions, read_delimited
+from gridwright.sources.verify import verify_output
 
 # Allowed keys per section (required ones first, then optional).
 SECTIONS = {
@@ -90,7 +95,12 @@ KINDS = {
     "derive_interval_fields": {"start", "midpoint", "end", "role"},
 }
 
+# Source types that can be read, with their delimiter, and output formats that can be written.
+DELIMITERS = {"csv": ",", "tsv": "\t", "txt": "\t"}
 FORMATS = ("csv", "parquet")
+# Keys that say something this library would not do; a recipe that gives them is refused when it
+# is run from files.
+REFUSED = {"source": ("worksheet",), "timestamp": ("output_profile", "target_timezone")}
 
 
 def _section(name: str, value: object) -> dict:
@@ -115,6 +125,8 @@ class Recipe:
     expected_columns: tuple[str, ...]
     plan: ReformatPlan | AveragePlan
     formats: tuple[str, ...]
+    file_type: str = "csv"
+    refused: tuple[str, ...] = ()
 
 
 def load_recipe(text: str | bytes | Mapping) -> Recipe:
@@ -135,7 +147,8 @@ def load_recipe(text: str | bytes | Mapping) -> Recipe:
     build = _average if mode == "average" else _reformat
     return Recipe(
         mode, raw.get("recipe_name"), tuple(source.get("expected_columns", ())),
-        build(raw, source, columns, output), tuple(output["formats"]),
+        build(raw, source, columns, output), tuple(output["formats"]), source["file_type"],
+        tuple(f"{s}.{k}" for s, keys in REFUSED.items() for k in keys if (raw.get(s) or {}).get(k)),
     )
 
 
@@ -344,3 +357,65 @@ def run_recipe(
 def _keys(recipe: Recipe) -> tuple[str, ...]:
     plan = recipe.plan
     return plan.keys if isinstance(plan, ReformatPlan) else plan.config.keys
+
+
+def run_recipe_files(
+    spark: SparkSession, paths: str | Sequence[str], recipe: Recipe | str | bytes | Mapping,
+    target: str, *, options: DelimitedOptions | None = None, overwrite: bool = False,
+    notes: Diagnostics | None = None,
+) -> DataFrame:
+    """From delimited files to verified outputs below ``target``, one folder per format.
+
+    The plan runs once into staged rows; the outputs are written from them under the recipe's
+    missing-value policy, read again and compared, and published by one rename. Returns one row
+    per format and check. What the recipe asks for and cannot be done is refused before reading.
+    """
+    if not isinstance(recipe, Recipe):
+        recipe = load_recipe(recipe)
+    unknown = [*recipe.refused, *(f for f in recipe.formats if f not in FORMATS)]
+    if recipe.file_type not in DELIMITERS:
+        unknown.append(f"source type {recipe.file_type}")
+    if unknown:
+        raise ValueError(f"not supported: {', '.join(unknown)}")
+    options = options or DelimitedOptions(delimiter=DELIMITERS[recipe.file_type])
+    result = run_recipe(read_delimited(spark, paths, options), recipe, notes=notes)
+    table, plan = result.table, recipe.plan
+    masks = getattr(result, "masks", {})
+    checks: list[DataFrame] = []
+
+    def write(path: str) -> None:
+        with sinks.staged(table, path) as rows:
+            shown = sinks.apply_missing(rows, plan.missing, plan.missing_custom, masks=masks)
+            for fmt in recipe.formats:
+                place = f"{path}/{fmt}"
+                if fmt == "csv":
+                    sinks.write_delimited(
+                        rows, place, policy=plan.missing, custom=plan.missing_custom, masks=masks)
+                    back = read_delimited(spark, place, ordinal=None, keep_empty_text=False)
+                    sent = shown
+                else:
+                    rows.write.parquet(place)
+                    back, sent = spark.read.parquet(place), rows
+                found, state = verify_output(back, sent)
+                if state == "Failed":
+                    raise DataViolation(f"the {fmt} output failed reopen verification")
+                checks.append(found.select(F.lit(fmt).alias("format"), "*"))
+
+    sinks.publish(write, f"{target.rstrip('/')}__pending", target, spark, overwrite=overwrite)
+    return reduce(DataFrame.unionByName, checks)
+
+
+def run_recipe_each(
+    spark: SparkSession, sources: Mapping[str, str | Sequence[str]],
+    recipe: Recipe | str | bytes | Mapping, target: str, **settings: object,
+) -> DataFrame:
+    """Run a recipe on each named source by itself; a source that fails leaves the others alone.
+    Returns ``source, passed, problem``. Sources are runs, so they are few."""
+    outcome = []
+    for name, paths in sources.items():
+        try:
+            run_recipe_files(spark, paths, recipe, f"{target.rstrip('/')}/{name}", **settings)
+            outcome.append((name, True, None))
+        except Exception as error:  # reported per source
+            outcome.append((name, False, str(error).splitlines()[0]))
+    return spark.createDataFrame(outcome, "source string, passed boolean, problem string")

@@ -13,7 +13,9 @@ from gridwright.config import (
 from gridwright.catalog.plans import AVERAGE, REFORMAT
 from gridwright.operators import averaging, cells, columns, moments
 from gridwright.operators.diagnostics import Diagnostics
-from gridwright.plans.recipe import load_period, load_recipe, run_recipe
+from gridwright.plans.recipe import (
+    load_period, load_recipe, run_recipe, run_recipe_each, run_recipe_files,
+)
 from gridwright.plans.reformat import ReformatColumn, ReformatPlan, offset_minutes, readiness, reformat
 from gridwright.plans.steps import run_steps, step
 from gridwright.streaming import periods
@@ -252,6 +254,41 @@ def test_repeated_instants_are_refused_through_a_recipe(spark):
         run_recipe(twice, recipe).table.collect()
 
 
+DAILY = {
+    "schema_version": 1, "recipe_name": "r", "mode": "average",
+    "source": {"file_type": "csv", "expected_columns": ["Timestamp", "PM"], "missing_markers": ["N/A"]},
+    "columns": [{"source_name": n, "output_name": n} for n in ("Timestamp", "PM")],
+    "timestamp": {"column": "Timestamp", "role": "start", "input_profile": "iso_minute"},
+    "aggregation": {
+        "timestamp_column": "Timestamp", "input_interval_seconds": 3600,
+        "reporting_timezone": "UTC", "fields": [{"column": "PM"}],
+        "stages": [{"period": {"kind": "day"}}]},
+    "output": {"formats": ["csv", "parquet"], "missing_policy": "minus_999"},
+}
+
+
+def test_recipe_from_files_to_verified_outputs(spark, tmp_path):
+    good, bad = tmp_path / "good.csv", tmp_path / "bad.csv"
+    hours = [f"2026-01-0{d} {h:02d}:00,{'N/A' if d == 2 and h < 12 else d * 10}" for d in (1, 2) for h in range(24)]
+    good.write_text("\n".join(["Timestamp,PM", *hours]) + "\n")
+    bad.write_text("\n".join(["Timestamp,PM", hours[0], hours[0]]) + "\n")
+    checks = run_recipe_files(spark, str(good), DAILY, str(tmp_path / "out"))
+    assert checks.where("not passed").count() == 0
+    assert {r.format for r in checks.collect()} == {"csv", "parquet"}
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out" / "csv")).collect())
+    assert [x.rsplit(",", 1)[1] for x in lines if x[0] == "2"] == ["10.0", "-999"]
+    values = spark.read.parquet(str(tmp_path / "out" / "parquet")).orderBy("Period_Start").collect()
+    assert [r.PM for r in values] == [10.0, None]
+    found = run_recipe_each(spark, {"good": str(good), "bad": str(bad)}, DAILY, str(tmp_path / "each"))
+    assert {r.source: r.passed for r in found.collect()} == {"good": True, "bad": False}
+    assert (tmp_path / "each" / "good").exists() and not (tmp_path / "each" / "bad").exists()
+    assert not [p.name for p in (tmp_path / "each").iterdir() if "__" in p.name]
+    for path, value in (("source__file_type", "xlsx"), ("timestamp__target_timezone", "Asia/Tokyo"),
+                        ("output__formats", ["xlsx"])):
+        with pytest.raises(ValueError, match="not supported"):
+            run_recipe_files(spark, str(good), changed(DAILY, **{path: value}), str(tmp_path / "x"))
+
+
 def test_base_windows_that_do_not_fit_are_refused():
     def config(zone="UTC", period=day(), minutes=30):
         return AveragingConfig("ts", timedelta(minutes=minutes), zone, (FieldRule("v"),), (Stage(period),))
