@@ -253,25 +253,22 @@ def examples(
 ) -> DataFrame:
     """``column, place, example``: the first distinct usable values of each column in order.
 
-    Each step is one wide aggregation that skips the values already found.
+    One scan: equal cells become one row before the shuffle, the first few of each column are
+    picked in 64 parts and then among those.
     """
     names = [n for n in (columns or df.columns) if n != order]
-    found: dict[str, list[str]] = {n: [] for n in names}
-    for _ in range(count):
-        open_names = [n for n in names if len(found[n]) == _]
-        if not open_names:
-            break
-        exprs = []
-        for i, n in enumerate(open_names):
-            v = _usable(n)
-            fresh = v.isNotNull() & (~v.isin(found[n]) if found[n] else F.lit(True))
-            exprs.append(F.min(F.when(fresh, F.struct(col(order), v.alias("v"))))["v"].alias(f"e{i}"))
-        row = df.agg(*exprs).first()
-        for i, n in enumerate(open_names):
-            if row[i] is not None:
-                found[n].append(row[i])
-    rows = [(n, p, v) for n in names for p, v in enumerate(found[n], start=1)]
-    return df.sparkSession.createDataFrame(rows, "column string, place int, example string")
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("column"), _usable(n).alias("example")) for n in names])
+    seen = (
+        df.select(col(order).alias("__o"), F.explode(cells).alias("c"))
+        .where("c.example is not null")
+        .groupBy("c.column", "c.example").agg(F.min("__o").alias("__o"))
+        .withColumn("__part", F.pmod(F.xxhash64("example"), F.lit(64)))
+    )
+    place = F.row_number().over(Window.partitionBy("column", "__part").orderBy("__o", "example"))
+    few = seen.withColumn("__place", place).where(F.col("__place") <= count)
+    place = F.row_number().over(Window.partitionBy("column").orderBy("__o", "example"))
+    return few.select("column", place.alias("place"), "example").where(F.col("place") <= count)
 
 
 def likely_datetime_column(types: DataFrame) -> str | None:
