@@ -5,8 +5,8 @@ their own; what is left (less than a window) goes to a shard. Shards are a hash
 they are even whatever the ids are, and hold about ``shard_documents`` pieces. A shard's task builds
 an inverted index of the token ids with BM25 weights; terms in half of the pieces or more have no
 weight. In order, each unused piece becomes a seed: the index returns its best unused neighbours
-(its query are the ``query_terms`` terms of highest weight) and they fill the seed's window; where
-there are no more matches, the next unused pieces do. The last one is cut at the window's end and
+(its query are all its terms of positive weight) and they fill the seed's window; where no unused
+piece scores above 0, the next unused pieces do. The last one is cut at the window's end and
 its rest is the next seed, so windows are full. The last, partial window of a shard is written as
 sequences whose lengths are powers of two, which need no padding.
 
@@ -116,7 +116,7 @@ def cut(docs: DataFrame, files: tuple[str, str] | None, shards: int) -> DataFram
 class Index:
     """BM25 inverted index of a shard's pieces; documents and terms are dense numbers."""
 
-    def __init__(self, pieces: list[np.ndarray], query_terms: int):
+    def __init__(self, pieces: list[np.ndarray], query_terms: int | None = None):
         n = len(pieces)
         flat = np.concatenate(pieces).astype(np.int64)
         doc = np.repeat(np.arange(n), [len(p) for p in pieces])
@@ -132,13 +132,13 @@ class Index:
         number = np.repeat(np.arange(len(df)), df)
         self.weight = (idf[number] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
         self.count = n
-        # A piece's query: its terms of highest inverse frequency.
+        # A piece's query: its terms of positive weight, highest inverse frequency first.
         order = np.lexsort((number, -idf[number], self.doc))
         useful = idf[number][order] > 0
         of, terms = self.doc[order][useful], number[order][useful]
         start = np.searchsorted(of, np.arange(n + 1))
         self.query = [
-            terms[a : min(b, a + query_terms)]
+            terms[a : b if query_terms is None else min(b, a + query_terms)]
             for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)
         ]
 
@@ -151,6 +151,15 @@ class Index:
         return np.bincount(self.doc[place], self.weight[place], self.count)
 
 
+def best_unused(score: np.ndarray, used: np.ndarray, some: int = 32) -> list[int]:
+    """The next unused pieces that score above 0, best last; empty when there are none."""
+    score = np.where(used, 0, score)
+    some = min(some, len(score))
+    best = np.argpartition(-score, some - 1)[:some]
+    best = best[score[best] > 0]
+    return best[np.lexsort((best, -score[best]))][::-1].tolist()
+
+
 def fill(lengths: list[int], index: Index) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of (piece, start in it, length): full windows, then powers of two."""
     n, used, next_unused = len(lengths), np.zeros(len(lengths), bool), 0
@@ -174,11 +183,9 @@ def fill(lengths: list[int], index: Index) -> Iterator[list[tuple[int, int, int]
             if not room:
                 break
             if ranked is None:
-                score = np.where(used, 0, index.scores(seed))
-                some = min(32, n)
-                best = np.argpartition(-score, some - 1)[:some]
-                best = best[score[best] > 0]
-                ranked = best[np.lexsort((best, -score[best]))][::-1].tolist()
+                score = index.scores(seed)
+            if not ranked:
+                ranked = best_unused(score, used)
             following = ranked.pop() if ranked else None
             if following is None:
                 while next_unused < n and used[next_unused]:
@@ -207,7 +214,7 @@ def fill(lengths: list[int], index: Index) -> Iterator[list[tuple[int, int, int]
 
 def packed(
     docs: DataFrame, files: tuple[str, str] | None = None, shard_documents: int = 2048,
-    query_terms: int = 64,
+    query_terms: int | None = None,
 ) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (the piece's
     ids; null for a full window of one document, which ``start`` finds)."""

@@ -294,6 +294,21 @@ def test_index_prefers_lexical_neighbours():
     assert score[2] > 0 and not score[[1, 3, 4, 5]].any()
 
 
+def test_windows_of_short_pieces_take_all_matches_first():
+    """More matches than one list holds; a match only by terms behind the 64 rarest."""
+    rng, pieces = np.random.default_rng(7), []
+    for i in range(240):
+        near = i % 3 == 0
+        pieces.append(np.array([7 if near else 8 + i % 3, *rng.integers(100, 40_000, 2), 1], np.uint16))
+    pieces += [np.array([9999 + i, 1], np.uint16) for i in range(300)]
+    window = next(packing.fill([26] * len(pieces), packing.Index(pieces)))
+    members = [piece for piece, _, _ in window]
+    assert len(members) > 70 and all(m < 240 and m % 3 == 0 for m in members)
+    seed = np.arange(1000, 1100, dtype=np.uint16)
+    pieces = [seed, *[seed[i : i + 1] for i in range(100)], *[np.array([9], np.uint16)] * 200]
+    assert (packing.Index(pieces).scores(0)[1:101] > 0).all()
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.org/es/x?q#f", "https://a.example.org/en/12",
             "http://a.org", "http://a.org/", "http://notexample.com/fr/", "http://x.com/de/1?a=/fr/",
