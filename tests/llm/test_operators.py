@@ -309,6 +309,35 @@ def test_windows_of_short_pieces_take_all_matches_first():
     assert (packing.Index(pieces).scores(0)[1:101] > 0).all()
 
 
+def test_neighbours_come_from_all_shards(frame, corpus):
+    """Hits against brute force on several shards; windows hold one topic each."""
+    rng, docs = np.random.default_rng(4), []
+    _, fast = packing.encoders(*packing.default_files())
+    words = [fast.decode([i]).strip() for i in range(5000, 15_000)]
+    words = [w for w in words if w.isascii() and w.isalpha() and fast.encode_ordinary(f" {w}")[1:] == []]
+    for i in range(400):
+        topic = [words[40 * (i % 25) + x] for x in rng.integers(0, 40, 60)]
+        docs.append((i, " ".join([*topic, *(f"w{x}" for x in rng.integers(0, 300, 20))])))
+    table = packing.stored(
+        packing.numbered(frame(docs).transform(id_and_text), None, 8), "pieces")
+    assert table.where("ids is not null").select("shard").distinct().count() == 8
+    pieces = packing.Pieces(table)
+    own = pieces.terms_of(np.arange(400))
+    index = packing.Index.of([own[i] for i in range(400)], pieces.lengths, pieces.stats)
+    used = np.arange(400) % 9 == 0
+    best, score = pieces.nearest([own[i][0] for i in range(400)], used, 10)
+    for i in range(400):
+        want = np.where(used, 0, index.scores(i))
+        assert np.allclose(score[i], np.sort(want)[::-1][:10], rtol=1e-4)
+        assert len({*best[i].tolist()} & {*np.argsort(-want)[:10].tolist()}) >= 9
+    rows = packing.packed(frame(docs).transform(id_and_text), shard_documents=20).collect()
+    topics = defaultdict(list)
+    for r in rows:
+        topics[r.sequence_id].append(r.doc_id % 25)
+    same = sum(len(x) > 1 and max(map(x.count, x)) for x in topics.values())
+    assert same >= 0.6 * sum(len(x) for x in topics.values() if len(x) > 1)
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.org/es/x?q#f", "https://a.example.org/en/12",
             "http://a.org", "http://a.org/", "http://notexample.com/fr/", "http://x.com/de/1?a=/fr/",
