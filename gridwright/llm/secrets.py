@@ -1,10 +1,11 @@
 """Secret scans: named patterns plus a token-efficiency test for random strings.
 
 A tokenizer's vocabulary holds what is frequent in ordinary text, so words, names and code take
-few tokens per character and random strings many. Every run of 20 or more key characters whose
-characters-per-token ratio is at most ``ratio`` is reported as ``random``, unless it is a known
-digest (hex of a digest's length), an identifier (a UUID, a number, or parts without digits
-joined by - _ / and the like) or overlaps a span of a named pattern.
+few tokens per character and random strings many. Runs of 20 or more key characters are cut at the
+spans of named patterns. What is left of 20 or more is reported as ``random`` if its
+characters-per-token ratio is at most ``ratio``; otherwise its stretches of parts between
+separators (- _ / and the like) that reach this ratio are. Left out are known digests (hex of a
+digest's length) and identifiers (UUIDs, numbers, letters-only parts that all take few tokens).
 
 Defined results: a null text is empty; spans are code points of the whole match, end exclusive,
 in order of start, then kind.
@@ -38,7 +39,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 NUMBER = re.compile(r"[0-9_+=/-]+")
-WORDS = re.compile(r"[A-Za-z]+([_/+=-]+[A-Za-z]+)+|[-_=+/]+")
+WORDS = re.compile(r"[-_=+/]*[A-Za-z]+([_/+=-]+[A-Za-z]+)+[-_=+/]*")
+PART = re.compile(rf"{UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+SEPARATORS, LEAST = "+/_=-", 20
 
 Span = tuple[int, int, int]
 
@@ -78,21 +81,67 @@ def named(text: str) -> list[Span]:
 
 
 def excluded(run: str) -> bool:
-    """Whether a run is a known digest or an identifier."""
+    """Whether a run is a known digest or an identifier without words."""
     return bool(
         (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run))
-        or UUID.fullmatch(run) or NUMBER.fullmatch(run) or WORDS.fullmatch(run)
+        or UUID.fullmatch(run) or NUMBER.fullmatch(run)
     )
 
 
+def outside(a: int, b: int, taken: list[Span], run: str) -> Iterator[tuple[int, int]]:
+    """What named spans leave of a run from a to b, without the separators next to a span."""
+    at, cuts = a, [(s, e) for s, _, e in taken if s < b and a < e]
+    for s, e in [*cuts, (b, b)]:
+        x, y = at, min(s, b)
+        while at > a and x < y and run[x - a] in SEPARATORS:
+            x += 1
+        while y < b and x < y and run[y - 1 - a] in SEPARATORS:
+            y -= 1
+        if y - x >= LEAST:
+            yield x, y
+        at = max(at, e)
+
+
+def stretches(run: str, parts: list[tuple[int, int, int]], ratio: float) -> Iterator[tuple[int, int]]:
+    """Stretches of parts that take many tokens. A part adds ``ratio`` times its tokens less its
+    characters; a single token, a number or a known identifier only lessens the sum. A stretch ends where the sum
+    was largest before it fell below 0 or by 20."""
+    weight = [
+        (ratio * n if n > 1 and not excluded(run[a:b]) else 0) - (b - a) for a, b, n in parts]
+    first = 0
+    while first < len(parts):
+        total, most, last = 0.0, 0.0, first
+        for i in range(first, len(parts)):
+            total += weight[i]
+            if total < 0 or total < most - LEAST:
+                break
+            if total >= most:
+                most, last = total, i
+        a, b = parts[first][0], parts[last][1]
+        if weight[first] >= 0 and b - a >= LEAST and not excluded(run[a:b]):
+            # Padding belongs to the string before it.
+            while b < len(run) and run[b] == "=" and not run[b:].strip("="):
+                b += 1
+            yield a, b
+        first = last + 1
+
+
 def random_runs(text: str, taken: list[Span], encode, ratio: float) -> list[Span]:
     out = []
     for m in CANDIDATE.finditer(text):
-        run, a, b = m[0], m.start(), m.end()
-        if excluded(run) or any(s < b and a < e for s, _, e in taken):
-            continue
-        if len(run) <= ratio * len(encode(run)):
-            out.append((a, 3, b))
+        for a, b in outside(m.start(), m.end(), taken, m[0]):
+            run = text[a:b]
+            if excluded(run) or not run.strip(SEPARATORS):
+                continue
+            parts = [(p.start(), p.end(), len(encode(p[0]))) for p in PART.finditer(run)]
+            if WORDS.fullmatch(run):
+                # Separators take a token each, so they do not count between words.
+                letters, tokens = sum(y - x for x, y, _ in parts), sum(n for _, _, n in parts)
+                whole = letters <= ratio * tokens and any(n > 1 for _, _, n in parts)
+            else:
+                whole = len(run) <= ratio * len(encode(run))
+            found = [(0, len(run))] if whole else stretches(run, parts, ratio)
+            out += [(a + x, 3, a + y) for x, y in found]
     return out
 
 
