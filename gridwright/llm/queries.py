@@ -21,6 +21,7 @@ MODULES = {
     "op7_packing": "packing",
     "op9_piece_bpe": "piece_bpe",
     "op10_substring_dedup": "substring_words",
+    "op11_turn_repair": "turn_repair",
     "op12_vector_cells": "vector_cells",
     "op13_merkle_manifest": "merkle_manifest",
 }
