@@ -60,7 +60,7 @@ def _dealt(key: str, blocks: int) -> Column:
 def _numbers(column, dims: int) -> np.ndarray:
     """A list column as a matrix."""
     flat = column.combine_chunks().flatten()
-    return np.asarray(flat, np.int64).reshape(-1, dims)
+    return np.asarray(flat, np.int64).reshape(len(column), dims)
 
 
 def build_shard(key: tuple, rows: pa.Table) -> pa.Table:
