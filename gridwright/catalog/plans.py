@@ -310,6 +310,55 @@ def refused(frame, words):
     return "accepted"
 
 
+def stream_partials(spark, frame, schema, cfg, base):
+    """Partial windows of a file stream over a frame written in four files."""
+    source, target = shared_folder(spark, "stream-in"), shared_folder(spark, "stream-out")
+    frame.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    parts = periods.partial_windows(stream, cfg, base=base, delay="3650 days")
+    periods.start_partials(parts, target, shared_folder(spark, "stream-log")).awaitTermination()
+    return periods.latest_partials(spark, target, cfg.keys)
+
+
+@query(
+    "stream_median_by_day",
+    f"""WITH {HOURLY_SQL}, g AS (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n,
+ median(CAST(reading AS DOUBLE)) AS reading, median(peak) AS peak FROM hourly GROUP BY 1, 2),
+k AS (SELECT event_type, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM g GROUP BY 1)
+SELECT k.event_type, d AS "Period_Start", d + INTERVAL 1 DAY AS "Period_End",
+ CASE WHEN n >= 18 THEN reading END AS reading, CASE WHEN n >= 18 THEN peak END AS peak
+FROM k LEFT JOIN g USING (event_type, d)""",
+)
+def streamed_median(spark, folder):
+    """Exact medians of two fields from the values that streamed windows keep."""
+    cfg = AveragingConfig(
+        "ts", timedelta(hours=1), "UTC",
+        (FieldRule("reading", Statistic.MEDIAN), FieldRule("peak", Statistic.MEDIAN)),
+        (Stage(day(), Completeness(0.75)),), keys=("event_type",))
+    schema = "event_type string, ts timestamp, reading decimal(22,2), peak double"
+    parts = stream_partials(spark, hourly(spark, folder), schema, cfg, timedelta(hours=3))
+    return periods.average_partials(parts, cfg).table
+
+
+@query(
+    "stream_refuses_repeated_instants",
+    """SELECT 'daily' AS series, CASE WHEN count(*) > count(DISTINCT l_shipdate) THEN 'refused' ELSE 'accepted' END AS outcome
+FROM lineitem UNION ALL SELECT 'distinct', 'accepted' FROM (SELECT DISTINCT l_shipdate FROM lineitem) HAVING count(*) > 0""",
+)
+def streamed_repeats(spark, folder):
+    """A stream refuses what a batch refuses, wherever the second reading arrives."""
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_quantity").cast("double").alias("q"))
+    cfg = AveragingConfig(
+        "ts", timedelta(days=1), "UTC", (FieldRule("q"),), (Stage(MonthPeriod(), Completeness(0.1)),))
+    once = rows.groupBy("ts").agg(F.sum("q").alias("q"))
+    found = []
+    for name, df in (("daily", rows), ("distinct", once)):
+        parts = stream_partials(spark, df, "ts timestamp, q double", cfg, timedelta(days=1))
+        found.append((name, refused(lambda p=parts: periods.average_partials(p, cfg).table, "repeated")))
+    return spark.createDataFrame(found, "series string, outcome string")
+
+
 @query(
     "averaging_refuses_repeated_instants",
     """SELECT 'daily' AS series, CASE WHEN count(*) > count(DISTINCT l_shipdate) THEN 'refused' ELSE 'accepted' END AS outcome

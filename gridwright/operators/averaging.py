@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from gridwright.config import (
+    MICROS_PER_DAY,
     PERIOD_END,
     PERIOD_START,
     AveragingConfig,
+    FieldRule,
     Period,
+    PeriodKind,
     Stage,
     Statistic,
     micros,
@@ -326,12 +329,132 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, output: str) ->
     return ranked.groupBy(*cols(keys)).agg(((found[0] + found[1]) / 2).alias(output))
 
 
+# Grid points that one mask column marks, and mask columns of one group.
+MASK_POINTS, MASKS = 64, 8
+
+
+def grid_points(spec: Period, zone: str, step: int) -> int:
+    """No period of this kind holds more points of the input grid than this."""
+    days = {
+        PeriodKind.WEEK: 7,
+        PeriodKind.CALENDAR_MONTH: 31,
+        PeriodKind.QUARTER: 92,
+    }
+    if spec.kind in ANCHORED or spec.kind in CLOCKED:
+        length = step_micros(spec)
+    else:
+        length = days.get(spec.kind, 366) * MICROS_PER_DAY
+    if spec.kind not in ANCHORED and fixed_offset_micros(canonical_zone(zone)) is None:
+        length += 2 * MICROS_PER_DAY  # no zone change makes a period longer by more
+    return -(-length // step)
+
+
+def grid_masks(at: Column, step: int, points: int) -> tuple[Column, list[Column]]:
+    """(part, masks) of an instant in micros: which part of its period's grid it lies in, and one
+    bit for its place there, in one of up to ``MASKS`` columns.
+
+    Places are grid numbers modulo ``points``: instants of one phase inside one period never
+    share a place unless they are equal. Masks merge by ``bit_or``; a group holds a repeated
+    instant exactly if it has more rows than bits."""
+    size = MASK_POINTS * MASKS
+    place = F.pmod(floor_div(at, step), big(points))
+    word = floor_div(place, MASK_POINTS)
+    bit = F.call_function("shiftleft", big(1), F.pmod(place, big(MASK_POINTS)).cast("int"))
+    words = min(MASKS, -(-points // MASK_POINTS))
+    masks = [F.when(F.pmod(word, big(MASKS)) == j, bit) for j in range(words)]
+    return floor_div(place, size), masks
+
+
+def surplus(masks: Sequence[str]) -> Column:
+    """Rows of a group beyond its distinct grid points."""
+    bits = [F.coalesce(F.bit_count(F.bit_or(col(m))), F.lit(0)) for m in masks]
+    return F.count(F.lit(1)) - sum(bits[1:], bits[0])
+
+
+def parts(i: int, rule: FieldRule, value: Column, weight: Column | None) -> list[Column]:
+    """Partial results of field ``i`` that ``merged`` puts together."""
+    made = {"n": F.count(value)}
+    which = rule.statistic
+    if which is Statistic.MINIMUM:
+        made["low"] = F.min(value)
+    elif which is Statistic.MAXIMUM:
+        made["high"] = F.max(value)
+    elif which in ADDITIVE or which in MEANS:
+        made["total"] = F.sum(value)
+    elif which is Statistic.STANDARD_DEVIATION:
+        number = value.cast("double")
+        made["total"], made["spread"] = F.sum(number), F.var_pop(number) * F.count(value)
+    elif which is Statistic.ENERGY_AVERAGE_LEQ:
+        energy = F.pow(F.lit(10.0), value.cast("double") / 10.0)
+        weights = F.lit(1.0) if weight is None else weight
+        made["energy"] = F.sum(energy * weights)
+        made["weight"] = F.sum(F.when(value.isNotNull(), weights))
+    return [c.alias(f"_{name}{i}") for name, c in made.items()]
+
+
+def merged_spread(i: int) -> Column:
+    """Sum of squared distances from the common mean, merged part by part: differences of means
+    keep their digits where squares of large values would lose them. A period has as many parts
+    as its grid or its base windows, whatever the table's size."""
+    part = F.struct(
+        col(f"_n{i}").cast("double").alias("n"), (col(f"_total{i}") / col(f"_n{i}")).alias("mean"),
+        col(f"_spread{i}").alias("spread"),
+    )
+    listed = F.sort_array(F.collect_list(F.when(col(f"_n{i}") > 0, part)))
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("n", "mean", "spread")])
+
+    def merge(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"),
+            (a["spread"] + b["spread"] + apart * apart * a["n"] * b["n"] / n).alias("spread"),
+        )
+
+    return F.aggregate(listed, zero, merge)["spread"]
+
+
+def merged(i: int, rule: FieldRule) -> Column:
+    """The statistic ``_v{i}`` of merged parts; null where there are no values."""
+    n, which = F.sum(f"_n{i}"), rule.statistic
+    if which is Statistic.COUNT:
+        value = n.cast("bigint")
+    elif which is Statistic.MINIMUM:
+        value = F.min(f"_low{i}").cast("double")
+    elif which is Statistic.MAXIMUM:
+        value = F.max(f"_high{i}").cast("double")
+    elif which in ADDITIVE:
+        value = F.sum(f"_total{i}").cast("double")
+    elif which in MEANS:
+        value = F.sum(f"_total{i}").cast("double") / n
+    elif which is Statistic.STANDARD_DEVIATION:
+        value = F.sqrt(merged_spread(i) / n)
+    else:
+        energy = F.sum(f"_energy{i}")
+        energy = F.when(
+            energy == float("inf"), _fail("an energy average overflows", "double")
+        ).otherwise(energy)
+        value = F.lit(10.0) * F.log10(energy / F.sum(f"_weight{i}"))
+    return F.when(n > 0, value).alias(f"_v{i}")
+
+
+def refuse_repeats(grouped: DataFrame) -> DataFrame:
+    """Raise for rows without a timestamp and for ``_surplus`` rows of periods on one phase;
+    periods of several phases are off the grid, which the expected counts refuse."""
+    one_phase = col("_phase_lo") == col("_phase_hi")
+    clean = (
+        F.when(col("_phase_lo").isNull(), _fail("a timestamp is missing", "boolean"))
+        .when(one_phase & (col("_surplus") > 0), _fail("an instant is repeated", "boolean"))
+        .otherwise(True)
+    )
+    return grouped.where(clean).drop("_surplus")
+
+
 def _first_stage(df: DataFrame, config: AveragingConfig, strict: bool) -> StageResult:
     stage = config.stages[0]
     keys = list(config.keys)
     step = micros(config.interval)
     ts = col(config.timestamp)
-    values, aggregates, selected = [], [], []
+    values, inputs = [], []
     for i, f in enumerate(config.fields):
         value = finite(col(f.column), dtype(df, f.column))
         weight = None
@@ -341,36 +464,49 @@ def _first_stage(df: DataFrame, config: AveragingConfig, strict: bool) -> StageR
             value = F.when(col(f.weight_column).isNotNull(), value)
             weight = col(f"_w{i}")
         values.append(value.alias(f"_x{i}"))
-        aggregates.append(F.count(col(f"_x{i}")).alias(f"_n{i}"))
-        if f.statistic is Statistic.MEDIAN:
-            selected.append(i)
-        else:
-            aggregates.append(statistic(col(f"_x{i}"), f.statistic, weight).alias(f"_v{i}"))
-    phase = F.pmod(F.unix_micros(ts), big(step))
+        inputs.append((i, f, col(f"_x{i}"), weight))
+    selected = [i for i, f, _, _ in inputs if f.statistic is Statistic.MEDIAN]
     at = F.unix_micros(ts)
+    points = grid_points(stage.period, config.zone, step)
+    part, masks = grid_masks(at, step, points)
+    names = [f"_mask{j}" for j in range(len(masks))]
+    split = strict and points > MASK_POINTS * MASKS
+    marks = [m.alias(n) for m, n in zip(masks, names)] if strict else []
     rows = df.select(
-        *cols(keys), slot_of(stage.period, ts, config.zone).alias("_slot"), phase.alias("_phase"),
-        *([at.alias("_at")] if strict else []), *values,
+        *cols(keys), slot_of(stage.period, ts, config.zone).alias("_slot"),
+        F.pmod(at, big(step)).alias("_phase"), *([part.alias("_part")] if split else []), *marks,
+        *values,
     )
-    facts = [F.min("_phase").alias("_phase_lo"), F.max("_phase").alias("_phase_hi")]
-    if strict:
-        facts += [F.count(F.lit(1)).alias("_rows"), F.count_distinct("_at").alias("_instants")]
     # Rows without a timestamp group under a null slot. They are met by an aggregate of theirs: a
     # filter on the slot would be pushed to the rows and work every timestamp out twice.
-    grouped = rows.groupBy(*cols(keys), "_slot").agg(*aggregates, *facts)
+    phases = [F.min("_phase").alias("_phase_lo"), F.max("_phase").alias("_phase_hi")]
+    extra = [surplus(names).alias("_surplus")] if strict else []
+    if split:
+        # A long period is folded part by part of its grid, then its parts are merged.
+        partial = rows.groupBy(*cols(keys), "_slot", "_part").agg(
+            *[p for row in inputs for p in parts(*row)], *phases, *extra)
+        whole = [
+            c for i, f, _, _ in inputs
+            for c in (F.sum(f"_n{i}").alias(f"_n{i}"), *([] if i in selected else [merged(i, f)]))
+        ]
+        grouped = partial.groupBy(*cols(keys), "_slot").agg(
+            *whole, F.min("_phase_lo").alias("_phase_lo"), F.max("_phase_hi").alias("_phase_hi"),
+            F.sum("_surplus").alias("_surplus"))
+    else:
+        whole = [
+            c for i, f, x, w in inputs
+            for c in (F.count(x).alias(f"_n{i}"),
+                      *([] if i in selected else [statistic(x, f.statistic, w).alias(f"_v{i}")]))
+        ]
+        grouped = rows.groupBy(*cols(keys), "_slot").agg(*whole, *phases, *extra)
     if strict:
-        clean = (
-            F.when(col("_phase_lo").isNull(), _fail("a timestamp is missing", "boolean"))
-            .when(col("_rows") != col("_instants"), _fail("an instant is repeated", "boolean"))
-            .otherwise(True)
-        )
-        grouped = grouped.where(clean).drop("_rows", "_instants")
+        grouped = refuse_repeats(grouped)
     else:
         grouped = grouped.where(col("_phase_lo").isNotNull())
-    return finish_first_stage(_with_medians(grouped, rows, keys, selected), config)
+    return finish_first_stage(with_medians(grouped, rows, keys, selected), config)
 
 
-def _with_medians(
+def with_medians(
     grouped: DataFrame, rows: DataFrame, keys: Sequence[str], fields: Sequence[int]
 ) -> DataFrame:
     for i in fields:
@@ -445,7 +581,7 @@ def with_tiling(df: DataFrame, component: Period, zone: str) -> DataFrame:
     return spans.select(*cols(df.columns), expected.alias("_expected"))
 
 
-def _next_stage(previous: StageResult, stage: Stage) -> StageResult:
+def next_stage(previous: StageResult, stage: Stage) -> StageResult:
     config = previous.config
     keys = list(config.keys)
     weight = (F.unix_micros(col("_end")) - F.unix_micros(col("_start"))) / 1_000_000
@@ -464,7 +600,7 @@ def _next_stage(previous: StageResult, stage: Stage) -> StageResult:
             selected.append(i)
         else:
             aggregates.append(statistic(value, f.statistic, w).alias(f"_v{i}"))
-    grouped = _with_medians(rows.groupBy(*cols(keys), "_slot").agg(*aggregates), rows, keys, selected)
+    grouped = with_medians(rows.groupBy(*cols(keys), "_slot").agg(*aggregates), rows, keys, selected)
     # The calendar of the previous stage has no holes, so every target period is populated.
     frame = with_bounds(grouped, stage.period, config.zone)
     frame = with_tiling(frame, previous.stage.period, config.zone)
@@ -492,7 +628,7 @@ def average(df: DataFrame, config: AveragingConfig, *, strict: bool = True) -> A
         require_clean(disorder(df, config))
     stages = [_first_stage(df, config, strict)]
     for stage in config.stages[1:]:
-        stages.append(_next_stage(stages[-1], stage))
+        stages.append(next_stage(stages[-1], stage))
     return AveragingResult(stages)
 
 

@@ -7,8 +7,9 @@ results are appended per micro-batch; the newest version of each window wins, wh
 retries harmless. Calendar periods, completeness and later stages are then an ordinary batch
 aggregation over the small partial table.
 
-An exact median cannot be merged and stays batch-only. Of several readings of one instant the
-first that arrives counts; the batch operator refuses them, a stream cannot wait for them.
+A partial result marks the grid points that it has seen, bit by bit, so a repeated instant is
+refused when the averages are worked out, as in a batch, however far apart its readings arrive.
+For a median it keeps the window's values, which the grid of a window bounds.
 """
 
 from __future__ import annotations
@@ -16,35 +17,27 @@ from __future__ import annotations
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridwright.config import MICROS_PER_DAY, AveragingConfig, FieldRule, Statistic, micros
+from gridwright.config import MICROS_PER_DAY, AveragingConfig, Statistic, micros
 from gridwright.functions.names import col, cols, dtype, require
 from gridwright.functions.periods import ANCHORED, CLOCKED, big, slot_of, step_micros
 from gridwright.functions.zones import anchor_micros, canonical_zone, fixed_offset_micros
 from gridwright.operators.averaging import (
-    ADDITIVE,
-    MEANS,
     AveragingResult,
-    _next_stage,
     duration_seconds,
     finish_first_stage,
     finite,
+    grid_masks,
+    merged,
+    next_stage,
+    parts,
+    refuse_repeats,
+    surplus,
+    with_medians,
 )
 
-PARTS = ("n", "total", "low", "high", "spread", "energy", "weight")
-
-
-def _parts(i: int, value: Column, weight: Column) -> list[Column]:
-    energy = F.pow(F.lit(10.0), value / 10.0)
-    made = (
-        F.count(value), F.sum(value), F.min(value), F.max(value),
-        F.var_pop(value) * F.count(value), F.sum(energy * weight), F.sum(F.when(value.isNotNull(), weight)),
-    )
-    return [c.alias(f"_{name}{i}") for name, c in zip(PARTS, made)]
-
-
 def check_base(config: AveragingConfig, base: timedelta) -> None:
     """Refuse base windows that hold a broken interval or straddle a period's edge."""
     length, step = micros(base), micros(config.interval)
@@ -74,14 +67,12 @@ def zone_offsets(zone: str) -> set[int]:
 def partial_windows(
     stream: DataFrame, config: AveragingConfig, *, base: timedelta, delay: str
 ) -> DataFrame:
-    """Streaming partial results per (keys, base window); repeated instants count once."""
-    if any(f.statistic is Statistic.MEDIAN for f in config.fields):
-        raise ValueError("an exact median cannot be merged; use the batch operator")
+    """Streaming partial results per (keys, base window, part of its grid)."""
     check_base(config, base)
     keys = list(config.keys)
     require(stream, config.timestamp, *keys, *[f.column for f in config.fields])
-    step = big(micros(config.interval))
-    values = []
+    step = micros(config.interval)
+    values, partial = [], []
     for i, f in enumerate(config.fields):
         value = finite(col(f.column), dtype(stream, f.column)).cast("double")
         weight = F.lit(1.0)
@@ -89,16 +80,20 @@ def partial_windows(
             weight = duration_seconds(col(f.weight_column), dtype(stream, f.weight_column))
             value = F.when(col(f.weight_column).isNotNull(), value)
         values += [value.alias(f"_x{i}"), weight.alias(f"_w{i}")]
-    rows = (
-        stream.select(*cols(keys), col(config.timestamp).alias("_ts"), *values)
-        .withWatermark("_ts", delay)
-        .dropDuplicatesWithinWatermark([*keys, "_ts"])
-    )
-    phase = F.pmod(F.unix_micros("_ts"), step)
-    parts = [p for i in range(len(config.fields)) for p in _parts(i, col(f"_x{i}"), col(f"_w{i}"))]
+        partial += parts(i, f, col(f"_x{i}"), col(f"_w{i}"))
+        if f.statistic is Statistic.MEDIAN:
+            partial.append(F.sort_array(F.collect_list(col(f"_x{i}"))).alias(f"_values{i}"))
+    at = F.unix_micros(col(config.timestamp))
+    part, masks = grid_masks(at, step, micros(base) // step)
+    names = [f"_mask{j}" for j in range(len(masks))]
+    rows = stream.select(
+        *cols(keys), col(config.timestamp).alias("_ts"), part.alias("_part"),
+        F.pmod(at, big(step)).alias("_phase"), *[m.alias(n) for m, n in zip(masks, names)], *values,
+    ).withWatermark("_ts", delay)
     window = F.window("_ts", f"{micros(base)} microseconds")
-    return rows.groupBy(*cols(keys), window.alias("_window")).agg(
-        *parts, F.min(phase).alias("_phase_lo"), F.max(phase).alias("_phase_hi")
+    return rows.groupBy(*cols(keys), window.alias("_window"), "_part").agg(
+        *partial, F.min("_phase").alias("_phase_lo"), F.max("_phase").alias("_phase_hi"),
+        surplus(names).alias("_surplus"),
     ).select(F.col("_window.start").alias("_at"), "*").drop("_window")
 
 
@@ -122,10 +117,14 @@ def start_partials(
 
 def latest_partials(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
     """The newest version of each base window."""
-    df = spark.read.parquet(path)
-    rest = [n for n in df.columns if n not in {*keys, "_at", "batch_id"}]
+    return newest_partials(spark.read.parquet(path), keys)
+
+
+def newest_partials(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    rest = [n for n in df.columns if n not in {*keys, "_at", "_part", "batch_id"}]
     best = F.max_by(F.struct(*cols(rest)), col("batch_id")).alias("p")
-    return df.groupBy(*cols(keys), "_at").agg(best).select(*cols(keys), "_at", "p.*")
+    return df.groupBy(*cols(keys), "_at", "_part").agg(best).select(
+        *cols(keys), "_at", "_part", "p.*")
 
 
 def compact_partials(
@@ -134,66 +133,39 @@ def compact_partials(
     """Keep the newest version of each window only, in a folder of its own; batch numbers stay, so
     later batches of the stream can be written there as well."""
     df = spark.read.parquet(path)
-    newest = F.max("batch_id").over(Window.partitionBy(*cols(keys), col("_at")))
+    newest = F.max("batch_id").over(Window.partitionBy(*cols(keys), col("_at"), col("_part")))
     df.withColumn("__newest", newest).where("batch_id = __newest").drop("__newest").write.mode(
         "overwrite").partitionBy("batch_id").parquet(target)
     return latest_partials(spark, target, keys)
 
 
-def _merged_spread(i: int) -> Column:
-    """Sum of squared distances from the common mean, merged window by window: differences of
-    means keep their digits where squares of large values would lose them."""
-    part = F.struct(
-        col(f"_n{i}").cast("double").alias("n"), (col(f"_total{i}") / col(f"_n{i}")).alias("mean"),
-        col(f"_spread{i}").alias("spread"),
-    )
-    parts = F.sort_array(F.collect_list(F.when(col(f"_n{i}") > 0, part)))
-    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("n", "mean", "spread")])
-
-    def merge(a: Column, b: Column) -> Column:
-        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
-        return F.struct(
-            n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"),
-            (a["spread"] + b["spread"] + apart * apart * a["n"] * b["n"] / n).alias("spread"),
-        )
-
-    return F.aggregate(parts, zero, merge)["spread"]
-
-
-def _merged(i: int, rule: FieldRule) -> Column:
-    n = F.sum(f"_n{i}")
-    total = F.sum(f"_total{i}")
-    which = rule.statistic
-    if which is Statistic.COUNT:
-        value = n.cast("bigint")
-    elif which is Statistic.MINIMUM:
-        value = F.min(f"_low{i}")
-    elif which is Statistic.MAXIMUM:
-        value = F.max(f"_high{i}")
-    elif which in ADDITIVE:
-        value = total
-    elif which in MEANS:
-        value = total / n
-    elif which is Statistic.STANDARD_DEVIATION:
-        value = F.sqrt(_merged_spread(i) / n)
-    else:
-        energy = F.sum(f"_energy{i}")
-        too_much = F.raise_error(F.lit("an energy average overflows")).cast("double")
-        energy = F.when(energy == float("inf"), too_much).otherwise(energy)
-        value = F.lit(10.0) * F.log10(energy / F.sum(f"_weight{i}"))
-    return F.when(n > 0, value).alias(f"_v{i}")
+def grouped_partials(partials: DataFrame, config: AveragingConfig) -> DataFrame:
+    """The rows of the first stage's own aggregate from partial windows."""
+    keys = list(config.keys)
+    slot = slot_of(config.stages[0].period, col("_at"), config.zone)
+    rows = partials.withColumn("_slot", slot)
+    aggregates, medians = [], []
+    for i, f in enumerate(config.fields):
+        aggregates.append(F.sum(f"_n{i}").alias(f"_n{i}"))
+        if f.statistic is Statistic.MEDIAN:
+            medians.append(i)
+        else:
+            aggregates.append(merged(i, f))
+    grouped = refuse_repeats(rows.groupBy(*cols(keys), "_slot").agg(
+        *aggregates, F.min("_phase_lo").alias("_phase_lo"), F.max("_phase_hi").alias("_phase_hi"),
+        F.sum("_surplus").alias("_surplus"),
+    ))
+    if not medians:
+        return grouped
+    values = F.explode(F.arrays_zip(*[col(f"_values{i}").alias(f"_x{i}") for i in medians]))
+    listed = rows.select(*cols(keys), "_slot", values.alias("_v")).select(
+        *cols(keys), "_slot", "_v.*")
+    return with_medians(grouped, listed, keys, medians)
 
 
 def average_partials(partials: DataFrame, config: AveragingConfig) -> AveragingResult:
     """All stages from merged partial windows."""
-    aggregates = []
-    for i, f in enumerate(config.fields):
-        aggregates += [F.sum(f"_n{i}").alias(f"_n{i}"), _merged(i, f)]
-    slot = slot_of(config.stages[0].period, col("_at"), config.zone)
-    grouped = partials.groupBy(*cols(config.keys), slot.alias("_slot")).agg(
-        *aggregates, F.min("_phase_lo").alias("_phase_lo"), F.max("_phase_hi").alias("_phase_hi")
-    )
-    stages = [finish_first_stage(grouped, config)]
+    stages = [finish_first_stage(grouped_partials(partials, config), config)]
     for stage in config.stages[1:]:
-        stages.append(_next_stage(stages[-1], stage))
+        stages.append(next_stage(stages[-1], stage))
     return AveragingResult(stages)

@@ -219,3 +219,47 @@ def test_suggestions_by_name():
     assert suggest_statistic("PM2.5") == "arithmetic_mean"
     assert suggest_output("PM2.5", "maximum") == "PM2.5 - Max"
     assert time(0) == day().day_start
+
+
+def test_periods_of_many_grid_points_are_folded_part_by_part(spark):
+    """Days of minutes: the same averages as without the checks, for every statistic."""
+    minute, names = timedelta(minutes=1), [s for s in Statistic if s is not Statistic.MEDIAN]
+    data = [
+        (START + i * minute, *[None if i % 7 == j % 7 else 50 + (i * (j + 3) % 41) / 8 for j in range(len(names))])
+        for i in range(2 * 1440 + 700)
+    ]
+    columns = [f"v{j}" for j in range(len(names))]
+    df = spark.createDataFrame(data, "ts timestamp, " + ", ".join(f"{c} double" for c in columns))
+    config = cfg(
+        Stage(day(), Completeness(0.1)), interval=minute, zone="America/New_York",
+        fields=[FieldRule(c, s) for c, s in zip(columns, names)])
+    got, want = (rows(average(df, config, strict=s).table, "Period_Start") for s in (True, False))
+    assert len(got) == len(want) == 4
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-12)
+    records = [rows(average(df, config, strict=s).completeness) for s in (True, False)]
+    assert records[0] == records[1]
+
+
+@pytest.mark.parametrize("interval, period", [(HOUR, day()), (timedelta(minutes=1), day()), (HOUR, MonthPeriod())])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_repeated_instants_are_found_by_their_marks(spark, interval, period, zone):
+    start = datetime(2026, 3, 7, 5, tzinfo=UTC)  # a day change of the clocks lies behind it
+    times = [start + i * interval for i in range(int(timedelta(days=3) / interval))]
+    config = cfg(Stage(period, Completeness(0.01)), interval=interval, zone=zone)
+    frame = lambda ts: spark.createDataFrame([(t, 1.0) for t in ts], "ts timestamp, v double").repartition(7)
+    average(frame(times), config).table.collect()
+    for place in (0, 1, len(times) // 2, len(times) - 1):
+        with pytest.raises(Exception, match="repeated"):
+            average(frame([*times, times[place]]), config).table.collect()
+    with pytest.raises(Exception, match="off the confirmed"):
+        average(frame([*times, times[3] + interval / 2]), config).table.collect()
+    with pytest.raises(Exception, match="missing"):
+        average(frame([*times, None]), config).table.collect()
+
+
+def test_rows_are_folded_before_their_only_exchange(spark):
+    df = series(spark, [1.0] * 48).drop("_ord")
+    plan = average(df, cfg(Stage(day()))).stages[0].frame
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in text and text.count("Aggregate") == 1

@@ -207,34 +207,55 @@ def test_average_recipe_counts_bad_cells_as_missing(spark):
         run_recipe(broken, AVERAGE).table.collect()
 
 
-def test_stream_equals_batch_with_late_and_repeated_rows(spark, tmp_path):
+def streamed(spark, frames, config, tmp_path, base):
+    """Averages of a file stream that takes one frame after the other."""
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    parts = periods.partial_windows(stream, config, base=base, delay="30 days")
+    periods.start_partials(parts, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    return periods.average_partials(periods.latest_partials(spark, str(tmp_path / "out"), config.keys), config)
+
+
+def test_stream_equals_batch_with_late_rows(spark, tmp_path):
     start = datetime(2026, 3, 6, tzinfo=UTC)
-    data = [("a" if i % 3 else "b", start + timedelta(minutes=15 * i), float(i % 17), 1.0 + i % 2) for i in range(96 * 5)]
-    df = spark.createDataFrame(data, "k string, ts timestamp, v double, w double")
+    data = [("a" if i % 3 else "b", start + timedelta(minutes=15 * i), float(i % 17), 1.0 + i % 2, float(i * i % 23), None if i % 5 == 0 else float(i)) for i in range(96 * 5)]
+    df = spark.createDataFrame(data, "k string, ts timestamp, v double, w double, m double, h double")
     config = AveragingConfig(
         "ts", timedelta(minutes=15), "America/New_York",
-        (FieldRule("v", Statistic.STANDARD_DEVIATION), FieldRule("w", Statistic.SUM)),
+        (FieldRule("v", Statistic.STANDARD_DEVIATION), FieldRule("w", Statistic.SUM),
+         FieldRule("m", Statistic.MEDIAN), FieldRule("h", Statistic.MEDIAN)),
         (Stage(clock(hours=8), Completeness(0.1)), Stage(day(), Completeness(0.3))),
         keys=("k",),
     )
-    # Files in reverse time order, the first one repeated.
-    for place, (lo, hi) in enumerate(((320, 480), (0, 160), (160, 320), (320, 400))):
-        part = spark.createDataFrame(data[lo:hi], df.schema)
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        assert place >= 0
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    parts = periods.partial_windows(stream, config, base=timedelta(hours=1), delay="30 days")
-    query = periods.start_partials(parts, str(tmp_path / "out"), str(tmp_path / "log"))
-    query.awaitTermination()
-    merged = periods.average_partials(periods.latest_partials(spark, str(tmp_path / "out"), ("k",)), config)
+    # Files in reverse time order.
+    files = [spark.createDataFrame(data[lo:hi], df.schema) for lo, hi in ((320, 480), (0, 170), (170, 320))]
+    merged = streamed(spark, files, config, tmp_path, timedelta(hours=1))
     batch = averaging.average(df, config)
     for got, want in zip(merged.stages, batch.stages):
         left = {tuple(r)[:3]: [round(x, 6) if x is not None else None for x in tuple(r)[3:]] for r in got.table.collect()}
         right = {tuple(r)[:3]: [round(x, 6) if x is not None else None for x in tuple(r)[3:]] for r in want.table.collect()}
         assert left == right
-    median = AveragingConfig("ts", timedelta(minutes=15), "UTC", (FieldRule("v", Statistic.MEDIAN),), (Stage(day()),))
-    with pytest.raises(ValueError, match="median"):
-        periods.partial_windows(stream, median, base=timedelta(hours=1), delay="1 day")
+
+
+def test_stream_refuses_what_a_batch_refuses(spark, tmp_path):
+    start = datetime(2026, 3, 6, tzinfo=UTC)
+    rows = [(start + timedelta(minutes=i), float(i)) for i in range(1440)]
+    config = AveragingConfig("ts", timedelta(minutes=1), "UTC", (FieldRule("v"),), (Stage(day()),))
+    frame = lambda data: spark.createDataFrame(data, "ts timestamp, v double")
+    cases = {
+        "repeated": [frame(rows), frame([rows[700]])],  # arrives in a later batch
+        "missing": [frame(rows), frame([(None, 1.0)])],
+        "off the confirmed": [frame(rows[1:]), frame([(start + timedelta(seconds=30), 1.0)])],
+    }
+    for place, (words, files) in enumerate(cases.items()):
+        batch = files[0].unionByName(files[1])
+        with pytest.raises(Exception, match=words):
+            averaging.average(batch, config).table.collect()
+        folder = tmp_path / str(place)
+        if words != "missing":  # a stream's watermark leaves rows without a time out
+            with pytest.raises(Exception, match=words):
+                streamed(spark, files, config, folder, timedelta(hours=12)).table.collect()
 
 
 def test_repeated_instants_are_refused_through_a_recipe(spark):
