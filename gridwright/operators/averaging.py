@@ -46,7 +46,7 @@ from gridwright.functions.zones import (
     edge_micros,
     fixed_offset_micros,
 )
-from gridwright.operators.ordering import successive_pairs, with_chunk
+from gridwright.operators.ordering import successive_pairs
 
 ADDITIVE = (Statistic.SUM, Statistic.RAINFALL_ACCUMULATION)
 MEANS = (Statistic.ARITHMETIC_MEAN, Statistic.RAIN_RATE_MEAN)
@@ -662,8 +662,7 @@ def disorder(df: DataFrame, config: AveragingConfig, *, order: str = "_ord") ->
     """Rows earlier than the row before them in source order, as violations."""
     named, ts = cols(config.keys), col(config.timestamp)
     rows = df.where(ts.isNotNull()).select(*named, ts.alias("ts"), col(order))
-    rows = with_chunk(rows, order)
-    pairs = successive_pairs(rows, list(config.keys), [order], col("__chunk"), ["ts"])
+    pairs = successive_pairs(rows, list(config.keys), order, ["ts"])
     return pairs.where(F.col("next.ts") < F.col("prev.ts")).select(
         F.lit("disorder").alias("kind"), *named, F.col("next.ts").alias("ts"),
         F.lit(1).cast("bigint").alias("n_rows"),

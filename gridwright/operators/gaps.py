@@ -26,7 +26,6 @@ from gridwright.operators.ordering import (
     join_members,
     successive_pairs,
     with_single_row,
-    with_chunk,
 )
 
 # Names of the common sampling intervals, in seconds.
@@ -66,8 +65,7 @@ def suggest_interval(
 
     Rows ``keys, interval_seconds, matching_steps, total_steps, confidence, label``.
     """
-    rows = with_chunk(_instants(df, keys, timestamp), "__t")
-    pairs = successive_pairs(rows, keys, ["__t"], col("__chunk"), ["__t"])
+    pairs = successive_pairs(_instants(df, keys, timestamp), keys, "__t", ["__t"])
     steps = pairs.groupBy(
         *cols(keys), (F.col("next.__t") - F.col("prev.__t")).alias("__d")
     ).agg(F.count("*").alias("__n"))
@@ -279,8 +277,8 @@ def chronological_breaks(
     *, width: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Valid rows earlier than the previous valid row in source order."""
-    valid = with_chunk(df.where(col(timestamp).isNotNull()), order, width)
-    pairs = successive_pairs(valid, keys, [order], col("__chunk"), [order, timestamp])
+    valid = df.where(col(timestamp).isNotNull())
+    pairs = successive_pairs(valid, keys, order, [order, timestamp], width=width)
     late = pairs.where(F.col(f"next.`{timestamp}`") < F.col(f"prev.`{timestamp}`"))
     return late.select(
         *cols(keys),

@@ -1,8 +1,12 @@
 """Ordered work without one task per series.
 
-Consecutive-row logic is cut into chunks of about equal row counts along the order column, however
-sparse or clustered its values are. Pairs inside a chunk come from a window over (keys, chunk);
-pairs across chunks come from a summary holding one row per chunk. A key that owns a third of the data is therefore spread over many tasks.
+Consecutive-row logic is cut by the values of the order column: a *chunk* is a range of values
+as wide as the wanted row count, so a chunk of unique whole numbers never holds more rows than
+that, however sparse, clustered or far out the values are. Nothing is estimated and the table is
+not read for it. Chunks form a tree: a level's summaries (counts, or first and last rows) are dealt by
+wider and wider ranges, and the widest leave at most some thousands to one task. A key that owns
+a third of the data is therefore spread over many tasks, and sparse values cost two more
+shuffles of summaries instead of one long window.
 """
 
 from __future__ import annotations
@@ -10,10 +14,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
-from gridwright.functions.names import col, cols, require
+from gridwright.functions.names import col, cols, dtype, require
 
 CHUNK_ROWS = 1 << 20
+#: Summaries that the widest ranges of 64-bit values leave to one task, as a power of two.
+TOP_BITS = 12
 
 
 def with_ordinal(df: DataFrame, name: str = "_ord") -> DataFrame:
@@ -21,64 +28,112 @@ def with_ordinal(df: DataFrame, name: str = "_ord") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-SEGMENTS = 16
+def order_number(df: DataFrame, order: str) -> Column:
+    """A BIGINT that never falls where ``order`` rises, and differs where whole numbers do."""
+    kind, value = dtype(df, order), col(order)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("bigint")
+    if isinstance(kind, T.IntegralType):
+        return value.cast("bigint")
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (value.cast("decimal(38,18)") * F.lit(10**kind.scale).cast("decimal(19,0)")).cast("bigint")
+    # The bits of a double rise with it, but fall for negative ones.
+    bits = F.java_method(
+        F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + 0.0).cast("bigint")
+    return F.when(value.isNotNull(), F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits))
 
 
 def with_chunk(
     df: DataFrame, order: str, rows: int = CHUNK_ROWS, name: str = "__chunk"
 ) -> DataFrame:
-    """Append a chunk number that never falls along the order column.
+    """Append a chunk number that never falls along the order column; a chunk holds at most
+    ``rows`` different whole numbers."""
+    return df.withColumn(name, _range_of(order_number(df, order), rows))
 
-    The rank of a value is estimated on a straight line inside each of 16 segments of equal row
-    counts, whose edges come from one mergeable quantile summary; chunks are ranges of about
-    ``rows`` estimated ranks.
-    """
-    place = col(order).cast("double")
-    shares = F.array(*[F.lit(i / SEGMENTS) for i in range(1, SEGMENTS)])
-    inner = F.percentile_approx(place, shares, F.lit(1000))
-    edges = F.concat(F.array(F.min(place)), inner, F.array(F.max(place)))
-    facts = df.agg(
-        F.struct(F.count(place).alias("n"), inner.alias("inner"), edges.alias("edges")).alias("f")
-    ).scalar()
-    passed = F.size(F.filter(F.col("__f.inner"), lambda edge: edge <= place))
-    placed = df.select("*", facts.alias("__f")).withColumn("__segment", passed)
-    low, high = (F.get(F.col("__f.edges"), col("__segment") + i) for i in (0, 1))
-    share = F.when(high > low, F.least((place - low) / (high - low), F.lit(1.0))).otherwise(0.0)
-    rank = (col("__segment") + share) * F.col("__f.n") / SEGMENTS
-    return placed.select(*cols(df.columns), F.floor(rank / rows).cast("bigint").alias(name))
+
+def _range_of(number: Column, width: int) -> Column:
+    """Floor division that also holds for the lowest BIGINTs."""
+    wide = F.lit(width).cast("bigint")
+    near = F.call_function("div", number, wide)
+    return F.when((number < 0) & (F.pmod(number, wide) > 0), near - 1).otherwise(near)
+
+
+def _fan(rows: int) -> int:
+    """Chunks in a range of the next level, so that two levels leave ``TOP_BITS`` bits."""
+    left = max(0, 64 - TOP_BITS - (rows.bit_length() - 1))
+    return 1 << -(-left // 2)
+
+
+def _lookup(rows: DataFrame, facts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join one-row-per-group facts to rows; null keys meet as well."""
+    right = facts.select(*[col(k).alias(f"__r{i}") for i, k in enumerate(on)],
+                         *[c for c in facts.columns if c not in on])
+    same = [col(k).eqNullSafe(col(f"__r{i}")) for i, k in enumerate(on)]
+    return rows.join(right, same).drop(*[f"__r{i}" for i in range(len(on))])
+
+
+def chunk_offsets(
+    chunked: DataFrame, keys: Sequence[str] = (), rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """``keys, __chunk, __n, __before``: rows of each chunk and rows of the key before it.
+
+    Prefix sums climb three levels: inside ranges of chunks, ranges of ranges, and the key."""
+    fan = _fan(rows)
+    levels = ["__chunk", "__c2", "__c3"]
+    tables, table = [], chunked.groupBy(*cols(keys), "__chunk").agg(F.count("*").alias("__n"))
+    for place, name in enumerate(levels):
+        if place < 2:
+            table = table.withColumn(levels[place + 1], _range_of(col(name), fan))
+            group = [*cols(keys), col(levels[place + 1])]
+        else:
+            group = [*cols(keys)]
+        before = Window.partitionBy(*group).orderBy(name).rowsBetween(
+            Window.unboundedPreceding, -1)
+        tables.append(table.withColumn(f"__b{place}", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+        if place < 2:
+            table = table.groupBy(*group).agg(F.sum("__n").alias("__n"))
+    upper = _lookup(tables[1].drop("__n"), tables[2].drop("__n"), [*keys, "__c3"]).drop("__c3")
+    whole = _lookup(tables[0], upper, [*keys, "__c2"])
+    return whole.select(
+        *cols(keys), "__chunk", "__n", (col("__b0") + col("__b1") + col("__b2")).alias("__before"))
 
 
 def successive_pairs(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
+    order: str,
     carry: Sequence[str],
+    *,
+    width: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Rows ``keys, prev, next``: every pair of neighbours in order, as structs of ``carry``.
 
-    ``order`` must be unique within a key and ``chunk`` must not decrease along it.
-    """
-    require(df, *keys, *order, *carry)
-    rows = df.select(
-        *cols(keys),
-        F.struct(*cols(order)).alias("__o"),
-        F.struct(*cols(carry)).alias("__c"),
-        chunk.alias("__chunk"),
-    ).repartition(*cols(keys), F.col("__chunk"))  # one exchange, shared by both branches
-    inside = Window.partitionBy(*cols(keys), col("__chunk")).orderBy("__o")
-    near = rows.select(
-        *cols(keys), F.lag("__c").over(inside).alias("prev"), col("__c").alias("next")
-    ).where(F.col("prev").isNotNull())
-    edges = rows.groupBy(*cols(keys), col("__chunk")).agg(
-        F.min(F.struct("__o", "__c"))["__c"].alias("__head"),
-        F.max(F.struct("__o", "__c"))["__c"].alias("__tail"),
-    )
-    across = Window.partitionBy(*cols(keys)).orderBy("__chunk")
-    far = edges.select(
-        *cols(keys), F.lag("__tail").over(across).alias("prev"), col("__head").alias("next")
-    ).where(F.col("prev").isNotNull())
-    return near.unionByName(far)
+    ``order`` must be unique within a key. Pairs inside a chunk come from a window over it; its
+    first and last rows go on to the next wider range, and so on up to the key."""
+    require(df, *keys, order, *carry)
+    fan = _fan(width)
+    rows = with_chunk(
+        df.select(*cols(keys), col(order).alias("__o"), F.struct(*cols(carry)).alias("__c")), "__o", width)
+    groups = [["__chunk"], ["__c2"], ["__c3"], []]
+    found = None
+    for place, group in enumerate(groups):
+        if place in (1, 2):
+            rows = rows.withColumn(group[0], _range_of(col(groups[place - 1][0]), fan))
+        inside = Window.partitionBy(*cols(keys), *cols(group)).orderBy("__o")
+        first = F.lit(True) if place == 0 else col("__opens")
+        rows = rows.select(
+            *cols(keys), "__o", "__c", *cols(group), first.alias("__was"),
+            F.lag("__c").over(inside).alias("prev"), F.lead("__o").over(inside).isNull().alias("__closes"))
+        pairs = rows.where(col("prev").isNotNull() & col("__was")).select(
+            *cols(keys), "prev", col("__c").alias("next"))
+        found = pairs if found is None else found.unionByName(pairs)
+        # Both ends of a range meet others; only its first row still lacks the row before it.
+        opens = col("prev").isNull()
+        rows = rows.where(opens | col("__closes")).withColumn("__opens", opens & col("__was")).drop(
+            "prev", "__was", "__closes")
+    return found
 
 
 def with_position(
@@ -90,32 +145,18 @@ def with_position(
     start: int = 1,
     width: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Append a contiguous 1, 2, 3 … position along a unique number column.
+    """Append a contiguous 1, 2, 3 … position along a unique column.
 
     Chunk counts give each chunk its offset, so numbering needs one shuffle by (keys, chunk)
     and no global sort.
     """
     require(df, order, *keys)
     rows = with_chunk(df, order, width)
-    where = [*cols(keys), col("__chunk")]
-    before = Window.partitionBy(*cols(keys)).orderBy("__chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        rows.groupBy(*where)
-        .agg(F.count("*").alias("__n"))
-        .select(*where, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    )
-    inside = Window.partitionBy(*where).orderBy(col(order))
+    offsets = chunk_offsets(rows, keys, width).drop("__n")
+    inside = Window.partitionBy(*cols(keys), col("__chunk")).orderBy(col(order))
     numbered = rows.withColumn("__place", F.row_number().over(inside))
-    on = [*keys, "__chunk"]
-    if keys:  # null keys must still meet their offset
-        right = offsets.select(*[col(k).alias(f"__r_{i}") for i, k in enumerate(on)], "__offset")
-        same = [col(k).eqNullSafe(col(f"__r_{i}")) for i, k in enumerate(on)]
-        joined = numbered.join(right, same).drop(*[f"__r_{i}" for i in range(len(on))])
-    else:
-        joined = numbered.join(offsets, on)
-    position = col("__place") + col("__offset") + F.lit(start - 1)
+    joined = _lookup(numbered, offsets, [*keys, "__chunk"])
+    position = col("__place") + col("__before") + F.lit(start - 1)
     return joined.select(*cols(df.columns), position.cast("bigint").alias(output))
 
 

@@ -14,7 +14,12 @@ from pyspark.sql.types import StringType
 
 from gridwright.functions import numeric
 from gridwright.functions.names import col, cols, require
-from gridwright.operators.ordering import CHUNK_ROWS, successive_pairs, with_chunk
+from gridwright.operators.ordering import (
+    CHUNK_ROWS,
+    chunk_offsets,
+    successive_pairs,
+    with_chunk,
+)
 
 # Texts that look like missing markers, boolean words, detection thresholds.
 MISSING_WORDS = ("na", "n/a", "null", "none", "nan", "-999", "-999.0")
@@ -318,8 +323,7 @@ def likely_interval(
     if sample_limit is not None:
         rows = rows.orderBy("_ord").limit(sample_limit)
     rows = rows.withColumn("__u", F.unix_micros(col("__t").cast("timestamp")))
-    rows = with_chunk(rows, "_ord")
-    pairs = successive_pairs(rows, keys, ["_ord"], col("__chunk"), ["__u", "_ord"])
+    pairs = successive_pairs(rows, keys, "_ord", ["__u", "_ord"])
     step = F.col("next.__u") - F.col("prev.__u")
     steps = pairs.where(step > 0).groupBy(*cols(keys), step.alias("__d")).agg(
         F.count("*").alias("__n"), F.min("next._ord").alias("__seen")
@@ -363,12 +367,8 @@ def preview_slices(
     """
     require(df, order)
     chunked = with_chunk(df, order, width)
-    total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
-    running = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = chunked.groupBy("__chunk").agg(F.count("*").alias("__n")).select(
-        "__chunk", "__n", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"),
-        total.alias("__rows"),
-    )
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = chunk_offsets(chunked, rows=width).select("*", total.alias("__rows"))
     n = F.col("__rows")
     middle = F.greatest(F.lit(0), F.floor((n - size) / 2)) + 1
     ranges = F.array(

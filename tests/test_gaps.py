@@ -131,19 +131,35 @@ def test_contiguous_index_over_many_chunks(spark):
     assert got == {(i * 3, i // 3) for i in range(5000)}
 
 
-def test_successive_pairs_stitch_chunks(spark):
-    df = spark.range(1, 1000).select("id").repartition(6)
-    df = ordering.with_chunk(df, "id", 10)
-    pairs = ordering.successive_pairs(df, [], ["id"], F.col("__chunk"), ["id"])
-    assert {(r.prev.id, r.next.id) for r in pairs.collect()} == {(i, i + 1) for i in range(1, 999)}
-
-
-def test_chunks_of_sparse_and_clustered_keys_hold_similar_row_counts(spark):
-    sparse = spark.range(20_000).select((F.col("id") * 9_007_199_254_740 + 17).alias("o"))
-    clustered = spark.range(20_000).select(
-        F.when(F.col("id") < 15_000, F.col("id")).otherwise(F.col("id") * 10**12).alias("o"))
-    for df in (sparse, clustered):
+@pytest.mark.parametrize("width", [1, 10, ordering.CHUNK_ROWS])
+def test_successive_pairs_stitch_chunks(spark, width):
+    spread = [*range(1, 400), *(10**12 + 7 * i for i in range(300)), *(-(2**60) + 2**40 * i for i in range(300)),
+              2**63 - 1, -(2**63)]
+    data = [(k, v) for v in spread for k in ("a", None)]
+    df = spark.createDataFrame(data, "k string, id bigint").repartition(6)
+    pairs = ordering.successive_pairs(df, ["k"], "id", ["id"], width=width)
+    spread.sort()
+    got = rows(pairs.select("k", "prev.id", "next.id"))
+    assert got == sorted(((k, a, b) for a, b in zip(spread, spread[1:]) for k in ("a", None)), key=repr)
+
+
+def test_chunks_never_hold_more_rows_than_wanted(spark):
+    n = 20_000
+    sparse = spark.range(n).select((F.col("id") * 9_007_199_254_740 - 2**60).alias("o"))
+    clustered = spark.range(n).select(
+        F.when(F.col("id") % 100 > 0, F.col("id")).otherwise(F.col("id") * 10**12).alias("o"))
+    outlier = spark.range(n).select(F.when(F.col("id") > 0, F.col("id")).otherwise(-(2**62)).alias("o"))
+    for df in (sparse, clustered, outlier):
         sizes = [r["count"] for r in ordering.with_chunk(df, "o", 200).groupBy("__chunk").count().collect()]
-        assert max(sizes) <= 1000 and len(sizes) >= 50
+        assert max(sizes) <= 200 and len(sizes) >= 50
         placed = ordering.with_position(df, "o", "n", width=200).orderBy("o").collect()
-        assert [r.n for r in placed] == list(range(1, 20_001))
+        assert [r.n for r in placed] == list(range(1, n + 1))
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(18,3)", "decimal(38,3)", "timestamp", "date"])
+def test_positions_along_other_kinds_of_columns(spark, kind):
+    value = (F.col("id") - 250) * 37
+    value = F.timestamp_seconds(value) if kind == "timestamp" else F.date_from_unix_date(value.cast("int")) if kind == "date" else (value / 1000).cast(kind)
+    df = spark.range(500).select(value.alias("o"), "id").repartition(5)
+    got = ordering.with_position(df, "o", "n", width=16).orderBy("id").collect()
+    assert [r.n for r in got] == list(range(1, 501))
