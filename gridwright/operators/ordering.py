@@ -50,14 +50,13 @@ def with_chunk(
 ) -> DataFrame:
     """Append a chunk number that never falls along the order column; a chunk holds at most
     ``rows`` different whole numbers."""
-    return df.withColumn(name, _range_of(order_number(df, order), rows))
+    placed = df.withColumn(name, order_number(df, order))
+    return placed.withColumn(name, F.expr(_range_of(name, rows)))
 
 
-def _range_of(number: Column, width: int) -> Column:
-    """Floor division that also holds for the lowest BIGINTs."""
-    wide = F.lit(width).cast("bigint")
-    near = F.call_function("div", number, wide)
-    return F.when((number < 0) & (F.pmod(number, wide) > 0), near - 1).otherwise(near)
+def _range_of(number: str, width: int) -> str:
+    """Floor division as SQL text that also holds for the lowest BIGINTs."""
+    return f"({number} DIV {width}L - CAST({number} < 0 AND {number} % {width}L != 0 AS BIGINT))"
 
 
 def _fan(rows: int) -> int:
@@ -68,10 +67,10 @@ def _fan(rows: int) -> int:
 
 def _lookup(rows: DataFrame, facts: DataFrame, on: Sequence[str]) -> DataFrame:
     """Join one-row-per-group facts to rows; null keys meet as well."""
-    right = facts.select(*[col(k).alias(f"__r{i}") for i, k in enumerate(on)],
+    right = facts.select(*[col(k).alias(f"__on{i}") for i, k in enumerate(on)],
                          *[c for c in facts.columns if c not in on])
-    same = [col(k).eqNullSafe(col(f"__r{i}")) for i, k in enumerate(on)]
-    return rows.join(right, same).drop(*[f"__r{i}" for i in range(len(on))])
+    same = [col(k).eqNullSafe(col(f"__on{i}")) for i, k in enumerate(on)]
+    return rows.join(right, same).drop(*[f"__on{i}" for i in range(len(on))])
 
 
 def chunk_offsets(
@@ -80,24 +79,24 @@ def chunk_offsets(
     """``keys, __chunk, __n, __before``: rows of each chunk and rows of the key before it.
 
     Prefix sums climb three levels: inside ranges of chunks, ranges of ranges, and the key."""
-    fan = _fan(rows)
-    levels = ["__chunk", "__c2", "__c3"]
-    tables, table = [], chunked.groupBy(*cols(keys), "__chunk").agg(F.count("*").alias("__n"))
-    for place, name in enumerate(levels):
-        if place < 2:
-            table = table.withColumn(levels[place + 1], _range_of(col(name), fan))
-            group = [*cols(keys), col(levels[place + 1])]
-        else:
-            group = [*cols(keys)]
-        before = Window.partitionBy(*group).orderBy(name).rowsBetween(
-            Window.unboundedPreceding, -1)
-        tables.append(table.withColumn(f"__b{place}", F.coalesce(F.sum("__n").over(before), F.lit(0))))
-        if place < 2:
-            table = table.groupBy(*group).agg(F.sum("__n").alias("__n"))
-    upper = _lookup(tables[1].drop("__n"), tables[2].drop("__n"), [*keys, "__c3"]).drop("__c3")
-    whole = _lookup(tables[0], upper, [*keys, "__c2"])
-    return whole.select(
-        *cols(keys), "__chunk", "__n", (col("__b0") + col("__b1") + col("__b2")).alias("__before"))
+    fan, named = _fan(rows), cols(keys)
+    table = chunked.groupBy(*named, "__chunk").agg(F.count("*").alias("__n")).withColumnRenamed(
+        "__chunk", "__r0")
+    tables = []
+    for level in range(3):
+        above = f"__r{level + 1}"
+        if level < 2:
+            table = table.selectExpr("*", f"{_range_of(f'__r{level}', fan)} AS {above}")
+        group = ", ".join([*named, *([above] if level < 2 else [])]) or "1"
+        before = (f"coalesce(sum(__n) OVER (PARTITION BY {group} ORDER BY __r{level} "
+                  "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)")
+        tables.append(table.selectExpr("*", f"{before} AS __b{level}"))
+        if level < 2:
+            table = table.groupBy(*named, above).agg(F.sum("__n").alias("__n"))
+    upper = _lookup(tables[1].drop("__n"), tables[2].drop("__n"), [*keys, "__r2"])
+    whole = _lookup(tables[0], upper.drop("__r2"), [*keys, "__r1"])
+    return whole.selectExpr(
+        *named, "__r0 AS __chunk", "__n", "__b0 + __b1 + __b2 AS __before")
 
 
 def successive_pairs(
@@ -114,25 +113,27 @@ def successive_pairs(
     first and last rows go on to the next wider range, and so on up to the key."""
     require(df, *keys, order, *carry)
     fan = _fan(width)
+    named = cols(keys)
     rows = with_chunk(
-        df.select(*cols(keys), col(order).alias("__o"), F.struct(*cols(carry)).alias("__c")), "__o", width)
-    groups = [["__chunk"], ["__c2"], ["__c3"], []]
+        df.select(*named, col(order).alias("__o"), F.struct(*cols(carry)).alias("__c")), "__o", width,
+        name="__r0")
+    # SQL text: hundreds of expression objects would take longer to make than small tables to read.
     found = None
-    for place, group in enumerate(groups):
-        if place in (1, 2):
-            rows = rows.withColumn(group[0], _range_of(col(groups[place - 1][0]), fan))
-        inside = Window.partitionBy(*cols(keys), *cols(group)).orderBy("__o")
-        first = F.lit(True) if place == 0 else col("__opens")
-        rows = rows.select(
-            *cols(keys), "__o", "__c", *cols(group), first.alias("__was"),
-            F.lag("__c").over(inside).alias("prev"), F.lead("__o").over(inside).isNull().alias("__closes"))
-        pairs = rows.where(col("prev").isNotNull() & col("__was")).select(
-            *cols(keys), "prev", col("__c").alias("next"))
+    for level in range(4):
+        group = ", ".join([*named, *([f"__r{level}"] if level < 3 else [])]) or "1"
+        inside = f"OVER (PARTITION BY {group} ORDER BY __o)"
+        lacking = "true" if level == 0 else "__lacks"
+        rows = rows.selectExpr(
+            *named, "__o", "__c", *([f"__r{level}"] if level < 3 else []), f"{lacking} AS __lacked",
+            f"lag(__c) {inside} AS prev", f"lead(__o) {inside} IS NULL AS __closes")
+        pairs = rows.where("__lacked AND prev IS NOT NULL").selectExpr(*named, "prev", "__c AS next")
         found = pairs if found is None else found.unionByName(pairs)
+        if level == 3:
+            break
         # Both ends of a range meet others; only its first row still lacks the row before it.
-        opens = col("prev").isNull()
-        rows = rows.where(opens | col("__closes")).withColumn("__opens", opens & col("__was")).drop(
-            "prev", "__was", "__closes")
+        rows = rows.where("prev IS NULL OR __closes").selectExpr(
+            *named, "__o", "__c", "__lacked AND prev IS NULL AS __lacks",
+            *([f"{_range_of(f'__r{level}', fan)} AS __r{level + 1}"] if level < 2 else []))
     return found
 
 
