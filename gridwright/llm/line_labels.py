@@ -97,7 +97,7 @@ class Lines:
             np.concatenate(([0], breaks + 1))[np.searchsorted(breaks, starts[self.first])],
             at[self.row])
         b = edges[np.searchsorted(edges, starts[self.first], side="right")]
-        whole = R.Rolling(R.BYTE_VALUES[raw]).some(a, b)
+        whole = R.byte_strings(raw, a, b)
         order = np.lexsort((np.arange(len(whole)), whole, self.row))
         again = np.zeros(len(order), bool)
         again[order[1:]] = (whole[order][1:] == whole[order][:-1]) & (

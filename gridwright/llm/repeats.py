@@ -45,6 +45,10 @@ class Units:
         starts, ends = R.word_bounds(raw, at)
         return starts, ends, R.word_values(raw, starts, ends), np.searchsorted(starts, at)
 
+    def second(self, raw: np.ndarray, starts, ends, values: np.ndarray) -> np.ndarray:
+        """Unit values of the second lane."""
+        return R.word_values(raw, starts, ends, 1) if self.words else values
+
 
 def first_of_equal(row_id: np.ndarray, *keys: np.ndarray):
     """Sort by the keys, then by id. Returns (order, new group marks, first id of the group)."""
@@ -97,10 +101,10 @@ def probe_windows(docs: DataFrame, known: DataFrame, units: Units) -> DataFrame:
         for first, last in passes(at):
             if not wanted[first:last].any():
                 continue
-            _, _, values, unit_at = units.sequence(
-                raw[at[first] : at[last]], at[first : last + 1] - at[first]
-            )
-            lane, other = R.Rolling(values, 0), R.Rolling(values, 1)
+            text = raw[at[first] : at[last]]
+            starts, ends, values, unit_at = units.sequence(text, at[first : last + 1] - at[first])
+            lane = R.Rolling(values, 0)
+            other = R.Rolling(units.second(text, starts, ends, values), 1)
             found = R.blocks(lane, unit_at, units.size, units.k)
             content = found.content.view(np.int64)
             is_left = _member(

@@ -1,7 +1,9 @@
 """Vectorised rolling hashes, word splitting and winnowed anchors over sequences of units.
 
 A unit is a byte or a word. Hashes are polynomials modulo 2^64 over random unit values; equal
-content always gives equal hashes. Winnowing takes the rightmost smallest k-gram hash of each
+content always gives equal hashes. Such polynomials collide on some strings of many hundred units (Thue-Morse
+strings), whatever the random values: windows and blocks are far shorter, and words and lines of
+``LONG_BYTES`` or more are hashed by BLAKE2 instead. Winnowing takes the rightmost smallest k-gram hash of each
 window of n units, so equal windows choose the same anchor. The windows that choose one anchor
 are neighbours; together they form its block.
 """
@@ -9,6 +11,7 @@ are neighbours; together they form its block.
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -18,6 +21,8 @@ _SEED = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _SEED.integers(0, 1 << 64, 256, dtype=np.uint64)
 #: Odd multipliers of the lanes; two lanes make a 128-bit hash.
 BASES = tuple(int(x) | 1 for x in _SEED.integers(0, 1 << 64, 2, dtype=np.uint64))
+#: From this length on words and lines are hashed by BLAKE2.
+LONG_BYTES = 128
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -86,9 +91,22 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def word_values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit value of each word."""
-    return Rolling(BYTE_VALUES[raw], 0).some(starts, ends)
+def byte_strings(
+    raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0
+) -> np.ndarray:
+    """A 64-bit value of each stretch of bytes, whatever its length."""
+    values = Rolling(BYTE_VALUES[raw], lane).some(starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG_BYTES):
+        digest = blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=b"lane%d" % lane)
+        values[i] = int.from_bytes(digest.digest(), "little")
+    return values
+
+
+def word_values(
+    raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0
+) -> np.ndarray:
+    """A 64-bit value of each word; those of two lanes are independent."""
+    return byte_strings(raw, starts, ends, lane)
 
 
 class Blocks(NamedTuple):
