@@ -46,7 +46,7 @@ from gridwright.functions.zones import (
     edge_micros,
     fixed_offset_micros,
 )
-from gridwright.operators.ordering import successive_pairs
+from gridwright.operators.ordering import refused_if_any, successive_pairs
 
 ADDITIVE = (Statistic.SUM, Statistic.RAINFALL_ACCUMULATION)
 MEANS = (Statistic.ARITHMETIC_MEAN, Statistic.RAIN_RATE_MEAN)
@@ -501,6 +501,8 @@ def _first_stage(df: DataFrame, config: AveragingConfig, strict: bool) -> StageR
         grouped = rows.groupBy(*cols(keys), "_slot").agg(*whole, *phases, *extra)
     if strict:
         grouped = refuse_repeats(grouped)
+        if "_ord" in df.columns and not config.allow_reorder:
+            grouped = refused_if_any(grouped, disorder(df, config), "disorder")
     else:
         grouped = grouped.where(col("_phase_lo").isNotNull())
     return finish_first_stage(with_medians(grouped, rows, keys, selected), config)
@@ -616,7 +618,7 @@ def average(df: DataFrame, config: AveragingConfig, *, strict: bool = True) -> A
 
     Missing and repeated timestamps are refused by the first stage's own aggregate, when the
     result is worked out. Disorder along an ``_ord`` column, unless reordering is allowed, is
-    refused by a job over (keys, timestamp) before that. ``strict=False`` leaves these checks out
+    refused by a subquery over (keys, timestamp). ``strict=False`` leaves these checks out
     for data that is known to be clean: rows without a timestamp are then left out and repeated
     instants count as often as they come.
     """
@@ -624,8 +626,6 @@ def average(df: DataFrame, config: AveragingConfig, *, strict: bool = True) -> A
     require(df, *[f.weight_column for f in config.fields if f.weight_column])
     if not isinstance(dtype(df, config.timestamp), T.TimestampType):
         raise ValueError("averaging needs an instant; give wall-clock timestamps a zone first")
-    if strict and "_ord" in df.columns and not config.allow_reorder:
-        require_clean(disorder(df, config))
     stages = [_first_stage(df, config, strict)]
     for stage in config.stages[1:]:
         stages.append(next_stage(stages[-1], stage))

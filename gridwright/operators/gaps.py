@@ -24,6 +24,7 @@ from gridwright.operators.diagnostics import Diagnostics, watch
 from gridwright.operators.ordering import (
     CHUNK_ROWS,
     join_members,
+    refused_if_any,
     successive_pairs,
     with_single_row,
 )
@@ -90,22 +91,32 @@ BLOCK_SLOTS = 4096
 CHUNK_BLOCKS = 4096
 
 
-def _blocks(df: DataFrame, config: GapConfig) -> DataFrame:
+def _blocks(df: DataFrame, config: GapConfig, carried: Sequence[str] = ()) -> DataFrame:
     """``keys, __phase, __block, __rows, __head, __tail, __size, __inner`` in one pass, with
     per-series facts ``__first, __last, __end`` and the next block's head ``__next``.
 
     ``__inner`` lists the gaps inside the block as (a, z) instants. Rows without a timestamp
-    form a block of null phase.
+    form a block of null phase. The smallest and largest value of the ``i``-th ``carried`` column
+    in the series come along as ``__lo{i}`` and ``__hi{i}``.
     """
     keys, step = list(config.keys), micros(config.interval)
     width = big(step * BLOCK_SLOTS)
-    rows = df.select(*cols(keys), _micros(df, config.timestamp).alias("__t")).select(
+    rows = df.select(
+        *cols(keys), _micros(df, config.timestamp).alias("__t"),
+        *[col(c).alias(f"__c{i}") for i, c in enumerate(carried)],
+    ).select(
         *cols(keys), "__t", F.pmod("__t", big(step)).alias("__phase"),
         floor_div(col("__t"), step * BLOCK_SLOTS).alias("__block"),
+        *[f"__c{i}" for i in range(len(carried))],
     )
+    bounds = [f"{n}{i}" for i in range(len(carried)) for n in ("__lo", "__hi")]
+    extremes = [
+        f(f"__c{i}").alias(f"{n}{i}")
+        for i in range(len(carried)) for n, f in (("__lo", F.min), ("__hi", F.max))
+    ]
     slot = F.call_function("div", col("__t") - col("__phase") - col("__block") * width, big(step))
     blocks = rows.groupBy(*cols(keys), "__phase", "__block").agg(
-        F.count("*").alias("__rows"), F.sort_array(F.collect_set(slot)).alias("__slots")
+        F.count("*").alias("__rows"), F.sort_array(F.collect_set(slot)).alias("__slots"), *extremes
     )
     origin = col("__block") * width + col("__phase")
 
@@ -124,7 +135,7 @@ def _blocks(df: DataFrame, config: GapConfig) -> DataFrame:
         instant(F.try_element_at("__slots", F.lit(1))).alias("__head"),
         instant(F.try_element_at("__slots", F.lit(-1))).alias("__tail"),
         n.cast("bigint").alias("__size"),
-        F.filter(pairs, lambda p: p["z"] - p["a"] > step).alias("__inner"),
+        F.filter(pairs, lambda p: p["z"] - p["a"] > step).alias("__inner"), *bounds,
     )
     # A series is cut into chunks of blocks. Neighbours inside a chunk come from a window over the
     # chunk; only the first and last block of each chunk, which also bound the series, meet in a
@@ -141,9 +152,12 @@ def _blocks(df: DataFrame, config: GapConfig) -> DataFrame:
     place = F.when(~edge, F.struct("__phase", "__chunk"))
     series = Window.partitionBy(*cols(keys), col("__place"))
     ahead = F.lead(F.struct("__phase", "__head")).over(series.orderBy("__phase", "__block"))
+    if bounds:  # of the chunk first, then of the series by way of the edges, then for all blocks
+        blocks = blocks.withColumns({b: _extreme(b).over(chunk) for b in bounds})
     blocks = blocks.withColumn("__place", place).select(
         "*", F.when(edge, F.min("__head").over(series)).alias("__edge_first"),
         F.when(edge, F.max("__tail").over(series)).alias("__edge_last"), ahead.alias("__ahead"),
+        *[F.when(edge, _extreme(b).over(series)).alias(f"__edge{b}") for b in bounds],
     )
     following = F.when(
         col("__closes"), F.when(F.col("__ahead.__phase") == col("__phase"), F.col("__ahead.__head"))
@@ -152,6 +166,7 @@ def _blocks(df: DataFrame, config: GapConfig) -> DataFrame:
         *cols(keys), "__phase", "__block", "__rows", "__head", "__tail", "__size", "__inner",
         F.max("__edge_first").over(chunk).alias("__first"),
         F.max("__edge_last").over(chunk).alias("__last"), following.alias("__next"),
+        *[F.max(f"__edge{b}").over(chunk).alias(b) for b in bounds],
     )
     slots = _limited(floor_div(col("__last") - col("__first"), step), config)
     on_grid = F.coalesce(col("__phase") == F.pmod("__first", big(step)), F.lit(False))
@@ -160,6 +175,10 @@ def _blocks(df: DataFrame, config: GapConfig) -> DataFrame:
     )
 
 
+def _extreme(bound: str) -> Column:
+    return F.min(bound) if bound.startswith("__lo") else F.max(bound)
+
+
 def _on_keys(keys: Sequence[str], left: str, right: str) -> Column:
     condition = F.lit(True)
     for k in keys:
@@ -203,14 +222,34 @@ def _limited(slots: Column, config: GapConfig) -> Column:
     ).otherwise(slots)
 
 
-def _spans(df: DataFrame, config: GapConfig, *, trailing: bool) -> DataFrame:
+def _refused(kind: str, n: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{kind}: "), n.cast("string"))).cast("boolean")
+
+
+def _spans(
+    df: DataFrame, config: GapConfig, *, trailing: bool, strict: bool = False,
+    carried: Sequence[str] = (),
+) -> DataFrame:
     """``keys, __prev, __next`` (micros) around each run of missing grid slots.
 
     ``trailing`` adds the run after the last on-grid instant, which is missing but belongs to
-    no interior span.
+    no interior span. ``strict`` raises for any block with rows that cannot be reconstructed.
+    ``carried`` columns come along with their one value in the series, or raise.
     """
     keys, step = list(config.keys), micros(config.interval)
-    blocks = _blocks(df, config).where("__on")
+    use = col("__on")
+    if strict:
+        use = (
+            F.when(col("__phase").isNull(), _refused("invalid", col("__rows")))
+            .when(col("__rows") > col("__size"), _refused("duplicate", col("__rows") - col("__size")))
+            .when(~col("__on"), _refused("off_grid", col("__rows"))).otherwise(True)
+        )
+    blocks = _blocks(df, config, carried).where(use)
+    kept = []
+    for i, name in enumerate(carried):
+        conflict = F.raise_error(F.lit(f"column {name} is not stable")).cast(dtype(df, name))
+        kept.append(F.when(col(f"__lo{i}") != col(f"__hi{i}"), conflict).otherwise(
+            col(f"__lo{i}")).alias(f"__s{i}"))
     between = F.struct(col("__tail").alias("a"), col("__next").alias("z"))
     none = F.array().cast("array<struct<a:bigint,z:bigint>>")
     runs = F.concat(
@@ -220,8 +259,9 @@ def _spans(df: DataFrame, config: GapConfig, *, trailing: bool) -> DataFrame:
         after = F.struct(col("__tail").alias("a"), (col("__end") + big(step)).alias("z"))
         open_end = col("__next").isNull() & (col("__tail") < col("__end"))
         runs = F.concat(runs, F.when(open_end, F.array(after)).otherwise(none))
-    return blocks.select(*cols(keys), F.explode(runs).alias("__s")).select(
-        *cols(keys), F.col("__s.a").alias("__prev"), F.col("__s.z").alias("__next")
+    shared = [f"__s{i}" for i in range(len(carried))]
+    return blocks.select(*cols(keys), *kept, F.explode(runs).alias("__s")).select(
+        *cols(keys), *shared, F.col("__s.a").alias("__prev"), F.col("__s.z").alias("__next")
     )
 
 
@@ -238,15 +278,23 @@ def gap_spans(df: DataFrame, config: GapConfig) -> DataFrame:
 
 def missing_timestamps(df: DataFrame, config: GapConfig) -> DataFrame:
     """Grid slots without an observation: ``keys, timestamp``."""
+    return _missing(df, config).drop("__t")
+
+
+def _missing(
+    df: DataFrame, config: GapConfig, *, strict: bool = False, carried: Sequence[str] = ()
+) -> DataFrame:
+    """Missing slots as ``keys, timestamp, __t`` (micros) and the ``carried`` values."""
     step, keys = micros(config.interval), list(config.keys)
-    spans = _spans(df, config, trailing=True).select(
-        *cols(keys), "__prev", big(1).alias("__one"),
+    shared = [f"__s{i}" for i in range(len(carried))]
+    spans = _spans(df, config, trailing=True, strict=strict, carried=carried).select(
+        *cols(keys), *shared, "__prev", big(1).alias("__one"),
         (floor_div(col("__next") - col("__prev"), step) - 1).alias("__n"),
     )
-    slots = explode_range(spans, "__one", "__n", "__i", keep=[*keys, "__prev"])
+    slots = explode_range(spans, "__one", "__n", "__i", keep=[*keys, *shared, "__prev"])
     at = col("__prev") + col("__i") * big(step)
-    return slots.select(
-        *cols(keys), _as_type(at, dtype(df, config.timestamp)).alias(config.timestamp)
+    return slots.select(*cols(keys), *shared, at.alias("__t")).select(
+        "*", _as_type(col("__t"), dtype(df, config.timestamp)).alias(config.timestamp)
     )
 
 
@@ -408,24 +456,19 @@ def generate_gap_rows(
 ) -> DataFrame:
     """Observed rows plus one generated row per missing slot; measurements stay null.
 
-    ``strict`` first runs the violation checks and raises. The result is not sorted; sinks
-    sort when order matters. ``basis`` is the same data without observed counts: the narrow
-    look-ups read it, so counting never widens them.
+    The rows are read once; one narrow pass over blocks gives the missing slots, the carried
+    values and, with ``strict``, the refusals, which raise when the result is worked out (disorder
+    along ``order`` is a subquery of it). The result is not sorted; sinks sort when order matters.
+    ``basis`` is the same data without observed counts: the narrow passes read it, so counting
+    never widens them.
     """
     basis = df if basis is None else basis
     require(df, config.timestamp, *config.measurements, *[f.column for f in config.fields])
     require(df, *[c for c in (config.index_column, config.flag_column) if c], *config.keys)
-    if strict:
-        require_reconstructable(basis, config, order)
     keys, step = list(config.keys), micros(config.interval)
     kind = dtype(df, config.timestamp)
-    missing = missing_timestamps(basis, config)
-    missing = missing.select("*", _micros(missing, config.timestamp).alias("__t"))
     carried = [f.column for f in config.fields if f.behavior is GapBehavior.CARRY_STABLE]
-    if carried:
-        stable = stable_values(basis, carried, keys)
-        renamed = stable.select(*cols(keys), *[col(c).alias(f"__s_{c}") for c in carried])
-        missing = _with_series(missing, renamed, keys)
+    missing = _missing(basis, config, strict=strict, carried=carried)
     rules = {f.column: f for f in config.fields}
     values = []
     for n in df.columns:
@@ -436,7 +479,7 @@ def generate_gap_rows(
         elif rule is None or rule.behavior is GapBehavior.NULL:
             value = F.lit(None)
         elif rule.behavior is GapBehavior.CARRY_STABLE:
-            value = col(f"__s_{n}")
+            value = col(f"__s{carried.index(n)}")
         elif rule.behavior is GapBehavior.FIXED_VALUE:
             value = F.lit(rule.fixed_value)
         else:
@@ -444,6 +487,9 @@ def generate_gap_rows(
         values.append(value.cast(target).alias(n))
     generated = missing.select(*values, F.lit(True).alias("__generated"))
     result = df.select("*", F.lit(False).alias("__generated")).unionByName(generated)
+    if strict and order in basis.columns and not config.allow_reorder:
+        late = chronological_breaks(basis, config.timestamp, keys, order)
+        result = refused_if_any(result, late, "disorder")
     result = watch(notes, result, "gap_rows_generated", F.count_if(col("__generated")))
     if config.flag_column is not None:
         flag = col("__generated").cast(dtype(df, config.flag_column)).alias(config.flag_column)

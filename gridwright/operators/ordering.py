@@ -192,3 +192,11 @@ def with_single_row(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.select(
         *cols(rows.columns), *[F.col(f"__facts.`{n}`").alias(n) for n in names]
     )
+
+
+def refused_if_any(rows: DataFrame, found: DataFrame, kind: str) -> DataFrame:
+    """``rows``, which raise when they are worked out if ``found`` has any row. The count is a
+    scalar subquery of the same query: no job runs before."""
+    n = found.agg(F.count(F.lit(1)).alias("n")).scalar()
+    message = F.concat(F.lit(f"{kind}: "), n.cast("string"))
+    return rows.where(F.when(n > 0, F.raise_error(message).cast("boolean")).otherwise(True))

@@ -77,9 +77,14 @@ def test_unstable_metadata_and_violations_block(spark):
     config = GapConfig("t", HOUR, fields=(GapField("s", GapBehavior.CARRY_STABLE),))
     with pytest.raises(Exception, match="not stable"):
         gaps.generate_gap_rows(df, config).collect()
-    for bad in ((at(8), at(8)), (at(8), None), (at(8), at(9, 30)), (at(9), at(8))):
-        with pytest.raises(DataViolation):
-            gaps.generate_gap_rows(stamps(spark, *bad), CONFIG)
+    cases = {"duplicate: 1": (at(8), at(8)), "invalid: 1": (at(8), None),
+             "off_grid: 1": (at(8), at(9, 30)), "disorder: 1": (at(9), at(8))}
+    for words, bad in cases.items():
+        found = gaps.generate_gap_rows(stamps(spark, *bad), CONFIG)  # nothing runs yet
+        with pytest.raises(Exception, match=words):
+            found.collect()
+        with pytest.raises(DataViolation, match=words):
+            gaps.require_reconstructable(stamps(spark, *bad), CONFIG)
     ok = gaps.generate_gap_rows(stamps(spark, at(9), at(7)), GapConfig("t", HOUR, allow_reorder=True))
     assert ok.count() == 3
 
