@@ -1,21 +1,27 @@
-"""Packing by lexical retrieval (BM25) over all shards of a table.
+"""Packing by lexical retrieval (BM25) over shards of related pieces.
 
 Each document becomes token ids plus one end id. Full windows of a long document are sequences of
-their own; what is left (less than a window) goes to a shard. Shards are a hash of the piece, so
-they are even whatever the ids are, and hold about ``shard_documents`` pieces. BM25 weights use
-document frequencies and the mean length of the whole table; terms in half of the pieces or more
-have no weight. In order, each unused piece becomes a seed: a search of all shards returns its best
-unused neighbours (its query are all its terms of positive weight) and they fill the seed's window;
-where no unused piece scores above 0, the next unused pieces do. The last one is cut at the window's
-end and its rest is a seed of the next batch of seeds, so windows are full. When about two shards
-of pieces are left, one index of them fills the last windows; the last, partial one is written as
-sequences whose lengths are powers of two, which need no padding.
-
-Every search scores every unused piece, so the work grows with the square of the table. The driver
-keeps the lengths and marks of the pieces and the hits of one batch of seeds.
+their own; what is left (less than a window) is a piece to be packed. BM25 weights use the document
+frequencies and the mean length of the whole table; terms in half of the pieces or more have no
+weight.
+
+* **Shards.** A bounded sample of ``LEADERS`` pieces stands for the table's topics. Every piece is
+  scored against all leaders and sorted by its best and second leader (leaders in a tour from each
+  to the most similar one left), then by the smallest hash of its informative terms, so that copies
+  are neighbours. Neighbours in this order, ``shard_documents`` at a time, form a shard: all shards
+  are of one size, whatever the topics' sizes are, and a piece's lexical neighbours lie in its own.
+* **Windows.** A shard has one inverted index. In order, each unused piece becomes a seed; its best
+  unused neighbours (its query are all its terms of positive weight) fill the window; where no
+  unused piece of the shard scores above 0, the next unused pieces do. The last one is cut at the
+  window's end and its rest is a seed later on, so windows are full. A shard's last, partial window
+  is written as sequences whose lengths are powers of two, which need no padding.
+
+Work and memory: one pass to cut, one to score against the leaders, one range exchange; a task
+holds one shard. The driver sees the frequencies of the vocabulary and the leaders.
 
 Defined results: a null or empty text is the end id alone; each id lies in one piece; rows with
-equal ids are packed as separate documents; an empty table gives no pieces.
+equal ids (null ones too) are packed as separate documents; an empty table gives no pieces; other columns play no
+part.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.llm import rolling as R
 from gridwright.llm.common import arrow_map, documents, id_and_text, stored
-from gridwright.session import shared_folder
 
 WINDOW, END = 2048, 1
-#: Hits of a seed that one search returns; a used-up list is searched for again.
-HITS = 64
+#: Pieces that stand for the topics of a table.
+LEADERS = 512
+#: Terms in more than this share of the pieces do not tell topics apart.
+COMMON = 0.125
 K1, B = 1.2, 0.75
 #: Code points up to which both tokenizers split texts by the same Unicode tables.
 PLAIN = 0x24F
@@ -83,18 +91,18 @@ def crc(ids: np.ndarray) -> int:
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut(docs: DataFrame, files: tuple[str, str] | None, shards: int) -> DataFrame:
-    """Full windows (no ids kept) and rests (with ids) of all documents, each with its shard."""
+def cut(docs: DataFrame, files: tuple[str, str] | None) -> DataFrame:
+    """Full windows (no ids kept) and rests (with ids) of all documents."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         exact, fast = encoders(*(files or default_files()))
         doc = batch.column(0).to_pylist()
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(6)]
         size = 0
 
         def out() -> pa.RecordBatch:
-            types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "ids"]
+            types = [pa.int64()] * 5 + [pa.binary()]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -106,19 +114,18 @@ def cut(docs: DataFrame, files: tuple[str, str] | None, shards: int) -> DataFram
                 code = crc(piece)
                 full = len(piece) == WINDOW
                 narrow = piece.astype("<u2") if piece.max() < 65536 else piece.astype("<u4")
-                spread = zlib.crc32(b"%r:%d" % (doc[row], start), code)
                 for c, v in zip(columns, (
-                    doc[row], start, len(piece), code, total, spread % shards,
+                    doc[row], start, len(piece), code, total,
                     None if full else narrow.tobytes()), strict=True):
                     c.append(v)
                 size += 0 if full else len(piece)
             if size > 1 << 20 or len(columns[0]) > 50_000:
                 yield out()
-                columns, size = [[] for _ in range(7)], 0
+                columns, size = [[] for _ in range(6)], 0
         if columns[0]:
             yield out()
 
-    return arrow_map(docs.select("doc_id", "text"), work, f"{PIECE}, shard int, ids binary")
+    return arrow_map(docs.select("doc_id", "text"), work, f"{PIECE}, ids binary")
 
 
 class Stats:
@@ -200,23 +207,14 @@ def best_unused(score: np.ndarray, used: np.ndarray, some: int = 32) -> list[int
 Segment = tuple[int, int, int]
 
 
-def fill(
-    lengths: list[int], index: Index, begin: dict[int, int] | None = None,
-    opened: Sequence[tuple[int, list[Segment]]] = (),
-) -> Iterator[list[Segment]]:
-    """Sequences of (piece, start in it, length): full windows, then powers of two. ``begin``:
-    where the unused part of a piece begins; ``opened``: (seed, members) of windows with room."""
+def fill(lengths: list[int], index: Index) -> Iterator[list[Segment]]:
+    """Sequences of (piece, start in it, length): full windows, then powers of two."""
     n, used, next_unused = len(lengths), np.zeros(len(lengths), bool), 0
-    begin, windows = begin or {}, deque(opened)
     rests: deque[Segment] = deque()  # (piece, start, end)
-    for seed, members in opened:
-        used[seed] |= seed not in begin
-        for piece, _, _ in members:
-            used[piece] |= piece not in begin
 
     def unused(piece: int) -> Segment:
         used[piece] = True
-        return piece, begin.get(piece, 0), lengths[piece]
+        return piece, 0, lengths[piece]
 
     def in_order() -> int | None:
         nonlocal next_unused
@@ -225,18 +223,14 @@ def fill(
         return next_unused if next_unused < n else None
 
     while True:
-        rest: Segment | None = None
-        if windows:
-            seed, window = windows.popleft()
+        rest: Segment | None
+        if rests:
+            rest = rests.popleft()
+        elif in_order() is None:
+            return
         else:
-            if rests:
-                rest = rests.popleft()
-            elif in_order() is None:
-                return
-            else:
-                rest = unused(next_unused)
-            seed, window = rest[0], []
-        room = WINDOW - sum(take for _, _, take in window)
+            rest = unused(next_unused)
+        seed, window, room = rest[0], [], WINDOW
         score, ranked = None, []
         while room:
             if rest is None:
@@ -244,8 +238,6 @@ def fill(
                     score = index.scores(seed)
                 ranked = ranked or best_unused(score, used)
                 following = ranked.pop() if ranked else in_order()
-                if following is None and not rests and windows:
-                    rests.extend((p, a, a + t) for p, a, t in windows.pop()[1])
                 if following is not None:
                     rest = unused(following)
                 elif rests:
@@ -277,251 +269,148 @@ def fill(
                 yield sequence
 
 
-def numbered(docs: DataFrame, files: tuple[str, str] | None, shards: int) -> DataFrame:
-    """All pieces with their place in their shard and, for rests, ids, distinct ids and counts."""
+def piece_ids(data: bytes, length: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * length else "<u4")
 
-    def order(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"),
-                               ("ids_crc32", "ascending")])
-        place, token, count, seen = [], [], [], [0, 0]
-        for data, length in zip(table["ids"].to_pylist(), table["length"].to_pylist(), strict=True):
-            place.append(seen[data is None])
-            seen[data is None] += 1
-            term, tf = (None, None) if data is None else terms(piece_ids(data, length))
-            token.append(None if term is None else term.tobytes())
-            count.append(None if tf is None else tf.tobytes())
-        for name, values, kind in (("place", place, pa.int64()), ("terms", token, pa.binary()),
-                                   ("tf", count, pa.binary())):
-            table = table.append_column(name, pa.array(values, kind))
-        return table
 
-    return cut(docs, files, shards).groupBy("shard").applyInArrow(
-        order, f"{PIECE}, shard int, ids binary, place long, terms binary, tf binary")
+def piece_terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, token id) of all distinct tokens of the pieces of a batch."""
+    ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+    lengths = batch.column(batch.schema.get_field_index("length")).to_pylist()
+    pieces = [piece_ids(x, n) for x, n in zip(ids, lengths, strict=True)]
+    piece = np.repeat(np.arange(len(pieces)), lengths)
+    pairs = np.unique(piece << 32 | np.concatenate(pieces))
+    return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def piece_ids(data: bytes, length: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * length else "<u4")
+def statistics(rests: DataFrame) -> Stats:
+    """Counts over all pieces; the result has one number for each id of the vocabulary."""
+
+    def frequencies(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        df = np.bincount(piece_terms(batch)[1])
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], ["term", "df"])
+
+    found = arrow_map(rests.select("ids", "length"), frequencies, "term long, df long").groupBy(
+        "term").agg(F.sum("df").alias("df")).toArrow()
+    n, mean = rests.agg(F.count(F.lit(1)), F.avg("length")).first()
+    term = found["term"].to_numpy()
+    df = np.zeros(term.max(initial=0) + 1, np.int64)
+    df[term] = found["df"].to_numpy()
+    return Stats(n, mean or 1.0, df)
 
 
-def u4(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
-
-
-class Pieces:
-    """The stored rests of all shards, numbered 0 to n - 1 in order of shard and place."""
-
-    def __init__(self, table: DataFrame):
-        self.rests = table.where("ids is not null").select(
-            "shard", "place", F.col("length").cast("int").alias("length"), "terms", "tf")
-        own = self.rests.select("shard", "place", "length").toArrow()
-        shard, place, length = (c.to_numpy() for c in own.columns)
-        counts = np.bincount(shard)
-        self.base = base = np.cumsum(counts) - counts
-        self.lengths = np.zeros(len(shard), np.int64)
-        self.lengths[base[shard] + place] = length
-
-        def frequencies(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            df = np.bincount(np.concatenate(u4(batch.column(0))))
-            term = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], ["term", "df"])
-
-        found = arrow_map(self.rests.select("terms"), frequencies, "term long, df long").groupBy(
-            "term").agg(F.sum("df").alias("df")).toArrow()
-        term = found["term"].to_numpy()
-        df = np.zeros(term.max(initial=0) + 1, np.int64)
-        df[term] = found["df"].to_numpy()
-        self.stats = Stats(len(shard), self.lengths.mean() if len(shard) else 1.0, df)
-
-    def terms_of(self, numbers: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Terms and counts of some pieces."""
-        wanted, base = np.zeros(len(self.lengths), bool), self.base
-        wanted[numbers] = True
-        bits = np.packbits(wanted)
-
-        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            number = base[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
-            take = pa.array(np.unpackbits(bits)[number].astype(bool))
+class Leaders:
+    """Inverted index of the informative terms of sample pieces."""
+
+    def __init__(self, pieces: list[np.ndarray], stats: Stats):
+        self.informative = (stats.df <= COMMON * stats.n) & (stats.idf > 0)
+        if stats.n < 1 / COMMON:
+            self.informative = stats.idf > 0
+        pairs = [terms(p) for p in pieces]
+        leader = np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])
+        token, tf = (np.concatenate(x).astype(np.int64) for x in zip(*pairs, strict=True))
+        keep = self.informative[token]
+        leader, token, tf = leader[keep], token[keep], tf[keep]
+        order = np.argsort(token, kind="stable")
+        self.token, self.leader = token[order], leader[order]
+        length = np.array([len(p) for p in pieces])
+        self.weight = stats.weights(self.token, tf[order], length[self.leader])
+        self.count = len(pieces)
+        # Leaders of one topic follow each other: from each on to the most similar one left.
+        score = self.scores(leader, token, self.count)
+        score += score.T
+        self.rank, now = np.full(self.count + 1, self.count), 0
+        for place in range(self.count):
+            self.rank[now] = place
+            score[:, now] = -1
+            now = int(score[now].argmax())
+
+    def scores(self, piece: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+        """BM25 of ``n`` pieces, given as (piece, informative token), with all leaders."""
+        first = np.searchsorted(self.token, token)
+        count = np.searchsorted(self.token, token, "right") - first
+        at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        return np.bincount(
+            np.repeat(piece, count) * self.count + self.leader[at], self.weight[at], n * self.count
+        ).reshape(n, self.count)
+
+    def places(self, piece: np.ndarray, token: np.ndarray, n: int) -> list[np.ndarray]:
+        """Ranks of the best and the second leader and the smallest term hash of ``n`` pieces."""
+        keep = self.informative[token]
+        piece, token = piece[keep], token[keep]
+        mark = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(mark, piece, (R.mix(token.astype(np.uint64)) >> np.uint64(1)).astype(np.int64))
+        score = self.scores(piece, token, n)
+        rows, found = np.arange(n), []
+        for _ in range(2):
+            best = score.argmax(axis=1)
+            found.append(self.rank[np.where(score[rows, best] > 0, best, self.count)])
+            score[rows, best] = 0
+        return [*found, mark]
+
+
+def related(rests: DataFrame, stats: Stats) -> DataFrame:
+    """The pieces with ``first``, ``second`` and ``mark``, the place of their topic."""
+    spread = F.xxhash64("doc_id", "start", "ids_crc32")
+    sample = rests.select("ids", "length", "doc_id", "start", "ids_crc32").orderBy(
+        spread, "doc_id", "start", "ids_crc32").limit(LEADERS).collect()
+    leaders = Leaders([piece_ids(r.ids, r.length) for r in sample], stats)
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a in range(0, batch.num_rows, 512):
+            part = batch.slice(a, 512)
+            found = leaders.places(*piece_terms(part), part.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number), batch.column(3), batch.column(4)], ["number", "terms", "tf"]
-            ).filter(take)
-
-        own = arrow_map(self.rests, work, "number long, terms binary, tf binary").toArrow()
-        return dict(zip(own["number"].to_pylist(), zip(u4(own["terms"]), u4(own["tf"]), strict=True),
-                        strict=True))
-
-    def nearest(
-        self, queries: list[np.ndarray], used: np.ndarray, some: int = HITS
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the numbers and scores of its best unused pieces over the whole table,
-        best first; the score is 0 where there are no more. Every piece is scored."""
-        bits, base, stats = np.packbits(used), self.base, self.stats
-        # Frequent terms are columns of a matrix, the others are joined posting by posting.
-        dense = np.flatnonzero((stats.df > stats.n / 32) & (stats.idf > 0))
-        column = np.full(len(stats.df), -1)
-        column[dense] = np.arange(len(dense))
-        width = [len(q) for q in queries]
-        of, token = np.repeat(np.arange(len(queries)), width), np.concatenate(queries).astype(int)
-        rare = (column[token] < 0) & (stats.idf[token] > 0)
-        order = np.argsort(token[rare], kind="stable")
-        rare_of, rare_token = of[rare][order], token[rare][order]
-        many = column[token] >= 0
-        ones = (of[many].astype("i4"), column[token[many]].astype("i4"))
-        total, width = len(queries), len(dense)
-
-        def block(batch: pa.RecordBatch, q: np.ndarray, score: np.ndarray, best: np.ndarray):
-            number = base[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
-            rows = np.flatnonzero(np.unpackbits(bits)[number] == 0)
-            if not len(rows):
-                return
-            batch, number, n = batch.take(pa.array(rows)), number[rows], len(rows)
-            token, tf = u4(batch.column(3)), u4(batch.column(4))
-            doc = np.repeat(np.arange(n), [len(t) for t in token])
-            token = np.concatenate(token).astype(np.int64)
-            weight = stats.weights(token, np.concatenate(tf), batch.column(2).to_numpy()[doc])
-            place = column[token]
-            table = np.zeros((width, n), np.float32)
-            table[place[place >= 0], doc[place >= 0]] = weight[place >= 0]
-            few = (place < 0) & (weight > 0)
-            first = np.searchsorted(rare_token, token[few])
-            count = np.searchsorted(rare_token, token[few], "right") - first
-            at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
-            row = rare_of[at]
-            cell, value = np.repeat(doc[few], count), np.repeat(weight[few], count)
-            order = np.argsort(row, kind="stable")
-            row, cell, value = row[order], cell[order], value[order]
-            for a in range(0, total, 2048):
-                b = min(a + 2048, total)
-                found = q[a:b] @ table
-                x, y = np.searchsorted(row, (a, b))
-                found += np.bincount(
-                    (row[x:y] - a) * n + cell[x:y], value[x:y], (b - a) * n
-                ).reshape(b - a, n).astype(np.float32)
-                if n > some:
-                    top = np.argpartition(found, n - some, axis=1)[:, n - some :]
-                    found, names = np.take_along_axis(found, top, 1), number[top]
-                else:
-                    names = np.broadcast_to(number, found.shape)
-                merge(score[a:b], best[a:b], found, names)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score, best = np.zeros((total, some), np.float32), np.zeros((total, some), np.int64)
-            q = np.zeros((total, width), np.float32)
-            q[ones] = 1
-            for batch in batches:
-                for a in range(0, batch.num_rows, 2048):
-                    block(batch.slice(a, 2048), q, score, best)
-            for a in range(0, total, 256):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a], pa.int64()), pa.array([best[a : a + 256].tobytes()]),
-                     pa.array([score[a : a + 256].tobytes()])], ["first", "best", "score"])
-
-        def join(table: pa.Table) -> pa.Table:
-            score = best = None
-            for b, s in zip(table["best"].to_pylist(), table["score"].to_pylist(), strict=True):
-                b, s = np.frombuffer(b, np.int64), np.frombuffer(s, np.float32)
-                b, s = b.reshape(-1, some), s.reshape(-1, some)
-                if score is None:
-                    score, best = s.copy(), b.copy()
-                else:
-                    merge(score, best, s, b)
-            return pa.table({"first": table["first"][:1], "best": pa.array([best.tobytes()]),
-                             "score": pa.array([score.tobytes()])})
-
-        schema = "first long, best binary, score binary"
-        out = self.rests.mapInArrow(search, schema).groupBy("first").applyInArrow(
-            join, schema).toArrow().sort_by("first")
-        best = np.frombuffer(b"".join(out["best"].to_pylist()), np.int64).reshape(-1, some)
-        score = np.frombuffer(b"".join(out["score"].to_pylist()), np.float32).reshape(-1, some)
-        order = np.lexsort((best, -score), axis=1)
-        return np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
-
-
-def merge(score: np.ndarray, best: np.ndarray, more: np.ndarray, names: np.ndarray) -> None:
-    """Keep the best of two lists a row, in place."""
-    some = score.shape[1]
-    both, ids = np.concatenate((score, more), 1), np.concatenate((best, names), 1)
-    top = np.argpartition(both, both.shape[1] - some, axis=1)[:, -some:]
-    score[:], best[:] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
-
-
-def sequences(pieces: Pieces, shard_documents: int) -> Iterator[list[Segment]]:
-    """Windows over all shards. Seeds go in batches: the hits of a batch come from one search of
-    the whole table, then seed after seed takes its best unused ones. A list that earlier seeds of
-    the batch used up is searched for again in the next batch."""
-    lengths, n = pieces.lengths, len(pieces.lengths)
-    used, begin = np.zeros(n, bool), {}
-    opened: list[tuple[int, list[Segment]]] = []
-    rests: deque[int] = deque()
-    left, next_unused = n, 0
-    while left > 2 * shard_documents:
-        size = min(max(shard_documents, left // 32), 16_384)
-        batch = opened[:size]
-        opened = opened[size:]
-        chosen, ahead = set(), next_unused
-        while len(batch) < size:
-            if rests:
-                seed = rests.popleft()
-            elif ahead < n:
-                seed, ahead = ahead, ahead + 1
-            else:
-                break
-            if not used[seed] and seed not in chosen:
-                chosen.add(seed)
-                batch.append((seed, []))
-        own = pieces.terms_of(np.array([seed for seed, _ in batch]))
-        best, score = pieces.nearest([own[seed][0] for seed, _ in batch], used)
-        for (seed, window), names, points in zip(batch, best.tolist(), score.tolist(), strict=True):
-            if not window:
-                if used[seed]:
-                    continue  # an earlier seed of the batch took it
-                start = begin.get(seed, 0)
-                used[seed], left = True, left - 1
-                window.append((seed, start, int(lengths[seed]) - start))
-            room = WINDOW - sum(take for _, _, take in window)
-            hits = iter([i for i, s in zip(names, points, strict=True) if s > 0])
-            all_hits = points[-1] <= 0
-            while room:
-                following = next((i for i in hits if not used[i]), None)
-                if following is None:
-                    if not all_hits:
-                        break
-                    while next_unused < n and used[next_unused]:
-                        next_unused += 1
-                    # Unused rests may lie before the next piece in order.
-                    while rests and used[rests[0]]:
-                        rests.popleft()
-                    if next_unused < n:
-                        following = next_unused
-                    elif rests:
-                        following = rests[0]
-                    else:
-                        break
-                start = begin.get(following, 0)
-                take = min(room, int(lengths[following]) - start)
-                window.append((following, start, take))
-                used[following], left, room = True, left - 1, room - take
-                if start + take < lengths[following]:
-                    # Its rest is unused again, and a seed of the next batch.
-                    begin[following], used[following], left = start + take, False, left + 1
-                    rests.append(following)
-            if room:
-                opened.append((seed, window))
-            else:
-                yield window
-    pool = np.flatnonzero(~used)
-    names = np.unique(np.concatenate((pool, [p for _, w in opened for p, _, _ in w]))).astype(int)
-    if not len(names):
-        return
-    own = pieces.terms_of(names)
-    number = {int(x): i for i, x in enumerate(names)}
-    index = Index.of([own[int(x)] for x in names], lengths[names], pieces.stats)
-    starts = {number[int(p)]: begin.get(int(p), 0) for p in pool}
-    local = [(number[s], [(number[p], a, t) for p, a, t in w]) for s, w in opened]
-    for members in fill(lengths[names].tolist(), index, starts, local):
-        yield [(int(names[p]), a, t) for p, a, t in members]
-
-
-PLACES = "shard int, place long, at long, take long, sequence_id long, offset long"
+                [*part.columns, *map(pa.array, found)],
+                [*part.schema.names, "first", "second", "mark"])
+
+    return arrow_map(rests, work, f"{PIECE}, ids binary, first long, second long, mark long")
+
+
+PACKED = f"{PIECE}, sequence_id long, offset long, ids binary"
+
+
+def windows(pieces: DataFrame, stats: Stats, shard_documents: int) -> DataFrame:
+    """Packed pieces of sorted rests, shard by shard."""
+
+    def packed_shard(rows: list[dict], shard: int) -> pa.RecordBatch:
+        own = [piece_ids(r["ids"], r["length"]) for r in rows]
+        lengths = [len(x) for x in own]
+        index = Index.of([terms(x) for x in own], np.array(lengths), stats)
+        out = [[] for _ in range(8)]
+        for number, members in enumerate(fill(lengths, index)):
+            offset = 0
+            for piece, at, take in members:
+                row, ids = rows[piece], own[piece][at : at + take]
+                for c, v in zip(out, (
+                        row["doc_id"], row["start"] + at, take, crc(ids), row["doc_tokens"],
+                        2 * (shard + number), offset, ids.tobytes()), strict=True):
+                    c.append(v)
+                offset += take
+        kinds = [pa.int64()] * 7 + [pa.binary()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
+            [c.split()[0] for c in PACKED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, shard = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                # A shard has at most 11 sequences more than pieces, and positions are unique.
+                shard = row["at"] * 16 if shard is None else shard
+                waiting.append(row)
+                if len(waiting) == shard_documents:
+                    yield packed_shard(waiting, shard)
+                    waiting, shard = [], None
+        if waiting:
+            yield packed_shard(waiting, shard)
+
+    order = ("first", "second", "mark", "ids_crc32", "doc_id", "start")
+    ordered = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select(
+        "doc_id", "start", "length", "doc_tokens", "ids",
+        F.monotonically_increasing_id().alias("at")).mapInArrow(run, PACKED)
 
 
 def packed(
@@ -529,55 +418,17 @@ def packed(
 ) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (the piece's
     ids; null for a full window of one document, which ``start`` finds)."""
-    spark = docs.sparkSession
-    shards = max(1, docs.count() // shard_documents)
-    table = stored(numbered(docs, files, shards), "packing-pieces")
-    pieces = Pieces(table)
-    path, rows, sequence = shared_folder(spark, "packing-places"), [], shards << 32
-
-    def write() -> None:
-        names = [c.split()[0] for c in PLACES.split(", ")]
-        values = np.array(rows, np.int64).reshape(-1, 5).T
-        shard = np.searchsorted(pieces.base, values[0], "right") - 1
-        columns = [shard.astype(np.int32), values[0] - pieces.base[shard], *values[1:]]
-        spark.createDataFrame(
-            pa.table({n: pa.array(c) for n, c in zip(names, columns, strict=True)}), PLACES
-        ).write.mode("append").parquet(path)
-        rows.clear()
-
-    for members in sequences(pieces, shard_documents):
-        offset = 0
-        for piece, at, take in members:
-            rows.append((piece, at, take, sequence, offset))
-            offset += take
-        sequence += 1
-        if len(rows) > 500_000:
-            write()
-    if rows:
-        write()
-    places = spark.read.schema(PLACES).parquet(path) if len(pieces.lengths) else (
-        spark.createDataFrame([], PLACES))
-
-    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        ids = [piece_ids(x, k)[a : a + t] for x, k, a, t in zip(
-            column["ids"], column["length"], column["at"], column["take"], strict=True)]
-        start = [a + b for a, b in zip(column["start"], column["at"], strict=True)]
-        out = (column["doc_id"], start, column["take"], [crc(x) for x in ids],
-               column["doc_tokens"], column["sequence_id"], column["offset"])
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in out), pa.array([x.tobytes() for x in ids])],
-            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-
-    schema = f"{PIECE}, sequence_id long, offset long, ids binary"
-    rests = arrow_map(
-        table.where("ids is not null").drop("ids_crc32", "terms", "tf").join(
-            places, ["shard", "place"]), slices, schema)
+    table = stored(cut(docs, files), "packing-pieces")
+    rests = table.where("ids is not null")
     whole = table.where("ids is null").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.shiftleft(F.col("shard").cast("long"), 32) + F.col("place")).alias("sequence_id"),
+        (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), F.lit(None).cast("binary").alias("ids"))
-    return rests.unionByName(whole)
+    stats = statistics(rests)
+    if not stats.n:
+        return whole
+    pieces = stored(related(rests, stats), "packing-related")
+    return windows(pieces, stats, shard_documents).unionByName(whole)
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import json
+import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -330,33 +331,61 @@ def test_windows_of_short_pieces_take_all_matches_first():
     assert (packing.Index(pieces).scores(0)[1:101] > 0).all()
 
 
-def test_neighbours_come_from_all_shards(frame, corpus):
-    """Hits against brute force on several shards; windows hold one topic each."""
+def bm25(pieces):
+    """Scores of all pieces for all pieces by the formula, piece by piece; terms in half of the
+    pieces or more have no weight."""
+    counts = [Counter(p.tolist()) for p in pieces]
+    df, mean = Counter(t for c in counts for t in c), sum(map(len, pieces)) / len(pieces)
+    idf = {t: max(math.log((len(pieces) - n + 0.5) / (n + 0.5)), 0) for t, n in df.items()}
+    postings = defaultdict(list)
+    for i, c in enumerate(counts):
+        norm = 1.2 * (1 - 0.75 + 0.75 * len(pieces[i]) / mean)
+        for t, tf in c.items():
+            if idf[t]:
+                postings[t].append((i, idf[t] * tf * 2.2 / (tf + norm)))
+    for i, c in enumerate(counts):
+        score = np.zeros(len(pieces))
+        for t in c:
+            for j, w in postings[t]:
+                score[j] += w
+        score[i] = -1
+        yield score
+
+
+def test_neighbours_lie_in_one_shard(frame):
+    """Recall of the five nearest pieces against BM25 over all shards; windows hold one topic each."""
     rng, docs = np.random.default_rng(4), []
     _, fast = packing.encoders(*packing.default_files())
-    words = [fast.decode([i]).strip() for i in range(5000, 15_000)]
+    words = [fast.decode([i]).strip() for i in range(3000, 25_000)]
     words = [w for w in words if w.isascii() and w.isalpha() and fast.encode_ordinary(f" {w}")[1:] == []]
-    for i in range(400):
-        topic = [words[40 * (i % 25) + x] for x in rng.integers(0, 40, 60)]
-        docs.append((i, " ".join([*topic, *(f"w{x}" for x in rng.integers(0, 300, 20))])))
-    table = packing.stored(
-        packing.numbered(frame(docs).transform(id_and_text), None, 8), "pieces")
-    assert table.where("ids is not null").select("shard").distinct().count() == 8
-    pieces = packing.Pieces(table)
-    own = pieces.terms_of(np.arange(400))
-    index = packing.Index.of([own[i] for i in range(400)], pieces.lengths, pieces.stats)
-    used = np.arange(400) % 9 == 0
-    best, score = pieces.nearest([own[i][0] for i in range(400)], used, 10)
-    for i in range(400):
-        want = np.where(used, 0, index.scores(i))
-        assert np.allclose(score[i], np.sort(want)[::-1][:10], rtol=1e-4)
-        assert len({*best[i].tolist()} & {*np.argsort(-want)[:10].tolist()}) >= 9
-    rows = packing.packed(frame(docs).transform(id_and_text), shard_documents=20).collect()
-    topics = defaultdict(list)
-    for r in rows:
-        topics[r.sequence_id].append(r.doc_id % 25)
-    same = sum(len(x) > 1 and max(map(x.count, x)) for x in topics.values())
-    assert same >= 0.6 * sum(len(x) for x in topics.values() if len(x) > 1)
+    topics, common = 120, words[-300:]
+    for i in range(topics * 20):
+        topic = [words[40 * (i % topics) + x] for x in rng.integers(0, 40, 50)]
+        docs.append((i, " ".join([*topic, *(common[x] for x in rng.integers(0, 300, 40))])))
+    assert 40 * topics < len(words) - 300
+    table = packing.stored(packing.cut(frame(docs).transform(id_and_text), None), "pieces")
+    stats = packing.statistics(table)
+    order = ["first", "second", "mark", "ids_crc32", "doc_id", "start"]
+    rows = packing.related(table, stats).orderBy(*order).collect()
+    pieces, found, size = [packing.piece_ids(r.ids, r.length) for r in rows], 0, 400
+    for i, score in enumerate(bm25(pieces)):
+        found += (np.argsort(-score)[:5] // size == i // size).sum()
+    assert found / (5 * len(pieces)) >= 0.9
+    out = packing.packed(frame(docs).transform(id_and_text), shard_documents=size).collect()
+    windows = defaultdict(list)
+    for r in out:
+        windows[r.sequence_id].append(r.doc_id % topics)
+    same = sum(max(map(x.count, x)) for x in windows.values() if len(x) > 1)
+    assert same >= 0.6 * sum(len(x) for x in windows.values() if len(x) > 1)
+
+
+def test_packing_of_copies_and_extra_columns(frame):
+    docs = [(i, "the same text again and again") for i in range(300)] + [(None, "x"), (None, None)]
+    for table in (frame(docs), frame(docs, extra=True).withColumns({"first": F.lit(1), "ids": F.lit(2)})):
+        rows = packing.packed(table.transform(id_and_text), shard_documents=50).collect()
+        assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+        assert {r.doc_id for r in rows} == {*range(300), None}
+    assert packing.packed(frame([]).transform(id_and_text)).collect() == []
 
 
 def test_url_rules(spark):
