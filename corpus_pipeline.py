@@ -2,9 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that ``run`` writes as Parquet to the
 shared folder and reads again for the next one. All but the last return the columns of documents,
-which travel in one struct so that their names cannot clash; ``n_chars`` follows the text. A null
-text is an empty one; rows with a null id are judged and packed but not compared with others. ORACLE_SQL is None: SQL cannot express the line model, sketching and
-packing, so tests compare the stages with brute force.
+of which all but the text travel in one struct, so that their names cannot clash and no text is
+moved twice; ``n_chars`` follows the text. A null text is an empty one; rows with a null id are
+judged and packed but not compared with others; rows of one id go together as near copies.
+ORACLE_SQL is None: SQL cannot express the line model, sketching and packing, so tests compare the
+stages with brute force.
 """
 
 from __future__ import annotations
@@ -20,16 +22,18 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and all columns as one struct."""
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    """doc_id, text and the other columns as one struct, with a mark of null texts."""
+    others = [
+        F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    text = F.col("text").cast("string")
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), whole.alias("_row"))
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"),
+        F.struct(text.isNull().alias("no_text"), *others).alias("_row"))
 
 
 def _unpacked(docs: DataFrame, found: DataFrame, text: Column | None = None) -> DataFrame:
     """The columns of ``docs`` again, with another text if one is given."""
-    new = {}
+    new = {"text": F.when(~F.col("_row.no_text"), F.col("text"))}
     if text is not None:
         new = {"text": text, "n_chars": F.char_length(text).cast("long")}
     return found.select(*[
@@ -50,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _packed(docs)
     found = near_copies.linked(rows.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
     gone = found.where("not kept").select("doc_id").distinct()
-    return _unpacked(docs, rows.select("doc_id", "_row").join(gone, "doc_id", "left_anti"))
+    return _unpacked(docs, rows.join(gone, "doc_id", "left_anti"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
