@@ -90,10 +90,16 @@ def test_queries_match_their_sql(spark, name):
 def test_queries_keep_one_row_per_input_row(spark, name):
     where = "/root/testdata/sf0.001"
     out = QUERIES[name](spark, where)
-    table = {"op5": "pages", "op8": "conversations"}.get(name.split("_")[0], "documents")
+    table = {"op5": "pages", "op8": "conversations", "op11": "conversations", "op12": "embeddings"}.get(
+        name.split("_")[0], "documents")
     rows = spark.read.parquet(f"{where}/{table}.parquet")
-    rows = rows.where("role = 'user'") if table == "conversations" else rows
     if name.startswith("op7"):
         assert out.select("doc_id").distinct().count() == rows.count()
+    elif name.startswith("op8"):
+        assert out.count() == rows.where("role = 'user'").count()
+    elif name.startswith("op11"):
+        assert out.count() == rows.select("conv_id").distinct().count()
+    elif name.startswith("op12"):
+        assert out.count() == 5 * rows.where("vec_id % 50 = 0").count()
     else:
         assert out.count() == rows.count()
