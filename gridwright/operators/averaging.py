@@ -290,7 +290,7 @@ def _accept(frame: DataFrame, config: AveragingConfig, stage: Stage) -> DataFram
 def _same_keys(keys: Sequence[str], left: str, right: str, slot: bool = True) -> list[Column]:
     pairs = [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys]
     if slot:
-        pairs.append(F.col(f"{left}._slot") == F.col(f"{right}._slot"))
+        pairs.append(F.col(f"{left}._slot").eqNullSafe(F.col(f"{right}._slot")))
     return pairs
 
 
@@ -428,6 +428,8 @@ def merged(i: int, rule: FieldRule) -> Column:
         value = F.sum(f"_total{i}").cast("double") / n
     elif which is Statistic.STANDARD_DEVIATION:
         value = F.sqrt(merged_spread(i) / n)
+    elif which is Statistic.MEDIAN:
+        value = middle(F.sort_array(F.flatten(F.collect_list(f"_values{i}"))))
     else:
         energy = F.sum(f"_energy{i}")
         energy = F.when(
@@ -465,9 +467,11 @@ def _first_stage(df: DataFrame, config: AveragingConfig, strict: bool) -> StageR
             weight = col(f"_w{i}")
         values.append(value.alias(f"_x{i}"))
         inputs.append((i, f, col(f"_x{i}"), weight))
-    selected = [i for i, f, _, _ in inputs if f.statistic is Statistic.MEDIAN]
     at = F.unix_micros(ts)
     points = grid_points(stage.period, config.zone, step)
+    # Without repeats a group has no more values than its grid; larger ones are ranked by bounds.
+    medians = [i for i, f, _, _ in inputs if f.statistic is Statistic.MEDIAN]
+    selected = [] if strict and points <= MEDIAN_POINTS else medians
     part, masks = grid_masks(at, step, points)
     names = [f"_mask{j}" for j in range(len(masks))]
     split = strict and points > MASK_POINTS * MASKS
@@ -484,19 +488,27 @@ def _first_stage(df: DataFrame, config: AveragingConfig, strict: bool) -> StageR
     if split:
         # A long period is folded part by part of its grid, then its parts are merged.
         partial = rows.groupBy(*cols(keys), "_slot", "_part").agg(
-            *[p for row in inputs for p in parts(*row)], *phases, *extra)
+            *[p for row in inputs for p in parts(*row)], *phases, *extra,
+            *([] if selected else [
+                F.sort_array(F.collect_list(col(f"_x{i}").cast("double"))).alias(f"_values{i}")
+                for i in medians]))
         whole = [
             c for i, f, _, _ in inputs
             for c in (F.sum(f"_n{i}").alias(f"_n{i}"), *([] if i in selected else [merged(i, f)]))
         ]
+        if selected:  # a table of its own: a summary of values cannot be made from parts
+            bounds = rows.groupBy(*cols(keys), "_slot").agg(*[median_bounds(i) for i in selected])
         grouped = partial.groupBy(*cols(keys), "_slot").agg(
             *whole, F.min("_phase_lo").alias("_phase_lo"), F.max("_phase_hi").alias("_phase_hi"),
             F.sum("_surplus").alias("_surplus"))
+        if selected:
+            grouped = grouped.alias("g").join(bounds.alias("m"), _same_keys(keys, "g", "m"), "left").select(
+                "g.*", *[f"m._m{i}" for i in selected])
     else:
         whole = [
             c for i, f, x, w in inputs
-            for c in (F.count(x).alias(f"_n{i}"),
-                      *([] if i in selected else [statistic(x, f.statistic, w).alias(f"_v{i}")]))
+            for c in (F.count(x).alias(f"_n{i}"), median_bounds(i) if i in selected
+                      else statistic(x, f.statistic, w).alias(f"_v{i}"))
         ]
         grouped = rows.groupBy(*cols(keys), "_slot").agg(*whole, *phases, *extra)
     if strict:
@@ -508,16 +520,66 @@ def _first_stage(df: DataFrame, config: AveragingConfig, strict: bool) -> StageR
     return finish_first_stage(with_medians(grouped, rows, keys, selected), config)
 
 
+# A group of at most so many grid points is small enough to hold its values for an exact median.
+MEDIAN_POINTS = 100_000
+
+
+def middle(values: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(values)
+    low, high = (F.try_element_at(values, (F.call_function("div", n + i, F.lit(2)) + (1 - i)).cast("int"))
+                 for i in (-1, 0))
+    return (low + high) / 2
+
+
+def median_bounds(i: int) -> Column:
+    """``_m{i}``: values that bound the middle of field ``i`` in a group by rank."""
+    shares = F.array(F.lit(0.5 - MEDIAN_MARGIN), F.lit(0.5 + MEDIAN_MARGIN))
+    number = col(f"_x{i}").cast("double")
+    return F.percentile_approx(number, shares, F.lit(MEDIAN_ACCURACY)).alias(f"_m{i}")
+
+
 def with_medians(
     grouped: DataFrame, rows: DataFrame, keys: Sequence[str], fields: Sequence[int]
 ) -> DataFrame:
-    for i in fields:
-        medians = exact_median(rows, [*keys, "_slot"], f"_x{i}", f"_v{i}")
-        grouped = (
-            grouped.alias("g").join(medians.alias("m"), _same_keys(keys, "g", "m"), "left")
-            .select("g.*", f"m._v{i}")
-        )
-    return grouped
+    """Append the exact medians ``_v{i}`` of all ``fields`` to groups of any size.
+
+    ``grouped`` holds ``_n{i}`` and ``_m{i}``, found in its own aggregate. One pass over the values
+    of all fields counts what lies below the bounds and ranks what lies between them, about 0.4 %
+    of a large group; a group's other columns travel along as one value."""
+    if not fields:
+        return grouped
+    names = [c for c in grouped.columns if c not in {*keys, "_slot", *[f"_m{i}" for i in fields]}]
+    on = [*cols(keys), "_slot", "_field"]
+    bounds = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_field"), col(f"_n{i}").alias("n"), col(f"_m{i}")[0].alias("lo"),
+                 col(f"_m{i}")[1].alias("hi")) for i in fields])).alias("_b")
+    groups = grouped.select(
+        *cols(keys), "_slot", F.struct(*cols(names)).alias("_g"), bounds
+    ).select(
+        *[col(k).alias(f"_e{j}") for j, k in enumerate(keys)], F.col("_slot").alias("_eslot"),
+        F.col("_b._field").alias("_efield"), "_g", "_b")
+    value = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_field"), col(f"_x{i}").cast("double").alias("v")) for i in fields]))
+    counted = rows.select(*cols(keys), "_slot", value.alias("_f")).where("_f.v IS NOT NULL").select(
+        *cols(keys), "_slot", "_f._field", F.col("_f.v").alias("_v")
+    ).groupBy(*on, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    same = [col(k).eqNullSafe(col(f"_e{j}")) for j, k in enumerate(keys)]
+    same += [col("_slot").eqNullSafe(col("_eslot")), col("_field") == col("_efield")]
+    near = groups.join(counted, [*same, col("_v") <= F.col("_b.hi")], "left").select(
+        *[col(f"_e{j}").alias(k) for j, k in enumerate(keys)], F.col("_eslot").alias("_slot"),
+        F.col("_efield").alias("_field"), "_g", F.col("_b.n").alias("_n"),
+        F.when(col("_v") >= F.col("_b.lo"), col("_v")).alias("_v"), "_c",
+    ).groupBy(*on, "_g", "_n", "_v").agg(F.sum("_c").alias("_c"))
+    run = Window.partitionBy(*on).orderBy(F.asc_nulls_first("_v"))
+    ranked = near.select("*", (F.sum("_c").over(run) - col("_c")).alias("_at"))
+    picked = [
+        F.max(F.when((col("_at") <= F.expr(r)) & (F.expr(r) < col("_at") + col("_c")), col("_v")))
+        for r in ("(_n - 1) div 2", "_n div 2")]
+    medians = ranked.groupBy(*on, "_g").agg(((picked[0] + picked[1]) / 2).alias("_v"))
+    return medians.groupBy(*cols(keys), "_slot", "_g").agg(
+        *[F.max(F.when(col("_field") == i, col("_v"))).alias(f"_v{i}") for i in fields]
+    ).select(*cols(keys), "_slot", "_g.*", *[f"_v{i}" for i in fields])
 
 
 def finish_first_stage(grouped: DataFrame, config: AveragingConfig) -> StageResult:
@@ -593,13 +655,17 @@ def next_stage(previous: StageResult, stage: Stage) -> StageResult:
         weight.alias("_w"),
         *[col(f.output).alias(f"_x{i}") for i, f in enumerate(config.fields)],
     )
+    component = previous.stage.period
+    shortest = step_micros(component) if component.kind in (*ANCHORED, *CLOCKED) else MICROS_PER_DAY
+    many = grid_points(stage.period, config.zone, shortest) > MEDIAN_POINTS
     aggregates, selected = [], []
     for i, f in enumerate(config.fields):
         value = col(f"_x{i}")
         w = F.when(value.isNotNull(), col("_w"))
         aggregates.append(F.count(value).alias(f"_n{i}"))
-        if f.statistic is Statistic.MEDIAN:
+        if many and f.statistic is Statistic.MEDIAN:
             selected.append(i)
+            aggregates.append(median_bounds(i))
         else:
             aggregates.append(statistic(value, f.statistic, w).alias(f"_v{i}"))
     grouped = with_medians(rows.groupBy(*cols(keys), "_slot").agg(*aggregates), rows, keys, selected)

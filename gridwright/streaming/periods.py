@@ -35,7 +35,6 @@ from gridwright.operators.averaging import (
     parts,
     refuse_repeats,
     surplus,
-    with_medians,
 )
 
 def check_base(config: AveragingConfig, base: timedelta) -> None:
@@ -144,23 +143,14 @@ def grouped_partials(partials: DataFrame, config: AveragingConfig) -> DataFrame:
     keys = list(config.keys)
     slot = slot_of(config.stages[0].period, col("_at"), config.zone)
     rows = partials.withColumn("_slot", slot)
-    aggregates, medians = [], []
-    for i, f in enumerate(config.fields):
-        aggregates.append(F.sum(f"_n{i}").alias(f"_n{i}"))
-        if f.statistic is Statistic.MEDIAN:
-            medians.append(i)
-        else:
-            aggregates.append(merged(i, f))
-    grouped = refuse_repeats(rows.groupBy(*cols(keys), "_slot").agg(
+    aggregates = [
+        c for i, f in enumerate(config.fields)
+        for c in (F.sum(f"_n{i}").alias(f"_n{i}"), merged(i, f))
+    ]
+    return refuse_repeats(rows.groupBy(*cols(keys), "_slot").agg(
         *aggregates, F.min("_phase_lo").alias("_phase_lo"), F.max("_phase_hi").alias("_phase_hi"),
         F.sum("_surplus").alias("_surplus"),
     ))
-    if not medians:
-        return grouped
-    values = F.explode(F.arrays_zip(*[col(f"_values{i}").alias(f"_x{i}") for i in medians]))
-    listed = rows.select(*cols(keys), "_slot", values.alias("_v")).select(
-        *cols(keys), "_slot", "_v.*")
-    return with_medians(grouped, listed, keys, medians)
 
 
 def average_partials(partials: DataFrame, config: AveragingConfig) -> AveragingResult:
