@@ -527,8 +527,7 @@ MEDIAN_POINTS = 100_000
 def middle(values: Column) -> Column:
     """Median of a sorted array."""
     n = F.size(values)
-    low, high = (F.try_element_at(values, (F.call_function("div", n + i, F.lit(2)) + (1 - i)).cast("int"))
-                 for i in (-1, 0))
+    low, high = (F.get(values, F.call_function("div", m, F.lit(2)).cast("int")) for m in (n - 1, n))
     return (low + high) / 2
 
 

@@ -283,3 +283,12 @@ def test_rows_are_folded_before_their_only_exchange(spark):
     plan = average(df, cfg(Stage(day()))).stages[0].frame
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in text and text.count("Aggregate") == 1
+
+
+def test_middle_of_a_sorted_array(spark):
+    from gridwright.operators.averaging import middle
+
+    lists = [[], [3.0], [1.0, 4.0], [1.0, 2.0, 9.0], [1.0, 2.0, 7.0, 9.0]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<double>")
+    got = [r.m for r in df.select("i", middle(F.col("x")).alias("m")).orderBy("i").collect()]
+    assert got == [None, 3.0, 2.5, 2.0, 4.5]
