@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gridwright.catalog.base import DIRTY_SQL, dirty, query, table
@@ -205,6 +207,31 @@ def invalid_stop_on_dirty_data(spark, folder):
     return spark.createDataFrame(found, "column_name string, outcome string")
 
 
+@query(
+    "invalid_numbers_stop_at_first_cell",
+    f"""WITH {DIRTY_SQL}, b AS (SELECT event_id, reading FROM dirty
+ WHERE trim(coalesce(reading, '')) <> '' AND ({number('reading')}) IS NULL)
+SELECT (SELECT 'invalid number in reading: ' || min_by(reading, event_id) FROM b) AS up,
+ (SELECT 'invalid number in reading: ' || max_by(reading, event_id) FROM b) AS down,
+ (SELECT 'invalid number in copy: ' || min_by('x' || event_id, event_id) FROM dirty) AS other""",
+)
+def invalid_stop_first(spark, folder):
+    """The message names the first cell by column, then by row, in either order of the rows."""
+    d = dirty(spark, folder).withColumn("copy", F.concat(F.lit("x"), F.col("event_id").cast("string")))
+    asked = (
+        (["reading", "copy"], F.col("event_id")), (["reading", "copy"], -F.col("event_id")),
+        (["copy", "reading"], F.col("event_id")))
+    found = []
+    for columns, order in asked:
+        rows = cells.resolve_invalid_numbers(d.withColumn("_ord", order), columns, "stop")
+        try:
+            rows.write.format("noop").mode("overwrite").save()
+            found.append(None)
+        except Exception as error:  # the refusal is what is asked for
+            found.append(re.search(r"invalid number in [^\n]*?(?= SQLSTATE|\n|$)", str(error))[0].strip())
+    return spark.createDataFrame([tuple(found)], "up string, down string, other string")
+
+
 # Null rows and missingness.
 THREE = f"""{DIRTY_SQL},
 n AS (SELECT event_id, {number('reading')} AS a, {number('level')} AS b, station AS c FROM dirty)"""

@@ -24,7 +24,7 @@ from gridwright.config import (
 from gridwright.operators import cells, columns, moments
 from gridwright.operators.averaging import average
 from gridwright.operators.diagnostics import Diagnostics
-from gridwright.plans.recipe import run_recipe
+from gridwright.plans.recipe import run_recipe, run_recipe_each
 from gridwright.plans.split import publish_split_join, run_split_join
 from gridwright.plans.steps import run_steps, step
 from gridwright.session import shared_folder
@@ -359,6 +359,54 @@ def streamed_repeats(spark, folder):
     return spark.createDataFrame(found, "series string, outcome string")
 
 
+RUNS = {
+    "schema_version": 1, "recipe_name": "r", "mode": "average",
+    "source": {"file_type": "csv", "expected_columns": ["At", "V"]},
+    "columns": [{"source_name": n, "output_name": n} for n in ("At", "V")],
+    "timestamp": {"column": "At", "role": "start", "input_profile": "iso_minute"},
+    "aggregation": {
+        "timestamp_column": "At", "input_interval_seconds": 3600, "reporting_timezone": "UTC",
+        "allow_reorder": True, "fields": [{"column": "V"}], "stages": [{"period": {"kind": "day"}}]},
+    "output": {"formats": ["csv"]},
+}
+
+
+@query(
+    "batch_runs_isolated",
+    """WITH h AS (SELECT date_trunc('hour', ts) AS t, count(*) AS n FROM events GROUP BY 1)
+SELECT 'hourly' AS source, count(*) = count(DISTINCT t) AS passed, '' AS problem FROM h
+UNION ALL SELECT 'repeated', max(n) < 2, 'repeated' FROM h
+UNION ALL SELECT 'off_grid', count(*) = 0, 'grid' FROM h
+UNION ALL SELECT 'unreadable', count(*) FILTER (extract(hour FROM t) = 5) = 0, '2024-' FROM h
+UNION ALL SELECT 'other_columns', count(*) = 0, 'same source columns' FROM h""",
+)
+def isolated_runs(spark, folder):
+    """One recipe over files of five kinds at once; each failing one has its own problem."""
+    hour = F.date_trunc("hour", F.col("ts"))
+    events = table(spark, folder, "events").select(hour.alias("t"), F.col("value").alias("V"))
+    hours = events.groupBy("t").agg(F.sum("V").alias("V"))
+    at = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm")
+    half = F.col("t") + F.expr("INTERVAL 30 MINUTE")
+    broken = F.when(F.hour("t") == 5, F.concat(at(F.col("t")), F.lit("?"))).otherwise(at(F.col("t")))
+    frames = {
+        "hourly": hours.select(at(F.col("t")).alias("At"), "V"),
+        "repeated": events.select(at(F.col("t")).alias("At"), "V"),
+        "off_grid": hours.select(at(half).alias("At"), "V"),
+        "unreadable": hours.select(broken.alias("At"), "V"),
+        "other_columns": hours.select(at(F.col("t")).alias("At"), F.col("V").alias("W"))}
+    words = {"hourly": "", "repeated": "repeated", "off_grid": "grid", "unreadable": "2024-",
+             "other_columns": "same source columns"}
+    base, sources = shared_folder(spark, "runs"), {}
+    for name, frame in frames.items():
+        sources[name] = f"{base}/in/{name}"
+        sinks.write_delimited(frame, sources[name])
+    found = run_recipe_each(spark, sources, RUNS, f"{base}/out")
+    word = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])[F.col("source")]
+    problem = F.coalesce("problem", F.lit(""))
+    return found.select(
+        "source", "passed", F.when(problem.contains(word), word).otherwise(problem).alias("problem"))
+
+
 @query(
     "averaging_refuses_repeated_instants",
     """SELECT 'daily' AS series, CASE WHEN count(*) > count(DISTINCT l_shipdate) THEN 'refused' ELSE 'accepted' END AS outcome

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window, functions as F
 
 from gridwright.catalog.base import DIRTY_SQL, dirty, query, table
@@ -228,6 +230,41 @@ def compatibility(spark, folder):
     )
 
 
+@query(
+    "scan_batch_reasons",
+    """WITH r AS (SELECT count(*) AS n FROM region),
+v AS (SELECT * FROM (VALUES ('delimiter', ['delimiter does not match the reference file']),
+ ('empty', ['the file is empty']), ('good', []), ('header', ['ordered column names do not match the reference schema',
+  'header detection does not match the reference file']),
+ ('kind', ['file type is csv; expected txt']), ('names', ['ordered column names do not match the reference schema']),
+ ('quote', ['quote-character behavior does not match the reference file']), ('reference', [])) AS t(source, reasons))
+SELECT source, array_to_string(reasons, '; ') AS reason, len(reasons) = 0 AS compatible FROM v, r WHERE n > 0""",
+)
+def reasons(spark, folder):
+    """One file for each reason, written from a table, an empty file among them."""
+    base = shared_folder(spark, "reasons")
+    r = table(spark, folder, "region").select(
+        F.col("r_regionkey").cast("string").alias("k"), F.col("r_name").alias("n"))
+    layouts = {
+        "reference": ("key,name", '{k},"{n}"'), "good": ("key,name", '{k},"{n}"'),
+        "names": ("name,key", '{k},"{n}"'), "delimiter": ("key;name", '{k};"{n}"'),
+        "quote": ("key,name", "{k},'{n}'"), "header": ("9,x", '{k},"{n}"'), "empty": (None, "")}
+    paths = []
+    for source, (head, line) in layouts.items():
+        pieces = re.split(r"(\{k\}|\{n\})", line)
+        text = F.concat(*[F.col(p[1]) if p in ("{k}", "{n}") else F.lit(p) for p in pieces])
+        lines = r.select(F.col("k").alias("place"), text.alias("value"))
+        lines = lines.unionAll(spark.createDataFrame([("", head)], "place string, value string"))
+        lines = lines.where(F.lit(head is not None)).repartition(1).sortWithinPartitions("place")
+        lines.select("value").write.text(f"{base}/{source}")
+        paths.append(f"{base}/{source}")
+    sinks.write_delimited(r.select(F.col("k").alias("key"), F.col("n").alias("name")).coalesce(1), f"{base}/kind")
+    found = delimited.batch_compatibility(spark, [*paths, f"{base}/kind"])
+    source = F.regexp_extract("file", r"/([a-z]+)/[^/]*$", 1)
+    return found.select(
+        source.alias("source"), F.coalesce("reason", F.lit("")).alias("reason"), "compatible").distinct()
+
+
 @query(
     "scan_isolated_sources",
     f"""WITH {DIRTY_SQL},

@@ -118,11 +118,14 @@ def resolve_invalid_numbers(
     suffix: str = "_source",
     typed: bool = False,
     notes: Diagnostics | None = None,
+    order: str = "_ord",
 ) -> DataFrame:
     """Apply a file-level policy to cells that are not finite numbers.
 
     Valid text stays text unless ``typed`` asks for DECIMAL. ``preserve_source`` always adds
-    its companion columns, so the schema does not depend on the data.
+    its companion columns, so the schema does not depend on the data. ``stop`` raises once, after
+    all rows are seen, and names the first cell: the first such column, there the first row by
+    ``order`` (by source order where the table has no such column).
     """
     if policy not in ("null_and_continue", "inspect", "stop", "preserve_source"):
         raise ValueError(f"unknown invalid-number policy {policy!r}")
@@ -135,6 +138,8 @@ def resolve_invalid_numbers(
     df = watch(notes, df, "invalid_numeric_values", count)
     if policy == "inspect":
         return df
+    if policy == "stop":
+        df = _stopped_at_first(df, bad, order)
     out, extra = [], []
     for n in df.columns:
         if n not in bad:
@@ -142,12 +147,7 @@ def resolve_invalid_numbers(
             continue
         kind = dtype(df, n)
         good = numeric.to_decimal(col(n), kind) if typed else col(n)
-        if policy == "stop":
-            message = F.concat(F.lit(f"invalid number in {n}: "), col(n).cast("string"))
-            failed = F.raise_error(message).cast(numeric.DECIMAL if typed else kind)
-            out.append(F.when(bad[n], failed).otherwise(good).alias(n))
-        else:
-            out.append(F.when(~bad[n], good).alias(n))
+        out.append(F.when(~bad[n], good).alias(n))
         if policy == "preserve_source":
             if f"{n}{suffix}" in df.columns:
                 raise ValueError(f"column {n + suffix!r} already exists")
@@ -155,6 +155,20 @@ def resolve_invalid_numbers(
     return df.select(*out, *extra)
 
 
+def _stopped_at_first(df: DataFrame, bad: dict[str, Column], order: str) -> DataFrame:
+    """``df``, which raises when it is worked out if any cell is bad. The first bad row of each
+    column is a mergeable minimum, found by a subquery of the same query."""
+    place = col(order) if order in df.columns else F.monotonically_increasing_id()
+    cells = df.select(
+        place.alias("__at"),
+        *[F.when(b, col(n).cast("string")).alias(f"__v{i}") for i, (n, b) in enumerate(bad.items())])
+    first = [F.min_by(f"__v{i}", F.when(col(f"__v{i}").isNotNull(), col("__at"))) for i in range(len(bad))]
+    message = F.coalesce(*[
+        F.concat(F.lit(f"invalid number in {n}: "), f) for n, f in zip(bad, first)])
+    found = cells.agg(message.alias("m")).scalar()
+    return df.where(F.when(found.isNotNull(), F.raise_error(found).cast("boolean")).otherwise(True))
+
+
 def null_row_match(mode: str, columns: Sequence[str], minimum_present: int | None = None) -> Column:
     """Rows a removal rule matches. An empty text is not null."""
     if mode not in ROW_MODES:

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, time, timedelta
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridwright.config import (
@@ -407,15 +409,20 @@ def run_recipe_files(
 
 def run_recipe_each(
     spark: SparkSession, sources: Mapping[str, str | Sequence[str]],
-    recipe: Recipe | str | bytes | Mapping, target: str, **settings: object,
+    recipe: Recipe | str | bytes | Mapping, target: str, *, at_once: int = 4, **settings: object,
 ) -> DataFrame:
-    """Run a recipe on each named source by itself; a source that fails leaves the others alone.
+    """Run a recipe on each named source by itself, ``at_once`` at a time, so that their jobs share
+    the cluster; a source that fails leaves the others alone.
     Returns ``source, passed, problem``. Sources are runs, so they are few."""
-    outcome = []
-    for name, paths in sources.items():
+
+    def run(name: str) -> tuple[str, bool, str | None]:
         try:
-            run_recipe_files(spark, paths, recipe, f"{target.rstrip('/')}/{name}", **settings)
-            outcome.append((name, True, None))
+            run_recipe_files(
+                spark, sources[name], recipe, f"{target.rstrip('/')}/{name}", **settings)
         except Exception as error:  # reported per source
-            outcome.append((name, False, str(error).splitlines()[0]))
+            return name, False, str(error).splitlines()[0]
+        return name, True, None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        outcome = list(pool.map(inheritable_thread_target(spark)(run), sources))
     return spark.createDataFrame(outcome, "source string, passed boolean, problem string")

@@ -41,6 +41,10 @@ def test_invalid_numbers_and_policies(spark):
     assert cells.resolve_invalid_numbers(df, ["PM"], "inspect").collect() == df.collect()
     with pytest.raises(Exception, match="invalid number in PM: bad"):
         cells.resolve_invalid_numbers(df.orderBy("_ord"), ["PM"], "stop").collect()
+    two = spark.createDataFrame([(3, "x", "1"), (2, "y", "z"), (1, "1", "w"), (9, "q", "v")], "_ord int, a string, b string").repartition(3)
+    for names, words in ((["a", "b"], "number in a: y"), (["b", "a"], "number in b: w")):
+        with pytest.raises(Exception, match=words):
+            cells.resolve_invalid_numbers(two, names, "stop").collect()
     flags = spark.createDataFrame([(True,)], "b boolean")
     assert rows(cells.invalid_numbers(flags.withColumn("_ord", F.lit(1)), ["b"])) == [(1, "b", "true")]
 

@@ -107,6 +107,20 @@ def test_compatibility_of_a_file_batch(spark, tmp_path):
     found = {r.file.rsplit("/", 1)[-1]: r.reason for r in delimited.batch_compatibility(spark, paths).collect()}
     assert found["a.csv"] is None and found["b.csv"] is None
     assert "column names" in found["c.csv"] and "file type" in found["d.txt"] and "delimiter" in found["e.csv"]
+    more = {"f.csv": "", "g.csv": "\n \n", "h.csv": "v;t\n3;4\n", "i.csv": "t,v\n'x','a b'\n", "j.csv": "1,2\n3,4\n",
+            "k.csv": "t,v\n" + "1,2\n" * 50_000}
+    for name, content in more.items():
+        (tmp_path / name).write_text(content)
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "_hidden").write_text("x")
+    (tmp_path / "l" / "p.csv").write_text("t,v\n")
+    again = delimited.batch_compatibility(spark, [*paths, *(str(tmp_path / n) for n in (*more, "l"))])
+    reasons = {r.file.rsplit("/", 1)[-1]: r.reasons for r in again.collect()}
+    assert len(reasons) == 12 and reasons["k.csv"] == reasons["p.csv"] == []
+    assert reasons["f.csv"] == reasons["g.csv"] == ["the file is empty"]
+    assert [r.split()[0] for r in reasons["h.csv"]] == ["ordered", "delimiter"]
+    assert [r.split()[0] for r in reasons["i.csv"]] == ["quote-character"]
+    assert [r.split()[0] for r in reasons["j.csv"]] == ["ordered", "header"]
     both = delimited.read_delimited(spark, paths[:2], source_column="file", ordinal=None)
     assert both.select("file").distinct().count() == 2
 
