@@ -169,7 +169,7 @@ class Index:
         tf = np.concatenate([f for _, f in pairs])
         order = np.lexsort((doc, token))
         self.doc, token, tf = doc[order], token[order], tf[order]
-        self.weight = stats.weights(token, tf, length[self.doc])
+        self.weight = stats.weights(token, tf, length[self.doc]).astype(float)
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
         self.at = np.append(np.flatnonzero(new), len(token))
@@ -195,6 +195,13 @@ class Index:
         return np.bincount(self.doc[place], self.weight[place], self.count)
 
 
+    def drop(self, used: np.ndarray) -> None:
+        """Leave out the postings of used pieces; their queries stay."""
+        keep = ~used[self.doc]
+        self.at = np.concatenate(([0], np.cumsum(keep)))[self.at]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
+
 def best_unused(score: np.ndarray, used: np.ndarray, some: int = 32) -> list[int]:
     """The next unused pieces that score above 0, best last; empty when there are none."""
     score = np.where(used, 0, score)
@@ -211,9 +218,11 @@ def fill(lengths: list[int], index: Index) -> Iterator[list[Segment]]:
     """Sequences of (piece, start in it, length): full windows, then powers of two."""
     n, used, next_unused = len(lengths), np.zeros(len(lengths), bool), 0
     rests: deque[Segment] = deque()  # (piece, start, end)
+    left, indexed = n, n
 
     def unused(piece: int) -> Segment:
-        used[piece] = True
+        nonlocal left
+        used[piece], left = True, left - 1
         return piece, 0, lengths[piece]
 
     def in_order() -> int | None:
@@ -234,6 +243,9 @@ def fill(lengths: list[int], index: Index) -> Iterator[list[Segment]]:
         score, ranked = None, []
         while room:
             if rest is None:
+                if 2 * left < indexed:
+                    index.drop(used)
+                    indexed = left
                 if score is None:
                     score = index.scores(seed)
                 ranked = ranked or best_unused(score, used)
@@ -353,8 +365,12 @@ class Leaders:
 def related(rests: DataFrame, stats: Stats) -> DataFrame:
     """The pieces with ``first``, ``second`` and ``mark``, the place of their topic."""
     spread = F.xxhash64("doc_id", "start", "ids_crc32")
-    sample = rests.select("ids", "length", "doc_id", "start", "ids_crc32").orderBy(
-        spread, "doc_id", "start", "ids_crc32").limit(LEADERS).collect()
+    # The smallest hashes first: a list of ids from each task would grow with the tasks.
+    marked = rests.withColumn("spread", spread)
+    smallest = [r.spread for r in marked.select("spread").orderBy("spread").limit(LEADERS).collect()]
+    sample = marked.where(F.col("spread") <= smallest[-1]).select(
+        "ids", "length", "spread", "doc_id", "start").orderBy(
+        "spread", "doc_id", "start").limit(LEADERS).collect()
     leaders = Leaders([piece_ids(r.ids, r.length) for r in sample], stats)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -374,18 +390,18 @@ PACKED = f"{PIECE}, sequence_id long, offset long, ids binary"
 def windows(pieces: DataFrame, stats: Stats, shard_documents: int) -> DataFrame:
     """Packed pieces of sorted rests, shard by shard."""
 
-    def packed_shard(rows: list[dict], shard: int) -> pa.RecordBatch:
-        own = [piece_ids(r["ids"], r["length"]) for r in rows]
+    def packed_shard(rows: list[tuple], shard: int) -> pa.RecordBatch:
+        own = [piece_ids(ids, length) for _, _, length, _, ids, _ in rows]
         lengths = [len(x) for x in own]
         index = Index.of([terms(x) for x in own], np.array(lengths), stats)
         out = [[] for _ in range(8)]
         for number, members in enumerate(fill(lengths, index)):
             offset = 0
             for piece, at, take in members:
-                row, ids = rows[piece], own[piece][at : at + take]
+                (doc, start, _, total, _, _), ids = rows[piece], own[piece][at : at + take]
                 for c, v in zip(out, (
-                        row["doc_id"], row["start"] + at, take, crc(ids), row["doc_tokens"],
-                        2 * (shard + number), offset, ids.tobytes()), strict=True):
+                        doc, start + at, take, crc(ids), total, 2 * (shard + number), offset,
+                        ids.tobytes()), strict=True):
                     c.append(v)
                 offset += take
         kinds = [pa.int64()] * 7 + [pa.binary()]
@@ -396,9 +412,9 @@ def windows(pieces: DataFrame, stats: Stats, shard_documents: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, shard = [], None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # A shard has at most 11 sequences more than pieces, and positions are unique.
-                shard = row["at"] * 16 if shard is None else shard
+                shard = row[-1] * 16 if shard is None else shard
                 waiting.append(row)
                 if len(waiting) == shard_documents:
                     yield packed_shard(waiting, shard)
