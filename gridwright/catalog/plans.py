@@ -27,7 +27,7 @@ from gridwright.operators.diagnostics import Diagnostics
 from gridwright.plans.recipe import run_recipe, run_recipe_each
 from gridwright.plans.split import publish_split_join, run_split_join
 from gridwright.plans.steps import run_steps, step
-from gridwright.session import shared_folder
+from gridwright.session import materialize, shared_folder
 from gridwright.sources import sinks, verify
 from gridwright.streaming import periods
 
@@ -340,6 +340,45 @@ def streamed_median(spark, folder):
     return periods.average_partials(parts, cfg).table
 
 
+@query(
+    "stream_refresh_of_late_rows",
+    f"""WITH {HOURLY_SQL}, g AS (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n,
+ sum(reading) AS reading FROM hourly GROUP BY 1, 2),
+k AS (SELECT event_type, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM g GROUP BY 1),
+late AS (SELECT DISTINCT event_type, date_trunc('day', ts) AS d FROM hourly WHERE dayofmonth(ts) = 9 AND extract(hour FROM ts) > 12)
+SELECT k.event_type, d AS "Period_Start", d + INTERVAL 1 DAY AS "Period_End",
+ CASE WHEN n >= 18 THEN round(CAST(reading AS DOUBLE), 6) END AS reading, late.d IS NOT NULL AS again
+FROM k LEFT JOIN g USING (event_type, d) LEFT JOIN late USING (event_type, d)""",
+)
+def refreshed_by_late_rows(spark, folder):
+    """Late rows of some days: only these days are worked out again; the result is that of all rows."""
+    cfg = AveragingConfig(
+        "ts", timedelta(hours=1), "UTC", (FieldRule("reading", Statistic.SUM),),
+        (Stage(day(), Completeness(0.75)),), keys=("event_type",))
+    source, target, log = (shared_folder(spark, f"stream-{x}") for x in ("in", "out", "log"))
+    rows = hourly(spark, folder)
+    late = (F.dayofmonth("ts") == 9) & (F.hour("ts") > 12)
+    schema = "event_type string, ts timestamp, reading decimal(22,2), peak double"
+
+    def arrive(frame):
+        frame.repartition(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(source)
+        parts = periods.partial_windows(stream, cfg, base=timedelta(hours=3), delay="3650 days")
+        periods.start_partials(parts, target, log).awaitTermination()
+        return spark.read.parquet(target).agg(F.max("batch_id")).first()[0]
+
+    seen = arrive(rows.where(~late))
+    state = materialize(periods.refreshed(spark, target, cfg, None, -1), "state")
+    arrive(rows.where(late))
+    again = periods.dirty_periods(spark, target, cfg, seen)
+    state = materialize(periods.refreshed(spark, target, cfg, state, seen), "state")
+    found = periods.average_grouped(state, cfg).stages[0].frame.join(
+        again.withColumn("again", F.lit(True)), ["event_type", "_slot"], "left")
+    return found.select(
+        "event_type", F.col("_start").alias("Period_Start"), F.col("_end").alias("Period_End"),
+        F.round("reading", 6).alias("reading"), F.coalesce("again", F.lit(False)).alias("again"))
+
+
 @query(
     "stream_refuses_repeated_instants",
     """SELECT 'daily' AS series, CASE WHEN count(*) > count(DISTINCT l_shipdate) THEN 'refused' ELSE 'accepted' END AS outcome

@@ -287,7 +287,7 @@ def _accept(frame: DataFrame, config: AveragingConfig, stage: Stage) -> DataFram
     return frame.select(*cols(kept), *extra, *shown.values())
 
 
-def _same_keys(keys: Sequence[str], left: str, right: str, slot: bool = True) -> list[Column]:
+def same_keys(keys: Sequence[str], left: str, right: str, slot: bool = True) -> list[Column]:
     pairs = [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys]
     if slot:
         pairs.append(F.col(f"{left}._slot").eqNullSafe(F.col(f"{right}._slot")))
@@ -502,7 +502,7 @@ def _first_stage(df: DataFrame, config: AveragingConfig, strict: bool) -> StageR
             *whole, F.min("_phase_lo").alias("_phase_lo"), F.max("_phase_hi").alias("_phase_hi"),
             F.sum("_surplus").alias("_surplus"))
         if selected:
-            grouped = grouped.alias("g").join(bounds.alias("m"), _same_keys(keys, "g", "m"), "left").select(
+            grouped = grouped.alias("g").join(bounds.alias("m"), same_keys(keys, "g", "m"), "left").select(
                 "g.*", *[f"m._m{i}" for i in selected])
     else:
         whole = [

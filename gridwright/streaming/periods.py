@@ -17,12 +17,19 @@ from __future__ import annotations
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridwright.config import MICROS_PER_DAY, AveragingConfig, Statistic, micros
 from gridwright.functions.names import col, cols, dtype, require
-from gridwright.functions.periods import ANCHORED, CLOCKED, big, slot_of, step_micros
+from gridwright.functions.periods import (
+    ANCHORED,
+    CLOCKED,
+    big,
+    slot_of,
+    step_micros,
+    with_bounds,
+)
 from gridwright.functions.zones import anchor_micros, canonical_zone, fixed_offset_micros
 from gridwright.operators.averaging import (
     AveragingResult,
@@ -34,6 +41,7 @@ from gridwright.operators.averaging import (
     next_stage,
     parts,
     refuse_repeats,
+    same_keys,
     surplus,
 )
 
@@ -96,14 +104,23 @@ def partial_windows(
     ).select(F.col("_window.start").alias("_at"), "*").drop("_window")
 
 
+#: Days of windows in one folder of a micro-batch.
+SPAN_DAYS = 32
+
+
+def span_of(instant: Column) -> Column:
+    return F.floor(F.unix_micros(instant) / (SPAN_DAYS * MICROS_PER_DAY)).cast("bigint")
+
+
 def start_partials(
     partials: DataFrame, path: str, checkpoint: str, **trigger: object
 ) -> StreamingQuery:
     """Run the stream; each micro-batch overwrites its own folder, so a retried batch leaves
-    one copy."""
+    one copy. Windows of ``SPAN_DAYS`` lie together, so that a refresh reads only some of them."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.withColumn("_span", span_of(F.col("_at"))).write.mode("overwrite").partitionBy(
+            "_span").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         partials.writeStream.outputMode("update")
@@ -120,7 +137,7 @@ def latest_partials(spark: SparkSession, path: str, keys: tuple[str, ...]) -> Da
 
 
 def newest_partials(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    rest = [n for n in df.columns if n not in {*keys, "_at", "_part", "batch_id"}]
+    rest = [n for n in df.columns if n not in {*keys, "_at", "_part", "batch_id", "_span"}]
     best = F.max_by(F.struct(*cols(rest)), col("batch_id")).alias("p")
     return df.groupBy(*cols(keys), "_at", "_part").agg(best).select(
         *cols(keys), "_at", "_part", "p.*")
@@ -153,9 +170,49 @@ def grouped_partials(partials: DataFrame, config: AveragingConfig) -> DataFrame:
     ))
 
 
-def average_partials(partials: DataFrame, config: AveragingConfig) -> AveragingResult:
-    """All stages from merged partial windows."""
-    stages = [finish_first_stage(grouped_partials(partials, config), config)]
+def average_grouped(grouped: DataFrame, config: AveragingConfig) -> AveragingResult:
+    """All stages from the first stage's grouped rows."""
+    stages = [finish_first_stage(grouped, config)]
     for stage in config.stages[1:]:
         stages.append(next_stage(stages[-1], stage))
     return AveragingResult(stages)
+
+
+def average_partials(partials: DataFrame, config: AveragingConfig) -> AveragingResult:
+    """All stages from merged partial windows."""
+    return average_grouped(grouped_partials(partials, config), config)
+
+
+def dirty_periods(spark: SparkSession, path: str, config: AveragingConfig, since: int) -> DataFrame:
+    """``keys, _slot`` of the first stage's periods with windows in batches after ``since``."""
+    slot = slot_of(config.stages[0].period, col("_at"), config.zone)
+    new = spark.read.parquet(path).where(F.col("batch_id") > since)
+    return new.select(*cols(config.keys), slot.alias("_slot")).distinct()
+
+
+def dirty_windows(spark: SparkSession, path: str, config: AveragingConfig, since: int) -> DataFrame:
+    """The newest windows of the dirty periods; other spans of time are not read."""
+    keys, spec = list(config.keys), config.stages[0].period
+    dirty = dirty_periods(spark, path, config, since)
+    low, high = (span_of(col(c)) for c in ("_start", "_end"))
+    spans = with_bounds(dirty.select("_slot").distinct(), spec, config.zone).select(
+        F.explode(F.sequence(low, high)).alias("_span")).distinct()
+    near = spark.read.parquet(path).join(spans, "_span", "left_semi")
+    rows = newest_partials(near, config.keys).withColumn("_slot", slot_of(spec, col("_at"), config.zone))
+    return rows.alias("g").join(dirty.alias("m"), same_keys(keys, "g", "m"), "left_semi").drop("_slot")
+
+
+def refreshed(
+    spark: SparkSession, path: str, config: AveragingConfig, state: DataFrame | None, since: int
+) -> DataFrame:
+    """The first stage's grouped rows after new batches: those of dirty periods worked out again
+    from their windows, the others taken from ``state``, the rows of batches up to ``since``.
+
+    The caller stores the result; it holds one row per period, from which ``average_grouped``
+    makes all stages."""
+    fresh = grouped_partials(dirty_windows(spark, path, config, since), config)
+    if state is None:
+        return fresh
+    dirty = dirty_periods(spark, path, config, since)
+    kept = state.alias("g").join(dirty.alias("m"), same_keys(config.keys, "g", "m"), "left_anti")
+    return kept.unionByName(fresh)

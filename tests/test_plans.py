@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwright.config import (
+    MonthPeriod,
     SeasonPeriod,
     AveragingConfig, Completeness, FieldRule, Season, Stage, Statistic, clock, day,
 )
@@ -212,7 +213,7 @@ def streamed(spark, frames, config, tmp_path, base):
     for frame in frames:
         frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    parts = periods.partial_windows(stream, config, base=base, delay="30 days")
+    parts = periods.partial_windows(stream, config, base=base, delay="300 days")
     periods.start_partials(parts, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     return periods.average_partials(periods.latest_partials(spark, str(tmp_path / "out"), config.keys), config)
 
@@ -238,6 +239,31 @@ def test_stream_equals_batch_with_late_rows(spark, tmp_path):
         assert left == right
 
 
+def test_late_rows_work_out_their_periods_alone(spark, tmp_path):
+    start = datetime(2026, 3, 1, tzinfo=UTC)
+    data = [(k, start + timedelta(hours=i), float(i % 50)) for k in ("a", None) for i in range(24 * 80)]
+    late = [r for r in data if r[0] is None and r[1].day == 5 and r[1].hour > 3]
+    frame = lambda rows: spark.createDataFrame(rows, "k string, ts timestamp, v double")
+    config = AveragingConfig(
+        "ts", timedelta(hours=1), "America/New_York", (FieldRule("v", Statistic.STANDARD_DEVIATION),),
+        (Stage(day(), Completeness(0.1)), Stage(MonthPeriod(), Completeness(0.1))), keys=("k",))
+    streamed(spark, [frame([r for r in data if r not in late])], config, tmp_path, timedelta(hours=1))
+    path = str(tmp_path / "out")
+    state = periods.refreshed(spark, path, config, None, -1)
+    state.write.parquet(str(tmp_path / "state"))
+    seen = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    streamed(spark, [frame(late)], config, tmp_path, timedelta(hours=1))
+    windows = periods.dirty_windows(spark, path, config, seen)
+    # 21 hours of the 5th in March, April and May; the days of New York before them end at four or five.
+    assert {r.k for r in windows.collect()} == {None}
+    assert windows.count() == 4 * 24
+    state = periods.refreshed(spark, path, config, spark.read.parquet(str(tmp_path / "state")), seen)
+    for got, want in zip(periods.average_grouped(state, config).stages, averaging.average(frame(data), config).stages):
+        left, right = ({tuple(r)[:3]: r.v for r in s.table.collect()} for s in (got, want))
+        assert left.keys() == right.keys()
+        assert all(left[k] == pytest.approx(right[k], rel=1e-9) for k in left)
+
+
 def test_stream_refuses_what_a_batch_refuses(spark, tmp_path):
     start = datetime(2026, 3, 6, tzinfo=UTC)
     rows = [(start + timedelta(minutes=i), float(i)) for i in range(1440)]
