@@ -142,8 +142,11 @@ class Stats:
 
 def terms(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct token ids of a piece and how often each occurs."""
-    term, tf = np.unique(piece, return_counts=True)
-    return term.astype("<u4"), tf.astype("<u4")
+    ordered = np.sort(piece, kind="stable")  # a radix sort for ids of 16 bits
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    at = np.flatnonzero(first)
+    return ordered[at].astype("<u4"), np.diff(np.append(at, len(ordered))).astype("<u4")
 
 
 class Index:
@@ -289,10 +292,9 @@ def piece_terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(piece, token id) of all distinct tokens of the pieces of a batch."""
     ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
     lengths = batch.column(batch.schema.get_field_index("length")).to_pylist()
-    pieces = [piece_ids(x, n) for x, n in zip(ids, lengths, strict=True)]
-    piece = np.repeat(np.arange(len(pieces)), lengths)
-    pairs = np.unique(piece << 32 | np.concatenate(pieces))
-    return pairs >> 32, pairs & 0xFFFFFFFF
+    found = [terms(piece_ids(x, n))[0] for x, n in zip(ids, lengths, strict=True)]
+    piece = np.repeat(np.arange(len(found)), [len(t) for t in found])
+    return piece, np.concatenate(found).astype(np.int64)
 
 
 def statistics(rests: DataFrame) -> Stats:
