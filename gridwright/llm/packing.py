@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -81,7 +82,8 @@ def token_ids(text: str, exact, fast) -> np.ndarray:
         ids = fast.encode_ordinary(text)
     else:
         ids = exact.encode(text, add_special_tokens=False).ids
-    return np.array([*ids, END], np.uint32)
+    ids.append(END)
+    return np.frombuffer(array("I", ids), np.uint32)  # several times faster than from the list
 
 
 def crc(ids: np.ndarray) -> int:
