@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
-
-from gridwright.config import AveragingConfig, InvalidPolicy, MissingOutput, Statistic
+from pyspark.sql import types as T
+
+from gridwright.config import (
+    PERIOD_END,
+    PERIOD_START,
+    AveragingConfig,
+    InvalidPolicy,
+    MissingOutput,
+    Statistic,
+)
 from gridwright.functions import zones
-from gridwright.functions.names import col, dtype, is_wall, put
+from gridwright.functions.names import col, dtype, is_text, is_wall, put
 from gridwright.functions.numeric import to_decimal, to_double
 from gridwright.functions.temporal import Profile
 from gridwright.operators import cells, moments
@@ -66,6 +75,43 @@ def suggest_output(column: str, statistic: str) -> str:
     return f"{column} - {SHORT.get(which, which.split('_')[0].capitalize())}"
 
 
+def readiness(df: DataFrame, plan: AveragePlan) -> tuple[list[str], list[str]]:
+    """(errors, warnings) of a plan for a table, from its columns alone: nothing is read."""
+    config, have = plan.config, set(df.columns)
+    inputs = {n for f in config.fields for n in f.inputs}
+    used = {config.timestamp, *config.keys, *inputs}
+    outputs = Counter([*config.keys, PERIOD_START, PERIOD_END, *(f.output for f in config.fields)])
+    first = config.stages[0]
+    found = {f"column {n} is missing": n not in have for n in sorted(used)}
+    found |= {
+        "the timestamp is also a field or a key": config.timestamp in {*inputs, *config.keys},
+        "outputs share a name": max(outputs.values()) > 1,
+        "the custom missing value is empty": plan.missing is MissingOutput.CUSTOM
+        and not str(plan.missing_custom or "").strip(),
+        "two of three needs stages that follow each other": len(config.stages) == 1
+        and first.completeness.allow_two_of_three,
+    }
+    for n in sorted(inputs & have):
+        kind = dtype(df, n)
+        readable = is_text(kind) or isinstance(kind, T.NumericType | T.DayTimeIntervalType)
+        found[f"{n}: no numbers can be read from {kind.simpleString()}"] = not readable
+    if config.timestamp in have:
+        kind = dtype(df, config.timestamp)
+        instant = isinstance(kind, T.TimestampType) or is_wall(kind)
+        found["text timestamps need a profile"] = is_text(kind) and plan.profile is None
+        found[f"{config.timestamp}: no timestamps in {kind.simpleString()}"] = not (
+            instant or is_text(kind))
+    warned = {}
+    for f in config.fields:
+        fits = suggest_statistic(f.column)
+        energy = Statistic.ENERGY_AVERAGE_LEQ.value
+        warned[f"{f.column}: its name suggests {fits.replace('_', ' ')}"] = (
+            fits != f.statistic.value and fits != Statistic.ARITHMETIC_MEAN.value)
+        warned[f"{f.column}: an energy average of a column that names no level"] = (
+            f.statistic.value == energy and fits != energy)
+    return [m for m, wrong in found.items() if wrong], [m for m, doubtful in warned.items() if doubtful]
+
+
 def prepare(df: DataFrame, plan: AveragePlan, notes: Diagnostics | None = None) -> DataFrame:
     """Instant timestamps (missing or unreadable ones are an error) and finite numeric fields
     (unreadable cells become null)."""

@@ -292,3 +292,22 @@ def test_middle_of_a_sorted_array(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<double>")
     got = [r.m for r in df.select("i", middle(F.col("x")).alias("m")).orderBy("i").collect()]
     assert got == [None, 3.0, 2.5, 2.0, 4.5]
+
+
+def test_readiness_of_an_averaging_plan(spark):
+    from gridwright.config import MissingOutput
+    from gridwright.plans.average import AveragePlan, readiness
+
+    df = spark.createDataFrame([], "ts string, LAeq double, rain double, flag boolean, k string")
+    good = cfg(Stage(day()), fields=[FieldRule("LAeq", Statistic.ENERGY_AVERAGE_LEQ), FieldRule("rain")], keys=("k",))
+    assert readiness(df, AveragePlan(good)) == ([], [])
+    bad = cfg(
+        Stage(day(), Completeness(0.75, True)), keys=("site",),
+        fields=[FieldRule("LAeq", output_name="Period_End"), FieldRule("flag"), FieldRule("gone"),
+                FieldRule("rain", Statistic.ENERGY_AVERAGE_LEQ)])
+    errors, warnings = readiness(df, AveragePlan(bad, profile=None, missing=MissingOutput.CUSTOM))
+    for words in ("column gone", "column site", "share a name", "custom missing", "two of three",
+                  "flag: no numbers", "need a profile"):
+        assert sum(words in e for e in errors) == 1
+    assert len(errors) == 7
+    assert warnings == ["LAeq: its name suggests energy average leq", "rain: an energy average of a column that names no level"]
