@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from gridwright.config import (
-    PERIOD_END,
-    PERIOD_START,
     AveragingConfig,
     InvalidPolicy,
     MissingOutput,
@@ -76,20 +73,16 @@ def suggest_output(column: str, statistic: str) -> str:
 
 
 def readiness(df: DataFrame, plan: AveragePlan) -> tuple[list[str], list[str]]:
-    """(errors, warnings) of a plan for a table, from its columns alone: nothing is read."""
+    """(errors, warnings) of a plan for a table, from its columns alone: nothing is
+    read. What a configuration cannot say by itself (names, stages) is refused when it is made."""
     config, have = plan.config, set(df.columns)
     inputs = {n for f in config.fields for n in f.inputs}
     used = {config.timestamp, *config.keys, *inputs}
-    outputs = Counter([*config.keys, PERIOD_START, PERIOD_END, *(f.output for f in config.fields)])
-    first = config.stages[0]
     found = {f"column {n} is missing": n not in have for n in sorted(used)}
     found |= {
         "the timestamp is also a field or a key": config.timestamp in {*inputs, *config.keys},
-        "outputs share a name": max(outputs.values()) > 1,
         "the custom missing value is empty": plan.missing is MissingOutput.CUSTOM
         and not str(plan.missing_custom or "").strip(),
-        "two of three needs stages that follow each other": len(config.stages) == 1
-        and first.completeness.allow_two_of_three,
     }
     for n in sorted(inputs & have):
         kind = dtype(df, n)
