@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+from datetime import datetime
+
 import pytest
 
 from gridwright.catalog import REGISTRY
@@ -24,3 +26,24 @@ def test_entry_contract(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def matches_on(spark, folder, name, *events):
+    """One registered query against its SQL on events (event_id, ts, value)."""
+    import duckdb
+
+    table = spark.createDataFrame(
+        [(i, ts, 1, "click", float(v)) for i, ts, v in events],
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
+    table.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    ok, message = compare(spark, con, str(folder), REGISTRY[name])
+    assert ok, message
+
+
+def test_stop_passes_over_blank_cells(spark, tmp_path):
+    """Cells 37 and 111 are blank: the message names 41 and 97."""
+    at = datetime(2024, 1, 1)
+    matches_on(spark, tmp_path, "invalid_numbers_stop_at_first_cell",
+               *[(i, at, 1) for i in (37, 40, 41, 60, 82, 97, 111)])
