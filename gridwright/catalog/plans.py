@@ -213,19 +213,21 @@ SELECT ps AS "Period_Start", valid, round(pm, 6) AS pm, round(no2_ppb, 6) AS no2
 )
 def baseline_job(spark, folder):
     """Raw text rows: markers to null, ppm to ppb, daily means. Raw events are irregular, so
-    the input interval is one microsecond and completeness is reported, not enforced."""
+    the input interval is one microsecond, completeness is reported, not enforced, and events of
+    one instant all count. A day without any row has no count, a day of invalid rows has 0."""
     df = dirty(spark, folder).select(F.col("ts").cast("timestamp").alias("ts"), "reading")
     df = cells.normalize_nulls(df, ["N/A", "-999", ""], ["reading"])
     df = cells.resolve_invalid_numbers(df, ["reading"], typed=True)
     df = cells.convert_concentration(df, "reading", "ppm_to_ppb", output="no2_ppb")
     cfg = AveragingConfig(
         "ts", timedelta(microseconds=1), "UTC",
-        (FieldRule("reading", output_name="pm"), FieldRule("no2_ppb")),
+        (FieldRule("reading", output_name="pm"), FieldRule("no2_ppb"),
+         FieldRule("row", Statistic.COUNT, output_name="rows")),
         (Stage(day(), Completeness(1e-12)),),
     )
-    stage = average(df, cfg).stages[0]
+    stage = average(df.withColumn("row", F.lit(1)), cfg, strict=False).stages[0]
     return stage.frame.select(
-        F.col("_start").alias("Period_Start"), F.col("_n0").alias("valid"),
+        F.col("_start").alias("Period_Start"), F.when(F.col("rows") > 0, F.col("_n0")).alias("valid"),
         F.round("pm", 6).alias("pm"), F.round("no2_ppb", 6).alias("no2_ppb"),
     )
 

@@ -47,3 +47,11 @@ def test_stop_passes_over_blank_cells(spark, tmp_path):
     at = datetime(2024, 1, 1)
     matches_on(spark, tmp_path, "invalid_numbers_stop_at_first_cell",
                *[(i, at, 1) for i in (37, 40, 41, 60, 82, 97, 111)])
+
+
+def test_daily_means_of_events_at_one_instant(spark, tmp_path):
+    """Day 1 repeats an instant, day 2 has invalid cells only, day 3 has no row."""
+    at = datetime(2024, 1, 1, 8)
+    matches_on(spark, tmp_path, "clean_convert_average_daily",
+               (1, at, 1.5), (2, at, 2.25), (3, at, 9), (4, datetime(2024, 1, 1, 23), 0.07),
+               (41, datetime(2024, 1, 2, 1), 3), (5, datetime(2024, 1, 4), 7))
