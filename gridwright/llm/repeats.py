@@ -27,6 +27,8 @@ from gridwright.llm.common import arrow_map, longs, text_bytes, passes
 #: What is known of a block: it goes as a whole; windows whose anchor lies at least / less than
 #: ``split`` units behind their start are to be compared.
 WHOLE, PROBE_LEFT, PROBE_RIGHT = 1, 2, 4
+#: Bits of a hash by which lists of hashes are first searched.
+LOW_BITS = (1 << 18) - 1
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,14 @@ class Units:
 
 def first_of_equal(row_id: np.ndarray, *keys: np.ndarray):
     """Sort by the keys, then by id. Returns (order, new group marks, first id of the group)."""
-    order = np.lexsort((row_id, *keys[::-1]))
+    # Most first keys are single: only the others are sorted by all keys.
+    order = np.argsort(keys[0])
+    first = keys[0][order]
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = first[1:] == first[:-1]
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    part = order[tied]
+    order[tied] = part[np.lexsort((row_id[part], *[k[part] for k in keys[::-1]]))]
     new = np.ones(len(order), bool)
     if len(order) > 1:
         new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
@@ -80,10 +89,18 @@ def _window_starts(found: R.Blocks, pick: np.ndarray) -> tuple[np.ndarray, np.nd
 def _member(values: np.ndarray, rows: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether each value is in the list of its row."""
     out = np.zeros(len(values), bool)
-    edges = np.searchsorted(rows, np.arange(len(at)))
-    for row in np.flatnonzero(np.diff(at)):
-        mine = slice(edges[row], edges[row + 1])
-        out[mine] = np.isin(values[mine], flat[at[row] : at[row + 1]])
+    if not len(flat):
+        return out
+    # Low bits of the hashes leave few values; these are looked up among all lists, then by row.
+    low = np.zeros(LOW_BITS + 1, bool)
+    low[flat & LOW_BITS] = True
+    near = np.flatnonzero(low[values & LOW_BITS])
+    known, place = np.unique(flat, return_inverse=True)
+    at_known = np.minimum(np.searchsorted(known, values[near]), len(known) - 1)
+    hit = known[at_known] == values[near]
+    near, at_known = near[hit], at_known[hit]
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    out[near] = np.isin(at_known * len(at) + rows[near], place * len(at) + of)
     return out
 
 

@@ -54,11 +54,16 @@ def suffixes(docs: DataFrame, units: repeats.Units) -> DataFrame:
         for first, _, raw, at in text_passes(batch):
             lane = R.Rolling(R.BYTE_VALUES[raw])
             found = R.blocks(lane, at, units.size, units.k)
-            before = lane.some(
-                np.maximum(found.anchor - units.split, at[found.row]), found.anchor
+            # A side that no window of the block covers is filled from the block's own hash: equal
+            # blocks have equal keys wherever they stand, and such a side meets no other one.
+            left = found.anchor - found.first >= units.split
+            right = found.anchor - found.last < units.split
+            before = np.where(
+                left, lane.some(found.anchor - units.split * left, found.anchor), found.content
             )
-            after = lane.some(
-                found.anchor, np.minimum(found.anchor + ahead, at[found.row + 1])
+            after = np.where(
+                right, lane.some(found.anchor, found.anchor + ahead * right),
+                found.content << _16,
             )
             key = (
                 (found.key & np.uint64(0xFFFFFFFF00000000))
@@ -253,7 +258,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, k: int = 12) -> DataFrame:
     if not 0 < k <= size:
         raise ValueError("an anchor is at least one byte and at most a window")
     units = repeats.Units(words=False, size=size, k=k, split=(size - k) // 2)
-    known = stored(repeats.by_document(long_matches(docs, units)), "blocks")
+    known = stored(repeats.by_document(long_matches(docs, units)), "blocks", tidy=True)
     windows = repeats.probe_windows(docs, known.select("doc_id", "probe_left", "probe_right"), units)
     return repeats.remove(docs, known, repeats.later_windows(windows), units)
 

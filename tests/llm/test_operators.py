@@ -7,11 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from gridwright.llm import (
-    jpeg_store, line_labels, near_copies, packing, piece_bpe, secrets, substring_words,
-    suffix_levels, tool_calls, url_filter,
+    common, jpeg_store, line_labels, near_copies, packing, piece_bpe, repeats, secrets,
+    substring_words, suffix_levels, tool_calls, url_filter,
 )
 from gridwright.llm.common import id_and_text
 from tests.llm import plain
@@ -453,3 +453,50 @@ def test_levels_of_a_long_chain(spark):
         F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"))
     out = tool_calls.levels(calls)
     assert got(out, "call_id", "level") == ordered((str(i), i) for i in range(n))
+
+
+def test_lists_of_hashes_belong_to_their_rows():
+    rng = np.random.default_rng(5)
+    values = rng.integers(-(1 << 62), 1 << 62, 40)[rng.integers(0, 40, 900)]
+    rows = np.sort(rng.integers(0, 7, 900))
+    at = np.array([0, 5, 5, 12, 30, 31, 40, 40])
+    flat = values[rng.integers(0, 900, 40)]
+    flat[::3] += 1 << 20  # the low bits alone do not tell
+    want = [v in flat[at[r] : at[r + 1]] for v, r in zip(values, rows, strict=True)]
+    assert repeats._member(values, rows, flat, at).tolist() == want
+    for size in (0, 1, 300):
+        keys = [rng.integers(0, n, size).astype(np.uint64) for n in (9, 3)]
+        ids = rng.integers(0, 5, size)
+        order, new, head = repeats.first_of_equal(ids, *keys)
+        assert sorted(order) == list(range(size))
+        ranked = list(zip(*(k[order].tolist() for k in (*keys, ids)), strict=True))
+        assert ranked == sorted(ranked) and new.sum() == len({r[:2] for r in ranked})
+        assert head.tolist() == [min(r[2] for r in ranked if r[:2] == x[:2]) for x in ranked]
+
+
+def test_equal_blocks_have_equal_keys_wherever_they_stand(frame):
+    """What stands before and after a block plays no part: it is settled as a whole."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(97, 123, 90))) for _ in range(160)]
+    docs = frame([(i, a[:40] + texts[i % 40] + a[40:]) for i, a in enumerate(texts)])
+    units = repeats.Units(words=False, size=50, k=12, split=19)
+    keys = defaultdict(set)
+    for r in suffix_levels.suffixes(docs, units).collect():
+        keys[r.content].add(r.key)
+    assert max(map(len, keys.values())) == 1
+
+
+def test_tidy_writes_have_their_shuffle_files_removed(spark, monkeypatch):
+    seen = []
+    write = DataFrameWriter.parquet
+
+    def parquet(self, path):
+        seen.append(spark.conf.get(common.CLEANUP))
+        write(self, path)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    before = spark.conf.get(common.CLEANUP)
+    for tidy in (True, False):
+        assert common.stored(spark.range(10).repartition(3), "tidy", tidy=tidy).count() == 10
+        assert spark.conf.get(common.CLEANUP) == before
+    assert seen == ["true", before] == ["true", "false"]
