@@ -47,6 +47,9 @@ LEADERS = 512
 #: Terms in more than this share of the pieces do not tell topics apart.
 COMMON = 0.125
 K1, B = 1.2, 0.75
+#: The tokenizer's pattern (public_tokenizers.PATTERN), written so that a run of one kind of characters
+#: is never tried again character by character; it splits every text alike.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s"
 #: Code points up to which both tokenizers split texts by the same Unicode tables.
 PLAIN = 0x24F
 
@@ -54,7 +57,6 @@ PLAIN = 0x24F
 @lru_cache(maxsize=2)
 def encoders(vocabulary: str, ranks: str):
     """The tokenizer of a vocabulary, and a faster encoder of the same merges by rank."""
-    import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -63,7 +65,7 @@ def encoders(vocabulary: str, ranks: str):
     with open(ranks, "rb") as file:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     fast = tiktoken.Encoding(
-        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+        "packing", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
     return exact, fast
 
 
@@ -180,7 +182,7 @@ class Index:
         self.at = np.append(np.flatnonzero(new), len(token))
         number = np.cumsum(new) - 1
         idf = stats.idf[token[new]]
-        self.count = n
+        self.count, self.steps = n, np.arange(len(token))
         # A piece's query: its terms of positive weight, highest inverse frequency first.
         order = np.lexsort((number, -idf[number], self.doc))
         useful = idf[number][order] > 0
@@ -196,9 +198,9 @@ class Index:
         if not len(terms):
             return np.zeros(self.count)
         first, count = self.at[terms], self.at[terms + 1] - self.at[terms]
-        place = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
-        return np.bincount(self.doc[place], self.weight[place], self.count)
-
+        place = np.repeat(first - np.cumsum(count) + count, count)
+        place += self.steps[: len(place)]
+        return np.bincount(self.doc.take(place), self.weight.take(place), self.count)
 
     def drop(self, used: np.ndarray) -> None:
         """Leave out the postings of used pieces; their queries stay."""
@@ -248,7 +250,7 @@ def fill(lengths: list[int], index: Index) -> Iterator[list[Segment]]:
         score, ranked = None, []
         while room:
             if rest is None:
-                if 2 * left < indexed:
+                if 8 * left < 7 * indexed:
                     index.drop(used)
                     indexed = left
                 if score is None:

@@ -500,3 +500,35 @@ def test_tidy_writes_have_their_shuffle_files_removed(spark, monkeypatch):
         assert common.stored(spark.range(10).repartition(3), "tidy", tidy=tidy).count() == 10
         assert spark.conf.get(common.CLEANUP) == before
     assert seen == ["true", before] == ["true", "false"]
+
+
+def test_both_patterns_split_alike():
+    import public_tokenizers
+    import tiktoken
+
+    _, fast = packing.encoders(*packing.default_files())
+    slow = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN,
+                             mergeable_ranks=fast._mergeable_ranks, special_tokens={})
+    rng = np.random.default_rng(11)
+    parts = list("aZé09_.,-'  \n\t\r") + ["\u00a0", "\u0085", "'s", "'ll", "'LL", " don't", "²", "   ", "\n\n"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)]
+    assert [fast.encode_ordinary(t) for t in texts] == [slow.encode_ordinary(t) for t in texts]
+    assert fast._pat_str == packing.PATTERN
+
+
+def test_postings_of_used_pieces_are_left_out_soon():
+    """Seeds read little more than the postings of the pieces that are left."""
+    rng = np.random.default_rng(12)
+    pieces = [np.repeat(rng.choice(300, 20, replace=False), 5).astype(np.uint32) for _ in range(1200)]
+    read = []
+
+    class Counted(packing.Index):
+        def scores(self, piece):
+            read.append(len(self.doc))
+            return super().scores(piece)
+
+    index = Counted(pieces)
+    packed = list(packing.fill([100] * 1200, index))
+    assert sum(n for s in packed for _, _, n in s) == 120_000
+    needed = sum(20 * max(0, 1200 - 2048 * i // 100) for i in range(len(read)))
+    assert sum(read) <= 1.15 * needed
