@@ -144,13 +144,25 @@ class Stats:
         return (self.idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
 
 
-def terms(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct token ids of a piece and how often each occurs."""
+def runs_of_ids(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a piece in order, and where each distinct one begins."""
     ordered = np.sort(piece, kind="stable")  # a radix sort for ids of 16 bits
     first = np.ones(len(ordered), bool)
-    first[1:] = ordered[1:] != ordered[:-1]
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return ordered, first
+
+
+def terms(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct token ids of a piece and how often each occurs."""
+    ordered, first = runs_of_ids(piece)
     at = np.flatnonzero(first)
-    return ordered[at].astype("<u4"), np.diff(np.append(at, len(ordered))).astype("<u4")
+    return ordered[at].astype("<u4"), (np.concatenate((at[1:], [len(ordered)])) - at).astype("<u4")
+
+
+def distinct(piece: np.ndarray) -> np.ndarray:
+    """The first half of ``terms``."""
+    ordered, first = runs_of_ids(piece)
+    return ordered[first]
 
 
 class Index:
@@ -296,7 +308,7 @@ def piece_terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(piece, token id) of all distinct tokens of the pieces of a batch."""
     ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
     lengths = batch.column(batch.schema.get_field_index("length")).to_pylist()
-    found = [terms(piece_ids(x, n))[0] for x, n in zip(ids, lengths, strict=True)]
+    found = [distinct(piece_ids(x, n)) for x, n in zip(ids, lengths, strict=True)]
     piece = np.repeat(np.arange(len(found)), [len(t) for t in found])
     return piece, np.concatenate(found).astype(np.int64)
 
